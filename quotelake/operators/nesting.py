@@ -1,0 +1,26 @@
+"""Nesting child rows into arrays of bounded length."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+PART_SIZE = 10_000
+
+
+def nest_values(children: DataFrame, key: str, value: str, out: str, part_size=PART_SIZE) -> DataFrame:
+    """(key, part, sorted array of the distinct values).
+
+    A key with at most ``part_size`` values has the single part 0. A larger
+    one is split by hash into parts of about that size, so that no array and
+    no task has to hold all of a hot key.
+    """
+    distinct = children.select(key, value).where(F.col(value).isNotNull()).distinct()
+    sizes = distinct.groupBy(key).agg(F.ceil(F.count(value) / F.lit(part_size)).alias("_parts"))
+    big = sizes.where("_parts > 1")  # at most rows / part_size keys
+    return (
+        distinct.join(big, key, "left")
+        .withColumn("part", F.pmod(F.xxhash64(value), F.coalesce("_parts", F.lit(1))).cast("int"))
+        .groupBy(key, "part")
+        .agg(F.array_sort(F.collect_list(value)).alias(out))
+    )
