@@ -11,7 +11,7 @@ from quotelake.operators import windows as W
 from quotelake.plans.catalog import KEYWORDS, NEGATIVE, POSITIVE, TICKERS, query
 from quotelake.sources import adapters as A
 
-_STOCK_ALERT = """symbol, alert_type, CAST(current_price AS DOUBLE) AS current_price,
+STOCK_ALERT_COLUMNS = """symbol, alert_type, CAST(current_price AS DOUBLE) AS current_price,
        CAST(previous_price AS DOUBLE) AS previous_price, change_percent, volume, timestamp"""
 
 PRICE_ALERTS_SQL = """price_alerts AS (
@@ -49,7 +49,7 @@ PATTERN_SQL = """pattern_alerts AS (
       AND (f.timestamp > s.timestamp OR (f.timestamp = s.timestamp AND f.id > s.id))
       AND f.timestamp < s.timestamp + INTERVAL 30 MINUTE))"""
 
-_NEWS_ALERT = """headline, summary, url, array_to_string(affected_symbols, ',') AS affected_symbols, sentiment_score,
+NEWS_ALERT_COLUMNS = """headline, summary, url, array_to_string(affected_symbols, ',') AS affected_symbols, sentiment_score,
        alert_type, timestamp"""
 
 
@@ -62,19 +62,19 @@ def scored_news(spark, d):
     return G.extract_symbols(G.score_sentiment(A.news(spark, d), POSITIVE, NEGATIVE), TICKERS)
 
 
-@query("price_change_alerts", f"WITH {PRICE_ALERTS_SQL} SELECT {_STOCK_ALERT} FROM price_alerts", ["quoted"])
+@query("price_change_alerts", f"WITH {PRICE_ALERTS_SQL} SELECT {STOCK_ALERT_COLUMNS} FROM price_alerts", ["quoted"])
 def _(spark, d):
     return G.price_change_alerts(quoted(spark, d))
 
 
-@query("volume_anomalies", f"WITH {VOLUME_ALERTS_SQL} SELECT {_STOCK_ALERT} FROM volume_alerts", ["quoted"])
+@query("volume_anomalies", f"WITH {VOLUME_ALERTS_SQL} SELECT {STOCK_ALERT_COLUMNS} FROM volume_alerts", ["quoted"])
 def _(spark, d):
     return W.volume_anomalies(quoted(spark, d))
 
 
 @query("all_stock_alerts", f"""
 WITH {PRICE_ALERTS_SQL}, {VOLUME_ALERTS_SQL}
-SELECT {_STOCK_ALERT} FROM (SELECT * FROM price_alerts UNION ALL SELECT * FROM volume_alerts)""", ["quoted"])
+SELECT {STOCK_ALERT_COLUMNS} FROM (SELECT * FROM price_alerts UNION ALL SELECT * FROM volume_alerts)""", ["quoted"])
 def _(spark, d):
     q = quoted(spark, d)
     return G.all_stock_alerts(G.price_change_alerts(q), W.volume_anomalies(q))
@@ -147,19 +147,19 @@ def _(spark, d):
     return G.trading_signals(scored_news(spark, d), all_symbols=True)
 
 
-@query("news_alerts", f"WITH {NEWS_ALERTS_SQL} SELECT id, {_NEWS_ALERT} FROM news_alerts", ["scored"])
+@query("news_alerts", f"WITH {NEWS_ALERTS_SQL} SELECT id, {NEWS_ALERT_COLUMNS} FROM news_alerts", ["scored"])
 def _(spark, d):
     return G.news_alerts(scored_news(spark, d), KEYWORDS)
 
 
-@query("breaking_news_pattern", f"WITH {PATTERN_SQL} SELECT {_NEWS_ALERT} FROM pattern_alerts", ["scored"])
+@query("breaking_news_pattern", f"WITH {PATTERN_SQL} SELECT {NEWS_ALERT_COLUMNS} FROM pattern_alerts", ["scored"])
 def _(spark, d):
     return P.breaking_news_pattern(scored_news(spark, d))
 
 
 @query("all_news_alerts", f"""
 WITH {NEWS_ALERTS_SQL}, {PATTERN_SQL}
-SELECT {_NEWS_ALERT} FROM (
+SELECT {NEWS_ALERT_COLUMNS} FROM (
   SELECT headline, summary, url, affected_symbols, sentiment_score, alert_type, timestamp FROM news_alerts
   UNION ALL SELECT * FROM pattern_alerts)""", ["scored"])
 def _(spark, d):
