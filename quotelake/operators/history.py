@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quotelake.functions.timefn import before, moment
-from quotelake.operators.nesting import PART_SIZE, nest_values
+from quotelake.operators.nesting import PART_SIZE
 from quotelake.operators.ordered import previous_row
 
 MAX_INLINE_SYMBOLS = 1000
@@ -57,8 +58,16 @@ def big_movers_since(ticks: DataFrame, threshold, as_of, n=10, span="24 hours")
 def latest_for_symbols(ticks: DataFrame, symbols=None) -> DataFrame:
     """All rows at their symbol's newest time; ties are all returned."""
     wanted = ticks if symbols is None else filter_symbols(ticks, symbols)
-    newest = wanted.groupBy("symbol").agg(F.max("timestamp").alias("timestamp"))
-    return wanted.join(newest, ["symbol", "timestamp"], "left_semi")
+    # Each input split gives its own newest rows of a symbol; Spark cuts at
+    # the rank before the shuffle, so little travels, and many ties of one
+    # symbol stay spread over the splits they come from.
+    own = Window.partitionBy("symbol", "_split").orderBy(F.desc("timestamp"))
+    candidates = (
+        wanted.withColumn("_split", F.spark_partition_id())
+        .withColumn("_rank", F.rank().over(own)).where("_rank = 1").drop("_rank", "_split")
+    )
+    newest = candidates.groupBy("symbol").agg(F.max("timestamp").alias("timestamp"))
+    return candidates.join(newest, ["symbol", "timestamp"], "left_semi")
 
 
 def latest_tick(ticks: DataFrame, symbol=None, order=("timestamp", "id")) -> DataFrame:
@@ -106,13 +115,20 @@ def approx_symbol_count(ticks: DataFrame, rsd=0.01) -> DataFrame:
 
 
 def database_stats(ticks: DataFrame, part_size=PART_SIZE) -> DataFrame:
-    """Totals and the list of symbols, in parts when there are very many."""
+    """Totals and the list of symbols.
+
+    Up to ``part_size`` symbols are one row; more are spread over several by
+    hash, so that no array holds all of a very long list.
+    """
     per_symbol = ticks.groupBy("symbol").agg(F.count(F.lit(1)).alias("records"))
     symbols = per_symbol.agg(F.count("symbol")).scalar()
     records = per_symbol.agg(F.coalesce(F.sum("records"), F.lit(0))).scalar()
-    listed = nest_values(per_symbol.withColumn("_all", F.lit(1)), "_all", "symbol", "available_symbols", part_size)
-    return listed.select(
-        "part", symbols.alias("total_symbols"), records.alias("total_records"), "available_symbols")
+    part = F.pmod(F.xxhash64("symbol"), F.ceil(symbols / F.lit(part_size))).cast("int")
+    return (
+        per_symbol.groupBy(part.alias("part"))
+        .agg(F.array_sort(F.collect_list("symbol")).alias("available_symbols"))
+        .select("part", symbols.alias("total_symbols"), records.alias("total_records"), "available_symbols")
+    )
 
 
 def first_last_value(ticks: DataFrame, order=("timestamp", "id")) -> DataFrame:

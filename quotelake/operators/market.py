@@ -69,21 +69,32 @@ def market_movers(ticks: DataFrame, kind="gainers", n=10) -> DataFrame:
 
 
 def market_summary(ticks: DataFrame, n=5, indices=lex.INDEX_SYMBOLS) -> DataFrame:
-    """Index rows, gainers, losers and most active, told apart by ``category``."""
-    cols = ["symbol", "price", "change", "change_percent", "volume"]
-    latest = latest_tick(ticks)
-    stocks = latest.where(~F.col("symbol").isin(list(indices)))
-    parts = [
-        ("indices", latest.where(F.col("symbol").isin(list(indices)))),
-        ("top_gainers", _movers_of(stocks, "gainers", n)),
-        ("top_losers", _movers_of(stocks, "losers", n)),
-        ("most_active", _movers_of(stocks, "most_active", n)),
-    ]
-    out = None
-    for name, rows in parts:
-        tagged = rows.select(F.lit(name).alias("category"), *cols)
-        out = tagged if out is None else out.unionByName(tagged)
-    return out
+    """Index rows, gainers, losers and most active, told apart by ``category``.
+
+    The latest ticks are found once. Each is entered in the categories it
+    qualifies for, and the lists are cut before and after one shuffle.
+    """
+    pct, is_index = F.col("change_percent").cast("double"), F.col("symbol").isin(list(indices))
+
+    def entry(category, qualifies, metric):
+        return F.when(qualifies, F.struct(F.lit(category).alias("category"), metric.cast("double").alias("metric")))
+
+    stock = ~is_index
+    entries = F.array_compact(F.array(
+        entry("indices", is_index, F.lit(0)),
+        entry("top_gainers", stock & (pct > 0), pct),
+        entry("top_losers", stock & (pct < 0), -pct),
+        entry("most_active", stock, F.col("volume")),
+    ))
+    place = Window.partitionBy("category").orderBy(F.desc("metric"), "symbol")
+    return (
+        latest_tick(ticks).select("symbol", "price", "change", "change_percent", "volume", F.explode(entries).alias("e"))
+        .withColumns({"category": F.col("e.category"), "metric": F.col("e.metric")})
+        .withColumn("place", F.row_number().over(place))
+        .where(F.col("place") <= max(n, len(indices)))
+        .where((F.col("place") <= n) | (F.col("category") == "indices"))
+        .select("category", "symbol", "price", "change", "change_percent", "volume")
+    )
 
 
 def latest_indicator(observations: DataFrame) -> DataFrame:

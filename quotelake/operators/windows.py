@@ -115,8 +115,15 @@ def sentiment_lines(sentiment: DataFrame) -> DataFrame:
         F.format_string("Symbol: %s, Avg Sentiment: %.3f", "symbol", "avg_sentiment").alias("line"))
 
 
+def position(order):
+    """What rows are ordered by. A single column aggregates by hashing, more
+    need a sort inside each input partition: give only the time where it is
+    unique per symbol."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 def _ohlcv(ticks, groups, order):
-    at = F.struct(*order)
+    at = position(order)
     return ticks.groupBy(*groups).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", at).alias("close"), F.sum("volume").alias("volume"))
