@@ -9,6 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def computed_once(column: Column) -> Column:
+    """Keep an expensive column from being computed again in later filters.
+
+    Spark moves a filter below the projection that computes its input and
+    repeats the expression there, once per use. It does not do so across a
+    generator, so the value goes through one that gives exactly one row.
+    """
+    return F.explode(F.array(column))
+
+
 def article_text(title: Column, content: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(content, F.lit("")))
 

@@ -13,6 +13,13 @@ from quotelake.operators.ordered import previous_row
 MAX_INLINE_SYMBOLS = 1000
 
 
+def position(order):
+    """What rows are ordered by. A single column aggregates by hashing, more
+    need a sort inside each input partition: give only the time where it is
+    unique per symbol."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 def filter_symbol(ticks: DataFrame, symbol: str) -> DataFrame:
     return ticks.where(F.col("symbol") == symbol)
 
@@ -32,10 +39,14 @@ def filter_symbols(ticks: DataFrame, symbols) -> DataFrame:
     return filter_symbols(ticks, wanted)
 
 
+def ticks_in(ticks: DataFrame, symbol, start, end) -> DataFrame:
+    """One symbol in [start, end], both ends included."""
+    return filter_symbol(ticks, symbol).where(F.col("timestamp").between(moment(start), moment(end)))
+
+
 def ticks_between(ticks: DataFrame, symbol, start, end) -> DataFrame:
-    """One symbol in [start, end], both ends included, newest first."""
-    return filter_symbol(ticks, symbol).where(
-        F.col("timestamp").between(moment(start), moment(end))).orderBy(F.desc("timestamp"))
+    """As `ticks_in`, newest first."""
+    return ticks_in(ticks, symbol, start, end).orderBy(F.desc("timestamp"))
 
 
 def ticks_price_between(ticks: DataFrame, symbol, low, high) -> DataFrame:
@@ -66,7 +77,7 @@ def latest_for_symbols(ticks: DataFrame, symbols=None) -> DataFrame:
         wanted.withColumn("_split", F.spark_partition_id())
         .withColumn("_rank", F.rank().over(own)).where("_rank = 1").drop("_rank", "_split")
     )
-    newest = candidates.groupBy("symbol").agg(F.max("timestamp").alias("timestamp"))
+    newest = wanted.groupBy("symbol").agg(F.max("timestamp").alias("timestamp"))
     return candidates.join(newest, ["symbol", "timestamp"], "left_semi")
 
 

@@ -36,8 +36,8 @@ def score_sentiment(news: DataFrame, positive=lex.POSITIVE_WORDS, negative=lex.N
         news.withColumn("_lower", F.lower(tx.article_text(F.col("title"), F.col("content"))))
         .withColumn("_pos", tx.count_terms(F.col("_lower"), positive, match))
         .withColumn("_neg", tx.count_terms(F.col("_lower"), negative, match))
-        .withColumn("sentiment_score", F.coalesce(
-            F.col("sentiment_score").cast("double"), tx.polarity(F.col("_pos"), F.col("_neg"))))
+        .withColumn("sentiment_score", tx.computed_once(F.coalesce(
+            F.col("sentiment_score").cast("double"), tx.polarity(F.col("_pos"), F.col("_neg")))))
         .drop("_lower", "_pos", "_neg")
     )
 
@@ -48,8 +48,8 @@ def extract_symbols(news: DataFrame, known=lex.KNOWN_SYMBOLS, match="substring")
     return (
         news.withColumn("_upper", F.upper(tx.article_text(F.col("title"), F.col("content"))))
         .withColumn("_found", tx.found_terms(F.col("_upper"), known, match))
-        .withColumn("symbols", F.when(F.size(F.coalesce(given, F.array().cast("array<string>"))) > 0, given)
-                    .otherwise(F.col("_found")))
+        .withColumn("symbols", tx.computed_once(
+            F.when(F.size(F.coalesce(given, F.array().cast("array<string>"))) > 0, given).otherwise(F.col("_found"))))
         .drop("_upper", "_found")
     )
 
@@ -75,7 +75,7 @@ def news_alerts(news: DataFrame, keywords=lex.MARKET_KEYWORDS, threshold=lex.ALE
     score = F.col("sentiment_score").cast("double")
     return (
         news.where(F.size("symbols") > 0)
-        .withColumn("_lower", F.lower(tx.article_text(F.col("title"), F.col("content"))))
+        .withColumn("_lower", tx.computed_once(F.lower(tx.article_text(F.col("title"), F.col("content")))))
         .where(tx.any_term(F.col("_lower"), keywords, match))
         .select(
             *[c for c in ("id",) if c in news.columns],

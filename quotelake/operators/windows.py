@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from quotelake.functions import lexicons as lex
 from quotelake.functions.timefn import time_bucket
+from quotelake.operators.history import page_of, position, ticks_in
 from quotelake.operators.ordered import rolling_sums
 
 INTERVALS = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "1h": "1 hour", "1d": "1 day"}
@@ -41,7 +42,7 @@ def volume_anomalies(ticks: DataFrame, width="1 hour", factor=lex.VOLUME_FACTOR,
     """
     newest = F.max_by(
         F.struct("price", "change_percent", "volume", "timestamp"),
-        F.struct(F.col("timestamp").alias("t"), (-F.col(arrival)).alias("a")),
+        F.struct(F.col("timestamp").alias("t"), F.bitwise_not(F.col(arrival)).alias("a")),
     )
     no_change = F.lit(0).cast(ticks.schema["change_percent"].dataType)
     return (
@@ -115,13 +116,6 @@ def sentiment_lines(sentiment: DataFrame) -> DataFrame:
         F.format_string("Symbol: %s, Avg Sentiment: %.3f", "symbol", "avg_sentiment").alias("line"))
 
 
-def position(order):
-    """What rows are ordered by. A single column aggregates by hashing, more
-    need a sort inside each input partition: give only the time where it is
-    unique per symbol."""
-    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
-
-
 def _ohlcv(ticks, groups, order):
     at = position(order)
     return ticks.groupBy(*groups).agg(
@@ -141,6 +135,13 @@ def ohlc_interval(ticks: DataFrame, interval="1h", order=("timestamp", "id")) ->
     return _bounds(_ohlcv(ticks, [F.window("timestamp", INTERVALS[interval]), "symbol"], order))
 
 
+def ohlc_history(ticks: DataFrame, symbol, start, end, interval="1d", page=0, size=100,
+                 order=("timestamp", "id")) -> DataFrame:
+    """A page of one symbol's bars between two times, oldest first."""
+    bars = ohlc_interval(ticks_in(ticks, symbol, start, end), interval, order)
+    return page_of(bars, ["window_start"], page, size)
+
+
 def rolling_average(ticks: DataFrame, spans=None, width="1 minute") -> DataFrame:
     """True moving averages of the price over the trailing spans."""
     spans = spans or {"5min": "5 minutes", "1h": "1 hour"}

@@ -45,6 +45,22 @@ for _name, _width in [("1m", "1 minute"), ("5m", "5 minutes"), ("15m", "15 minut
         return W.ohlc_interval(A.ticks(spark, d), _name)
 
 
+@query("ohlc_history", """
+WITH b AS (
+  SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, symbol,
+         CAST(arg_min(price, (timestamp, id)) AS DOUBLE) AS open, CAST(max(price) AS DOUBLE) AS high,
+         CAST(min(price) AS DOUBLE) AS low, CAST(arg_max(price, (timestamp, id)) AS DOUBLE) AS close,
+         CAST(sum(volume) AS BIGINT) AS volume
+  FROM ticks WHERE symbol = 'view' AND timestamp BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-30'
+  GROUP BY 1, 2)
+SELECT *, window_start + INTERVAL 1 HOUR AS window_end, count(*) OVER () AS total_elements,
+       CAST(ceil(count(*) OVER () / 100.0) AS BIGINT) AS total_pages, false AS first,
+       2 >= ceil(count(*) OVER () / 100.0) AS last
+FROM b ORDER BY window_start LIMIT 100 OFFSET 100""", ["ticks"])
+def _(spark, d):
+    return W.ohlc_history(A.ticks(spark, d), "view", "2024-01-02 00:00:00", "2024-01-30 00:00:00", "1h", page=1)
+
+
 @query("first_last_value", """
 SELECT id, symbol, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS date,
        CAST(first_value(price) OVER w AS DOUBLE) AS first_price, CAST(last_value(price) OVER w AS DOUBLE) AS last_price

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quotelake import schemas as S
+from quotelake.functions.text import computed_once
 from quotelake.functions.timefn import from_epoch_seconds
 
 
@@ -21,7 +22,7 @@ def _whole(text: Column) -> Column:
 
 
 def _message(raw: DataFrame, schema: T.StructType, value: str) -> DataFrame:
-    return raw.withColumn("_m", F.from_json(value, schema, {"mode": "PERMISSIVE"}))
+    return raw.withColumn("_m", computed_once(F.from_json(value, schema, {"mode": "PERMISSIVE"})))
 
 
 def _errors(checks: dict[str, Column]) -> Column:

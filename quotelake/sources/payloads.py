@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotelake.functions.lexicons import ARTICLE_CHARS
+from quotelake.functions.text import computed_once
 
 # Provider field names
 _QUOTE = "`Global Quote` MAP<STRING, STRING>"
@@ -28,7 +29,7 @@ def normalize_quote(landed: DataFrame) -> DataFrame:
 
     percent = F.rtrim(number("10. change percent"), F.lit("%"))
     rows = (
-        landed.withColumn("_q", F.from_json("payload", _QUOTE))
+        landed.withColumn("_q", computed_once(F.from_json("payload", _QUOTE)))
         .where(F.size(quote) > 0)
         .select(
             "symbol",
@@ -74,7 +75,7 @@ def normalize_observations(landed: DataFrame) -> DataFrame:
     """
     p, newest = F.col("_p"), F.col("_newest")
     return (
-        landed.withColumn("_p", F.from_json("payload", _OBSERVATIONS))
+        landed.withColumn("_p", computed_once(F.from_json("payload", _OBSERVATIONS)))
         .withColumn("_newest", F.array_max(p["observations"]))
         .where(newest["value"] != ".")
         .select(

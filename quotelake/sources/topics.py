@@ -45,8 +45,12 @@ def kafka_write_options(servers: str) -> dict[str, str]:
 
 
 def read_topics(spark: SparkSession, topics, servers=None, folder=None, group=None, starting="latest",
-                max_per_trigger=None) -> DataFrame:
-    """Stream of (value STRING, topic STRING) from the listed topics."""
+                max_per_trigger=None, arrival=False) -> DataFrame:
+    """Stream of (value STRING, topic STRING) from the listed topics.
+
+    ``arrival`` adds the broker's offset, the order messages of one key came
+    in; lines of files have none.
+    """
     topics = list(topics)
     if folder is not None:
         reader = spark.readStream.schema("value STRING, topic STRING").format("text")
@@ -56,13 +60,14 @@ def read_topics(spark: SparkSession, topics, servers=None, folder=None, group=No
     options = kafka_read_options(topics, servers, group, starting, max_per_trigger)
     return (
         spark.readStream.format("kafka").options(**options).load()
-        .select(F.col("value").cast("string").alias("value"), "topic")
+        .select(F.col("value").cast("string").alias("value"), "topic",
+                *([F.col("offset").alias("arrival")] if arrival else []))
     )
 
 
 def read_topic(spark: SparkSession, topic: str, **kwargs) -> DataFrame:
     """Stream of (value STRING) from one topic."""
-    return read_topics(spark, [topic], **kwargs).select("value")
+    return read_topics(spark, [topic], **kwargs).drop("topic")
 
 
 def only_topic(messages: DataFrame, topic: str) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotelake.functions import lexicons as lex
+from quotelake.operators import notifications as N
 from quotelake.operators import signals as G
 from quotelake.operators import windows as W
+from quotelake.operators.alerts import route_alerts, route_news_alerts
 from quotelake.sources import decode as D
 from quotelake.sources import topics as TP
 from quotelake.streaming import sinks as K
@@ -31,14 +33,15 @@ def _topic(df, topic, checkpoint, name, out, servers, trigger):
 
 
 def decoded_stream(messages: DataFrame, decoder, strict=True) -> DataFrame:
-    decoded = decoder(messages)
+    decoded = decoder(messages, keep=[c for c in ("arrival",) if c in messages.columns])
     return D.strict(decoded) if strict else D.quarantine(decoded)[0]
 
 
 def with_arrival(ticks: DataFrame) -> DataFrame:
-    """An id for rows of one batch that share a time: their content's hash,
-    the same again on a replay."""
-    return ticks.withColumn("id", F.xxhash64(*ticks.columns))
+    """Order rows that share a time: by the broker's offset, or by a hash of
+    their content where there is none. Both are the same again on a replay."""
+    order = F.col("arrival") if "arrival" in ticks.columns else F.xxhash64(*ticks.columns)
+    return ticks.withColumn("id", order)
 
 
 def stock_alert_stream(ticks: DataFrame, width="1 hour") -> DataFrame:
@@ -63,6 +66,36 @@ def start_stock_job(messages: DataFrame, out: str, checkpoint: str, servers=None
     ]
 
 
+def stock_notifications(stock_alerts: DataFrame, user_alerts: DataFrame, users: DataFrame) -> DataFrame:
+    """Notification rows for the users whose alerts a stock alert meets."""
+    events = stock_alerts.select(
+        F.xxhash64(*stock_alerts.columns).alias("id"), "symbol", F.col("current_price").alias("price"), "volume",
+        F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
+    return N.notify_stock_alert(route_alerts(events, user_alerts, users))
+
+
+def news_notifications(news_alerts: DataFrame, watchlist: DataFrame, user_alerts: DataFrame,
+                       users: DataFrame) -> DataFrame:
+    """Notification rows for the users a news alert concerns, one per user and alert."""
+    alerts = news_alerts.withColumns({
+        "id": F.xxhash64("headline", "url", "timestamp"), "timestamp": F.col("timestamp").cast("timestamp_ntz")})
+    return N.notify_news_alert(route_news_alerts(alerts, watchlist, user_alerts, users))
+
+
+def start_notifications(alerts: DataFrame, to_rows, out: str, checkpoint: str, trigger=None):
+    """Start a stream that turns each batch of alerts into notification rows.
+
+    ``to_rows`` maps a batch to rows and may read tables afresh. A batch owns
+    the folder with its number, so a replay sends nothing twice.
+    """
+    def write(batch, n):
+        to_rows(batch).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{out}/batch={n}")
+    return (
+        alerts.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or TRIGGER))
+        .foreachBatch(write).start()
+    )
+
+
 def enriched_news(messages: DataFrame, strict=True, positive=lex.POSITIVE_WORDS, negative=lex.NEGATIVE_WORDS,
                   known=lex.KNOWN_SYMBOLS) -> DataFrame:
     news = decoded_stream(messages, D.decode_news, strict)

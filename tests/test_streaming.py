@@ -191,6 +191,32 @@ def test_stock_job(spark, tmp_path):
             q.awaitTermination()
 
 
+def test_alerts_become_notifications(spark, rows, tmp_path):
+    at = "2024-01-01 00:00:00"
+    users = rows("id BIGINT, email STRING", (1, "a@x"), (2, "b@x"))
+    mine = rows("id BIGINT, user_id BIGINT, symbol STRING, alert_type STRING, threshold_value DECIMAL(19,4), enabled BOOLEAN",
+                (1, 1, "A", "PRICE_ABOVE", 10, True), (2, 2, "A", "PRICE_ABOVE", 11, True),
+                (3, 2, "B", "NEWS_SENTIMENT", "0.6", True))
+    watch = rows("user_id BIGINT, symbol STRING", (1, "A"), (1, "B"))
+    stock = rows("symbol STRING, alert_type STRING, current_price DECIMAL(19,4), previous_price DECIMAL(19,4), "
+                 "change_percent DOUBLE, volume BIGINT, timestamp TIMESTAMP_NTZ", ("A", "HIGH_VOLUME", 10, 10, 0.0, 5, at))
+    news = rows("headline STRING, summary STRING, url STRING, affected_symbols ARRAY<STRING>, sentiment_score DOUBLE, "
+                "alert_type STRING, timestamp TIMESTAMP_NTZ", ("h", "s", "u", ["A", "B"], -0.6, "NEGATIVE_NEWS", at))
+    land(str(tmp_path / "s"), stock)
+    land(str(tmp_path / "n"), news)
+
+    def run(name, schema, to_rows):
+        for _ in range(2):
+            J.start_notifications(stream(spark, tmp_path / name, schema), to_rows, str(tmp_path / f"{name}-out"),
+                                  str(tmp_path / f"{name}-cp"), NOW).awaitTermination()
+        return spark.read.parquet(str(tmp_path / f"{name}-out")).collect()
+    got = run("s", stock.schema, lambda b: J.stock_notifications(b, mine, users))
+    assert [(r["user_id"], r["subject"], r["status"]) for r in got] == [(1, "Stock Alert: A - PRICE_ABOVE", "PENDING")]
+    got = run("n", news.schema, lambda b: J.news_notifications(b, watch, mine, users))
+    assert sorted((r["user_id"], r["subject"], r["recipient_email"]) for r in got) == [
+        (1, "News Alert: h", "a@x"), (2, "News Alert: h", "b@x")]
+
+
 def test_news_job(spark, tmp_path):
     def news(minutes, title, **k):
         return {"title": title, "content": "quarterly merger talk", "url": title, "timestamp": 1640995200 + 60 * minutes,
