@@ -7,7 +7,9 @@ needs from its neighbours across as one summary row per bucket:
 * the large table is shuffled once, by (key, bucket); the join with the
   summaries uses that same partitioning;
 * the summaries come from partial aggregates, and their length per key is
-  bounded by the calendar (minutes of history), not by the row count.
+  bounded by the calendar (minutes of history), not by the row count;
+* a bucket that holds very many rows nevertheless, a burst or a group of rows
+  with one time, is cut further, see `split_hot`.
 
 ``keys`` must be non-null. ``order`` starts with the time column and has to be
 a total order within a key.
@@ -21,80 +23,126 @@ from pyspark.sql.window import Window
 
 from quotelake.functions.timefn import micros, time_bucket, width_micros
 
-_BUCKET = "_bucket"
+_BUCKET, _PART = "_bucket", "_part"
+HOT_ROWS = 2_000_000
 
 
-def _neighbour(df, keys, order, cols, width, backwards, out):
-    value = F.struct(*cols)
-    position = F.struct(*order)
-    bucketed = df.withColumn(_BUCKET, time_bucket(F.col(order[0]), width))
-    inside = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(_BUCKET)
+def split_hot(bucketed: DataFrame, keys, position: Column, tie: Column = None, hot_rows=HOT_ROWS) -> DataFrame:
+    """Add ``_part``, which cuts (key, bucket) groups of more than
+    ``hot_rows`` rows into consecutive runs of about that size.
+
+    A hot group is cut evenly between its first and last ``position``, or, if
+    all its rows have the same one, between the first and last ``tie``. All
+    other rows get part 0. There can be at most rows / ``hot_rows`` hot
+    groups, which is what bounds the broadcast: with the default, one entry
+    for every two million rows of the table.
+    """
+    tie = F.lit(0) if tie is None else tie
+    hot = (
+        bucketed.groupBy(*keys, _BUCKET)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_p0"), F.max(position).alias("_p1"),
+             F.min(tie).alias("_t0"), F.max(tie).alias("_t1"))
+        .where(F.col("_n") > hot_rows)
+        .withColumn("_parts", F.ceil(F.col("_n") / F.lit(hot_rows)))
+        .drop("_n")
+    )
+
+    def run(value, first, last):
+        share = (value - F.col(first)).cast("double") / ((F.col(last) - F.col(first)).cast("double") + 1)
+        return F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1)
+
+    part = F.when(F.col("_p1") > F.col("_p0"), run(position, "_p0", "_p1")).otherwise(run(tie, "_t0", "_t1"))
+    return (
+        bucketed.join(F.broadcast(hot), [*keys, _BUCKET], "left")
+        .withColumn(_PART, F.coalesce(part.cast("int"), F.lit(0)))
+        .drop("_p0", "_p1", "_t0", "_t1", "_parts")
+    )
+
+
+def _neighbour(df, keys, order, cols, width, backwards, out, hot_rows):
+    value, place = F.struct(*cols), F.struct(*order)
+    numeric_tie = len(order) > 1 and df.schema[order[1]].dataType.typeName() in ("byte", "short", "integer", "long")
+    bucketed = split_hot(
+        df.withColumn(_BUCKET, time_bucket(F.col(order[0]), width)), keys, micros(F.col(order[0])),
+        F.col(order[1]) if numeric_tie else None, hot_rows)
+    group = [*keys, _BUCKET, _PART]
+    inside = Window.partitionBy(*group).orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy(_BUCKET, _PART)
     if backwards:
-        near, edge = F.lag(value).over(inside), F.max_by(value, position)
+        near, edge = F.lag(value).over(inside), F.max_by(value, place)
         step = F.lag("_edge").over(across)
     else:
-        near, edge = F.lead(value).over(inside), F.min_by(value, position)
+        near, edge = F.lead(value).over(inside), F.min_by(value, place)
         step = F.lead("_edge").over(across)
     carried = (
-        bucketed.groupBy(*keys, _BUCKET).agg(edge.alias("_edge"))
-        .select(*keys, _BUCKET, step.alias("_carried"))
+        bucketed.groupBy(*group).agg(edge.alias("_edge"))
+        .select(*group, step.alias("_carried"))
         .where(F.col("_carried").isNotNull())
     )
     return (
         bucketed.withColumn("_near", near)
-        .join(carried, [*keys, _BUCKET], "left")
+        .join(carried, group, "left")
         .withColumn(out, F.coalesce("_near", "_carried"))
-        .drop("_near", "_carried", _BUCKET)
+        .drop("_near", "_carried", _BUCKET, _PART)
     )
 
 
-def previous_row(df: DataFrame, keys, order, cols, width="1 minute", out="previous") -> DataFrame:
+def previous_row(df: DataFrame, keys, order, cols, width="1 minute", out="previous",
+                 hot_rows=HOT_ROWS) -> DataFrame:
     """Add a struct with ``cols`` of the row before, null on a key's first row."""
-    return _neighbour(df, list(keys), list(order), list(cols), width, True, out)
+    return _neighbour(df, list(keys), list(order), list(cols), width, True, out, hot_rows)
 
 
-def next_row(df: DataFrame, keys, order, cols, width="1 minute", out="following") -> DataFrame:
+def next_row(df: DataFrame, keys, order, cols, width="1 minute", out="following",
+             hot_rows=HOT_ROWS) -> DataFrame:
     """Add a struct with ``cols`` of the row after, null on a key's last row."""
-    return _neighbour(df, list(keys), list(order), list(cols), width, False, out)
+    return _neighbour(df, list(keys), list(order), list(cols), width, False, out, hot_rows)
 
 
-def next_within(df: DataFrame, keys, order, seconds: int, cols, out="following") -> DataFrame:
-    """Like `next_row`, but only for followers less than ``seconds`` later.
+def with_halo(df: DataFrame, ts: str, seconds: int) -> DataFrame:
+    """Send every row to its own bucket of this length and to the one before.
 
-    Buckets are as long as the span, so a follower is in the same bucket or
-    in the one after: every row is also sent to the bucket before its own, and
-    one shuffle is enough.
+    Adds ``_bucket`` and ``_home``, true in the row's own bucket. Whatever
+    follows a row in less than ``seconds`` is then in the row's home bucket.
+    Works on streams too.
     """
     span = seconds * 1_000_000
-    at = micros(F.col(order[0]))
+    at = micros(F.col(ts))
     home = at - F.pmod(at, F.lit(span))
-    copies = df.withColumn(
-        "_copy",
-        F.explode(F.array(
-            F.struct(home.alias("bucket"), F.lit(True).alias("home")),
-            F.struct((home - span).alias("bucket"), F.lit(False).alias("home")),
-        )),
-    ).select("*", F.col("_copy.bucket").alias(_BUCKET), F.col("_copy.home").alias("_home")).drop("_copy")
+    copies = F.explode(F.array(
+        F.struct(home.alias("bucket"), F.lit(True).alias("home")),
+        F.struct((home - span).alias("bucket"), F.lit(False).alias("home"))))
+    return df.select("*", copies.alias("_copy")).select(
+        *df.columns, F.col("_copy.bucket").alias(_BUCKET), F.col("_copy.home").alias("_home"))
+
+
+def next_within(df: DataFrame, keys, order, seconds: int, cols, out="following") -> DataFrame:
+    """Like `next_row`, but only for followers less than ``seconds`` later.
+
+    Buckets are as long as the span and see a copy of the next bucket's rows,
+    so one shuffle is enough and ``df`` is computed once.
+    """
     w = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
-    follower = F.lead(F.struct(micros(F.col(order[0])).alias("_at"), *cols)).over(w)
+    at = micros(F.col(order[0]))
     return (
-        copies.withColumn("_follower", follower)
+        with_halo(df, order[0], seconds)
+        .withColumn("_follower", F.lead(F.struct(at.alias("_at"), *cols)).over(w))
         .where("_home")
-        .withColumn(out, F.when(F.col("_follower._at") < micros(F.col(order[0])) + span, F.struct(
+        .withColumn(out, F.when(F.col("_follower._at") < at + seconds * 1_000_000, F.struct(
             *[F.col(f"_follower.{c}").alias(c) for c in cols])))
         .drop("_follower", "_home", _BUCKET)
     )
 
 
 def rolling_sums(df: DataFrame, keys, ts: str, values: dict[str, Column], spans: dict[str, str],
-                 width="1 minute") -> DataFrame:
+                 width="1 minute", hot_rows=HOT_ROWS) -> DataFrame:
     """Exact sums over the trailing [ts - span, ts], ties included.
 
     A row adds its values at ``ts`` and takes them back just after
     ``ts + span``; the answer is a running sum over those changes, which needs
-    nothing from other buckets but their totals. Values must be integers or
-    decimals so that taking back is exact. Adds ``{value}_{span name}``.
+    nothing from other buckets but their totals. Rows of one instant count
+    together, so a hot bucket is cut between instants only. Values must be
+    integers or decimals, so that taking back is exact. Adds ``{value}_{span name}``.
     """
     keys = list(keys)
     names = [(v, s) for v in values for s in spans]
@@ -113,17 +161,18 @@ def rolling_sums(df: DataFrame, keys, ts: str, values: dict[str, Column], spans:
     payload = F.struct(*[c for c in df.columns if c not in keys])
     tagged = df.select(*keys, payload.alias("_row"), F.explode(F.array(*deltas)).alias("_d")).select(
         *keys, F.when(F.col("_d.leaves") == 0, F.col("_row")).alias("_row"), "_d.*")
-    tagged = tagged.withColumn(
-        _BUCKET, F.col("at") - F.pmod(F.col("at"), F.lit(width_micros(width))))
-    running = Window.partitionBy(*keys, _BUCKET).orderBy("at", "leaves")  # default frame: ties included
-    prior = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    bucket = F.col("at") - F.pmod(F.col("at"), F.lit(width_micros(width)))
+    tagged = split_hot(tagged.withColumn(_BUCKET, bucket), keys, F.col("at"), hot_rows=hot_rows)
+    group = [*keys, _BUCKET, _PART]
+    running = Window.partitionBy(*group).orderBy("at", "leaves")  # default frame: ties included
+    prior = Window.partitionBy(*keys).orderBy(_BUCKET, _PART).rowsBetween(Window.unboundedPreceding, -1)
     cols = [f"{v}_{s}" for v, s in names]
-    totals = tagged.groupBy(*keys, _BUCKET).agg(*[F.sum(c).alias(c) for c in cols])
-    totals = totals.select(*keys, _BUCKET, *[F.sum(c).over(prior).alias(f"_p_{c}") for c in cols])
+    totals = tagged.groupBy(*group).agg(*[F.sum(c).alias(c) for c in cols])
+    totals = totals.select(*group, *[F.sum(c).over(prior).alias(f"_p_{c}") for c in cols])
     return (
-        tagged.select(*keys, _BUCKET, "_row", "leaves", *[F.sum(c).over(running).alias(c) for c in cols])
+        tagged.select(*group, "_row", "leaves", *[F.sum(c).over(running).alias(c) for c in cols])
         .where("leaves = 0")
-        .join(totals, [*keys, _BUCKET], "left")
+        .join(totals, group, "left")
         .select(*keys, "_row.*", *[
             (F.col(c) + F.coalesce(F.col(f"_p_{c}"), F.col(c) - F.col(c))).alias(c) for c in cols])
     )

@@ -1,9 +1,13 @@
 """The breaking-news pattern on a stream.
 
-Per key the only thing to remember is the newest significant article: each
-significant article closes whatever was open before it, and opens the pattern
-again if it is strong enough. Articles wait in state until the watermark has
-passed them, so that they are taken in time order.
+Each significant article closes whatever was open before it, and opens the
+pattern again if it is strong enough, so the newest one is all there is to
+remember. Articles wait in state until the watermark has passed them, so that
+they are taken in time order.
+
+State is kept per key and bucket of the pattern's length, with a copy of the
+next bucket's articles: a key that gets a large share of all news is spread
+over its buckets when a backlog is read, and no state outlives two of them.
 """
 
 from __future__ import annotations
@@ -14,13 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from quotelake.functions import lexicons as lex
+from quotelake.operators.ordered import with_halo
 from quotelake.operators.pattern import pattern_alert, pattern_key
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _ARTICLE = "title STRING, url STRING, symbols ARRAY<STRING>, sentiment_score DOUBLE, timestamp TIMESTAMP, id BIGINT"
-_OUT = "_key STRING, " + _ARTICLE
+_STATE = _ARTICLE + ", home BOOLEAN"
 _FIELDS = ["title", "url", "symbols", "sentiment_score", "timestamp", "id"]
+_SCORE, _TIME, _ID, _HOME = 3, 4, 5, 6
 
 
 class OpenStart(StatefulProcessor):
@@ -30,58 +36,61 @@ class OpenStart(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _ARTICLE)
-        self.newest = handle.getValueState("newest", _ARTICLE)
+        self.waiting = handle.getListState("waiting", _STATE)
+        self.newest = handle.getValueState("newest", _STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        times = set()
+        first = None
         for pdf in rows:
-            for row in pdf[_FIELDS].itertuples(index=False):
-                self.waiting.appendValue(self._tuple(row))
-                times.add(int(row.timestamp.timestamp() * 1000) + 1)
-        if times:
+            for row in pdf.itertuples(index=False):
+                article = self._article(row)
+                self.waiting.appendValue(article)
+                first = article[_TIME] if first is None else min(first, article[_TIME])
+        if first is not None:
             # one timer, at the first article waiting; later ones follow from it
-            pending = [t for t in self.handle.listTimers()]
-            first = min(times)
-            if not pending or first < min(pending):
+            at, pending = self._just_after(first), list(self.handle.listTimers())
+            if not pending or at < min(pending):
                 for t in pending:
                     self.handle.deleteTimer(t)
-                self.handle.registerTimer(first)
+                self.handle.registerTimer(at)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         watermark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        articles = sorted(self.waiting.get(), key=lambda a: (a[4], a[5]))
-        ready = [a for a in articles if pd.Timestamp(a[4]) < watermark]
-        later = [a for a in articles if pd.Timestamp(a[4]) >= watermark]
+        articles = sorted(self.waiting.get(), key=lambda a: (a[_TIME], a[_ID]))
+        later = [tuple(a) for a in articles if a[_TIME] >= watermark]
         newest = self.newest.get() if self.newest.exists() else None
         alerts = []
-        for article in ready:
-            if newest is not None and abs(newest[3]) > self.start and \
-                    pd.Timestamp(article[4]) - pd.Timestamp(newest[4]) < self.within:
-                alerts.append((key[0], *newest))
+        for article in articles[:len(articles) - len(later)]:
+            if newest is not None and newest[_HOME] and abs(newest[_SCORE]) > self.start \
+                    and article[_TIME] - newest[_TIME] < self.within:
+                alerts.append(tuple(newest)[:_HOME])
             newest = article
         self.waiting.clear()
         if later:
-            self.waiting.put([tuple(a) for a in later])
-            self.handle.registerTimer(int(pd.Timestamp(later[0][4]).timestamp() * 1000) + 1)
-        expires = None if newest is None else pd.Timestamp(newest[4]) + self.within
-        if newest is None or expires < watermark:
+            self.waiting.put(later)
+            self.handle.registerTimer(self._just_after(later[0][_TIME]))
+        if newest is None or newest[_TIME] + self.within < watermark:
             self.newest.clear()
         else:
             self.newest.update(tuple(newest))
             if not later:  # come back to forget it
-                self.handle.registerTimer(int(expires.timestamp() * 1000) + 1)
+                self.handle.registerTimer(self._just_after(newest[_TIME] + self.within))
         if alerts:
-            yield pd.DataFrame(alerts, columns=["_key", *_FIELDS])
+            yield pd.DataFrame(alerts, columns=_FIELDS)
 
     def close(self):
         pass
 
     @staticmethod
-    def _tuple(row):
+    def _just_after(time):
+        return int(pd.Timestamp(time).timestamp() * 1000) + 1
+
+    @staticmethod
+    def _article(row):
         symbols = [] if row.symbols is None else list(row.symbols)
-        return (row.title, row.url, symbols, float(row.sentiment_score), row.timestamp.to_pydatetime(), int(row.id))
+        return (row.title, row.url, symbols, float(row.sentiment_score), row.timestamp.to_pydatetime(), int(row.id),
+                bool(row.home))
 
 
 def breaking_news_stream(news: DataFrame, start=lex.BREAKING_START_SCORE, follow=lex.BREAKING_FOLLOW_SCORE,
@@ -91,9 +100,9 @@ def breaking_news_stream(news: DataFrame, start=lex.BREAKING_START_SCORE, follow
     The session needs ``spark.sql.streaming.stateStore.providerClass`` set to
     `STATE_STORE`. Only significant articles reach the state.
     """
-    significant = news.where(F.abs("sentiment_score") > follow).select(
-        pattern_key().alias("_key"), *[F.col(c) for c in _FIELDS])
-    starts = significant.groupBy("_key").transformWithStateInPandas(
-        statefulProcessor=OpenStart(start, within_seconds), outputStructType=_OUT, outputMode="append",
+    significant = news.where(F.abs("sentiment_score") > follow).select(pattern_key().alias("_key"), *_FIELDS)
+    spread = with_halo(significant, "timestamp", within_seconds).withColumnRenamed("_home", "home")
+    starts = spread.groupBy("_key", "_bucket").transformWithStateInPandas(
+        statefulProcessor=OpenStart(start, within_seconds), outputStructType=_ARTICLE, outputMode="append",
         timeMode="eventTime")
     return starts.select(*pattern_alert())

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from quotelake.operators.ordered import next_row, next_within, previous_row, rolling_sums
+from quotelake.operators.ordered import next_row, next_within, previous_row, rolling_sums, split_hot
 
 START = datetime(2024, 1, 1)
 SCHEMA = "id BIGINT, symbol STRING, price BIGINT, timestamp TIMESTAMP_NTZ"
@@ -37,16 +37,16 @@ def by_symbol(data):
 
 
 @pytest.mark.parametrize("width", ["1 second", "1 minute", "7 minutes", "1 day"])
-@pytest.mark.parametrize("step", [-1, 1])
-def test_neighbours(df, data, width, step):
+@pytest.mark.parametrize("step, hot_rows", [(-1, 10**6), (1, 10**6), (-1, 7), (1, 7)])
+def test_neighbours(df, data, width, step, hot_rows):
     want = {}
     for g in by_symbol(data):
         for i, r in enumerate(g):
             j = i + step
             want[r[0]] = g[j][2] if 0 <= j < len(g) else None
     op, out = (previous_row, "previous") if step < 0 else (next_row, "following")
-    got = op(df, ["symbol"], ["timestamp", "id"], ["price"], width)
-    assert got.columns == [*df.columns, out] or set(got.columns) == {*df.columns, out}
+    got = op(df, ["symbol"], ["timestamp", "id"], ["price"], width, hot_rows=hot_rows)
+    assert set(got.columns) == {*df.columns, out}
     assert {r["id"]: r[out] and r[out]["price"] for r in got.collect()} == want
 
 
@@ -59,6 +59,27 @@ def test_neighbour_with_null_value_is_not_skipped(rows):
     assert {r["id"]: r["previous"] is None for r in got.collect()} == {1: True, 2: False, 3: False}
 
 
+def test_hot_buckets_are_cut_into_small_runs(spark):
+    """A burst inside one minute is cut by time, copies of one instant by id;
+    the runs keep the order."""
+    burst = spark.range(1000).select(
+        "id", F.lit("BURST").alias("symbol"), (F.col("id") * 3 + 20_000_000).alias("at"))
+    copies = spark.range(500).select(
+        (F.col("id") + 5000).alias("id"), F.lit("COPIES").alias("symbol"), F.lit(7).cast("bigint").alias("at"))
+    calm = spark.range(50).select("id", F.lit("CALM").alias("symbol"), F.col("id").alias("at"))
+    rows = burst.union(copies).union(calm).withColumn("_bucket", F.lit(0).cast("bigint"))
+    got = split_hot(rows, ["symbol"], F.col("at"), F.col("id"), hot_rows=100)
+    runs = got.groupBy("symbol", "_part").agg(
+        F.count("*").alias("n"), F.min(F.struct("at", "id")).alias("lo"), F.max(F.struct("at", "id")).alias("hi"))
+    by_symbol = {}
+    for r in runs.orderBy("symbol", "_part").collect():
+        by_symbol.setdefault(r["symbol"], []).append(r)
+    assert {k: len(v) for k, v in by_symbol.items()} == {"BURST": 10, "COPIES": 5, "CALM": 1}
+    for parts in by_symbol.values():
+        assert max(r["n"] for r in parts) <= 101
+        assert all(a["hi"] < b["lo"] for a, b in zip(parts, parts[1:]))
+
+
 @pytest.mark.parametrize("seconds", [60, 300, 1800])
 def test_next_within(df, data, seconds):
     want = {}
@@ -70,13 +91,14 @@ def test_next_within(df, data, seconds):
     assert {r["id"]: r["following"] and r["following"]["price"] for r in got.collect()} == want
 
 
-@pytest.mark.parametrize("width", ["1 minute", "1 hour"])
-def test_rolling_sums(df, data, width):
+@pytest.mark.parametrize("width, hot_rows", [("1 minute", 10**6), ("1 hour", 10**6), ("1 hour", 5)])
+def test_rolling_sums(df, data, width, hot_rows):
     spans = {"s1": ("1 minute", 60), "s2": ("1 hour", 3600)}
     want = {}
     for g in by_symbol(data):
         for r in g:
             want[r[0]] = tuple(
                 sum(o[2] for o in g if r[3] - timedelta(seconds=n) <= o[3] <= r[3]) for _, n in spans.values())
-    got = rolling_sums(df, ["symbol"], "timestamp", {"v": F.col("price")}, {k: v[0] for k, v in spans.items()}, width)
+    got = rolling_sums(df, ["symbol"], "timestamp", {"v": F.col("price")}, {k: v[0] for k, v in spans.items()}, width,
+                       hot_rows)
     assert {r["id"]: (r["v_s1"], r["v_s2"]) for r in got.collect()} == want
