@@ -59,11 +59,11 @@ VIEWS = {
            CAST(round(value * 100) AS BIGINT) AS volume, ts AS timestamp, 'events' AS source FROM events""",
     "quoted": """
     SELECT *, CAST(price - lag(price) OVER w AS DECIMAL(19,4)) AS change,
-           CAST(price - lag(price) OVER w AS DOUBLE) / CAST(lag(price) OVER w AS DOUBLE) * 100 AS change_percent
+           CAST(price - lag(price) OVER w AS DOUBLE) / nullif(CAST(lag(price) OVER w AS DOUBLE), 0) * 100 AS change_percent
     FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY timestamp, id)""",
     "user_quoted": """
     SELECT *, CAST(price - lag(price) OVER w AS DECIMAL(19,4)) AS change,
-           CAST(price - lag(price) OVER w AS DOUBLE) / CAST(lag(price) OVER w AS DOUBLE) * 100 AS change_percent
+           CAST(price - lag(price) OVER w AS DOUBLE) / nullif(CAST(lag(price) OVER w AS DOUBLE), 0) * 100 AS change_percent
     FROM user_ticks WINDOW w AS (PARTITION BY symbol ORDER BY timestamp, id)""",
     "bars": """
     SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_extendedprice AS DECIMAL(19,4)) AS price,
@@ -159,6 +159,16 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def settled(column, digits=6):
+    """An average to compare between engines: the noise of summing in another
+    order goes first, then exact halves round up."""
+    return F.round(F.round(column, 12).cast("decimal(18,12)"), digits)
+
+
+def settled_sql(value: str, digits=6) -> str:
+    return f"CAST(round(CAST({value} AS DECIMAL(18,12)), {digits}) AS DOUBLE)"
+
+
 def query(name: str, sql: str = None, views=()):
     """Register a query and, if there is one, its SQL."""
     def register(fn):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quotelake.operators import market as M
 from quotelake.operators.signals import trading_signals
-from quotelake.plans.catalog import AS_OF, query
+from quotelake.plans.catalog import AS_OF, query, settled, settled_sql
 from quotelake.plans.signal_queries import quoted, scored_news
 from quotelake.sources import adapters as A
 
@@ -33,7 +33,7 @@ def _(spark, d):
 for _period, _span in [("1D", "1 DAY"), ("1W", "7 DAY"), ("1M", "1 MONTH"), ("3M", "3 MONTH"), ("1Y", "1 YEAR")]:
     @query(f"period_statistics_{_period}", f"""
     WITH r AS (
-      SELECT *, CAST(price - lag(price) OVER w AS DOUBLE) / CAST(lag(price) OVER w AS DOUBLE) * 100 / 100 AS ret
+      SELECT *, CAST(price - lag(price) OVER w AS DOUBLE) / nullif(CAST(lag(price) OVER w AS DOUBLE), 0) * 100 / 100 AS ret
       FROM ticks WHERE timestamp >= TIMESTAMP '{AS_OF}' - INTERVAL {_span} AND timestamp <= TIMESTAMP '{AS_OF}'
       WINDOW w AS (PARTITION BY symbol ORDER BY timestamp, id))
     SELECT symbol, '{_period}' AS period, CAST(sum(price) AS DOUBLE) / count(*) AS avg_price,
@@ -92,15 +92,15 @@ def _(spark, d):
     return M.high_low_52w(A.bars(spark, d))
 
 
-@query("signal_summary", """
+@query("signal_summary", f"""
 WITH signals AS (
   SELECT unnest(symbols) AS symbol, CASE WHEN sentiment_score > 0.3 THEN 'BUY' ELSE 'SELL' END AS signal_type,
          abs(sentiment_score) AS confidence FROM scored WHERE len(symbols) > 0 AND abs(sentiment_score) > 0.3)
-SELECT symbol, signal_type, count(*) AS signals, round(avg(confidence), 6) AS avg_confidence
+SELECT symbol, signal_type, count(*) AS signals, {settled_sql("avg(confidence)")} AS avg_confidence
 FROM signals GROUP BY ALL""", ["scored"])
 def _(spark, d):
     s = M.signal_summary(trading_signals(scored_news(spark, d), all_symbols=True))
-    return s.withColumn("avg_confidence", F.round("avg_confidence", 6))
+    return s.withColumn("avg_confidence", settled("avg_confidence"))
 
 
 _COUNTED = {"users": "customer", "stock_data": "events", "news_data": "documents", "notifications": "orders",

@@ -8,7 +8,7 @@ from quotelake.functions import lexicons as lex
 from quotelake.operators import pattern as P
 from quotelake.operators import signals as G
 from quotelake.operators import windows as W
-from quotelake.plans.catalog import KEYWORDS, NEGATIVE, POSITIVE, TICKERS, query
+from quotelake.plans.catalog import KEYWORDS, NEGATIVE, POSITIVE, TICKERS, query, settled, settled_sql
 from quotelake.sources import adapters as A
 
 STOCK_ALERT_COLUMNS = """symbol, alert_type, CAST(current_price AS DOUBLE) AS current_price,
@@ -174,10 +174,10 @@ _EXPLODED = """exploded AS (
 
 @query("window_sentiment_mean", f"""
 WITH {_EXPLODED}
-SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, symbol, round(avg(score), 6) AS avg_sentiment,
+SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, symbol, {settled_sql("avg(score)")} AS avg_sentiment,
        count(*) AS articles FROM exploded GROUP BY w, symbol""", ["scored"])
 def _(spark, d):
-    return W.window_sentiment(scored_news(spark, d)).withColumn("avg_sentiment", F.round("avg_sentiment", 6))
+    return W.window_sentiment(scored_news(spark, d)).withColumn("avg_sentiment", settled("avg_sentiment"))
 
 
 _PAIRWISE = f"""{_EXPLODED}, pairwise AS (
@@ -187,11 +187,11 @@ _PAIRWISE = f"""{_EXPLODED}, pairwise AS (
 
 @query("window_sentiment_pairwise", f"""
 WITH {_PAIRWISE}
-SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, symbol, round(r, 9) AS avg_sentiment, n AS articles
+SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, symbol, {settled_sql("r")} AS avg_sentiment, n AS articles
 FROM pairwise""", ["scored"])
 def _(spark, d):
     return W.window_sentiment(scored_news(spark, d), mode="pairwise").withColumn(
-        "avg_sentiment", F.round("avg_sentiment", 9))
+        "avg_sentiment", settled("avg_sentiment"))
 
 
 @query("sentiment_lines", f"""

@@ -57,7 +57,7 @@ WITH bar AS (
 SELECT w.user_id, u.email, u.first_name, 'Daily Market Digest - 2024-01-15' AS subject, w.symbol,
        CAST(open AS DOUBLE) AS open, CAST(high AS DOUBLE) AS high, CAST(low AS DOUBLE) AS low,
        CAST(close AS DOUBLE) AS close, volume,
-       CAST(close - open AS DOUBLE) / CAST(open AS DOUBLE) * 100 AS change_percent
+       CAST(close - open AS DOUBLE) / nullif(CAST(open AS DOUBLE), 0) * 100 AS change_percent
 FROM watchlist w JOIN bar b ON b.symbol = w.symbol JOIN users u ON u.id = w.user_id
 """, ["ticks", "watchlist", "users"])
 def _(spark, d):
@@ -382,12 +382,14 @@ def _(spark, d):
 WITH {_USER_ALERTS_SQL}
 SELECT {_ROW.format(
     subject='''\'Price Alert: \' || symbol || CASE WHEN change_percent > 0 THEN \' Price Increase \' ELSE
-       \' Price Decrease \' END || CAST(CAST(round(CAST(abs(change_percent) AS DECIMAL(38,16)), 2) AS DECIMAL(18,2)) AS VARCHAR)
+       \' Price Decrease \' END || CAST(CAST(round(CAST(round(abs(change_percent), 4) AS DECIMAL(28,4)), 2) AS DECIMAL(18,2)) AS VARCHAR)
        || \'%\'''',
     content="'Price change alert for ' || symbol", template="price-change-alert")},
        symbol AS data_symbol FROM price_alerts""", ["user_quoted"])
 def _(spark, d):
+    # a percentage has four places in the feed and in the tables
     a = _routed(spark, d).where("alert_type <> 'HIGH_VOLUME'").withColumns({
+        "change_percent": F.round("change_percent", 4),
         "old_price": F.col("previous_price").cast("double"), "new_price": F.col("current_price").cast("double")})
     rows = N.notify_price_alert(a)
     return rows.withColumn("data_symbol", F.get_json_object("template_data", "$.symbol")).drop("template_data")
