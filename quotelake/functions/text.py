@@ -23,27 +23,39 @@ def article_text(title: Column, content: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(content, F.lit("")))
 
 
-def has_term(text: Column, term: str, match="substring") -> Column:
-    """``substring`` finds the term anywhere, ``word`` only as a whole word."""
-    if match == "word":
-        return text.rlike(rf"\b{term}\b")
-    if match != "substring":
+def _check(match):
+    if match not in ("substring", "word"):
         raise ValueError(f"match must be 'substring' or 'word', not {match!r}")
-    return F.contains(text, F.lit(term))
+    return match == "word"
+
+
+def _whole_words(terms) -> str:
+    return r"\b(?:" + "|".join(terms) + r")\b"
 
 
 def count_terms(text: Column, terms, match="substring") -> Column:
-    """How many different terms occur, not how often."""
-    return reduce(add, [has_term(text, t, match).cast("int") for t in terms])
+    """How many different terms occur, not how often.
+
+    ``substring`` finds a term anywhere, ``word`` only as a whole word; all
+    words are looked for in one pass over the text.
+    """
+    if _check(match):
+        return F.size(found_terms(text, terms, match))
+    return reduce(add, [F.contains(text, F.lit(t)).cast("int") for t in terms])
 
 
 def any_term(text: Column, terms, match="substring") -> Column:
-    return reduce(or_, [has_term(text, t, match) for t in terms])
+    if _check(match):
+        return text.rlike(_whole_words(terms))
+    return reduce(or_, [F.contains(text, F.lit(t)) for t in terms])
 
 
 def found_terms(text: Column, terms, match="substring") -> Column:
     """The terms that occur, in list order."""
-    return F.array_compact(F.array(*[F.when(has_term(text, t, match), F.lit(t)) for t in terms]))
+    if _check(match):
+        hits = F.regexp_extract_all(text, F.lit(_whole_words(terms)), F.lit(0))
+        return F.array_intersect(F.array(*[F.lit(t) for t in terms]), hits)
+    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in terms]))
 
 
 def polarity(positive: Column, negative: Column) -> Column:

@@ -132,13 +132,14 @@ def database_stats(ticks: DataFrame, part_size=PART_SIZE) -> DataFrame:
     hash, so that no array holds all of a very long list.
     """
     per_symbol = ticks.groupBy("symbol").agg(F.count(F.lit(1)).alias("records"))
-    symbols = per_symbol.agg(F.count("symbol")).scalar()
-    records = per_symbol.agg(F.coalesce(F.sum("records"), F.lit(0))).scalar()
-    part = F.pmod(F.xxhash64("symbol"), F.ceil(symbols / F.lit(part_size))).cast("int")
+    totals = per_symbol.agg(F.struct(
+        F.count("symbol").alias("symbols"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"))).scalar()
+    part = F.pmod(F.xxhash64("symbol"), F.ceil(totals["symbols"] / F.lit(part_size))).cast("int")
     return (
         per_symbol.groupBy(part.alias("part"))
         .agg(F.array_sort(F.collect_list("symbol")).alias("available_symbols"))
-        .select("part", symbols.alias("total_symbols"), records.alias("total_records"), "available_symbols")
+        .select("part", totals["symbols"].alias("total_symbols"), totals["records"].alias("total_records"),
+                "available_symbols")
     )
 
 

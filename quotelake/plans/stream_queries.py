@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from quotelake.operators import signals as G
 from quotelake.operators import windows as W
+from quotelake.operators.alerts import route_alerts
 from quotelake.plans.catalog import KEYWORDS, NEGATIVE, POSITIVE, TICKERS, query
 from quotelake.plans.signal_queries import (
     NEWS_ALERT_COLUMNS, NEWS_ALERTS_SQL, PATTERN_SQL, PRICE_ALERTS_SQL, STOCK_ALERT_COLUMNS)
+from quotelake.plans.user_queries import ROUTE_ALERTS_SQL
 from quotelake.session import scratch_path
 from quotelake.sources import adapters as A
 from quotelake.sources import decode as D
@@ -34,7 +36,7 @@ def stream_of(spark, d, name):
 
 
 def tick_stream(spark, d):
-    return with_bounded_lateness(A._ticks(stream_of(spark, d, "events"), F.col("event_type")))
+    return with_bounded_lateness(A.ticks_of(stream_of(spark, d, "events"), F.col("event_type")))
 
 
 def run_to_files(spark, df, name, root=None):
@@ -110,7 +112,7 @@ def news_stream(spark, d):
     messages = n.select(F.to_json(F.struct(
         "title", "content", "url", F.unix_timestamp(F.col("timestamp").cast("timestamp")).alias("timestamp"),
         "source", "category")).alias("value"), F.lit(TP.NEWS).alias("topic"))
-    messages.write.partitionBy("topic").text(root)
+    K.publish(messages, folder=root)
     lines = TP.read_topic(spark, TP.NEWS, folder=root)
     news = J.enriched_news(lines, positive=POSITIVE, negative=NEGATIVE, known=TICKERS)
     return with_bounded_lateness(news, NEWS_LATENESS)
@@ -147,12 +149,20 @@ def _(spark, d):
         spark.conf.set(key, before)
 
 
+@query("stream_route_alerts", ROUTE_ALERTS_SQL, ["user_ticks", "user_alerts", "users"])
+def _(spark, d):
+    symbol = F.concat(F.lit("U"), F.col("user_id").cast("string"))
+    ticks = A.ticks_of(stream_of(spark, d, "events"), symbol)
+    routed = route_alerts(ticks, A.user_alerts(spark, d), A.users(spark, d))
+    return run_to_files(spark, routed, "routed")
+
+
 @query("stream_upsert_processed", """
 SELECT symbol, CAST(arg_max(price, h) AS DOUBLE) AS price, arg_max(volume, h) AS volume, timestamp, source
 FROM (SELECT *, id AS h FROM ticks) GROUP BY symbol, timestamp, source""", ["ticks"])
 def _(spark, d):
     root = scratch_path(spark, "upsert")
-    ticks = A._ticks(stream_of(spark, d, "events"), F.col("event_type")).withColumns({
+    ticks = A.ticks_of(stream_of(spark, d, "events"), F.col("event_type")).withColumns({
         "change_percent": F.lit(None).cast("double"), "arrival": F.col("id")})
     K.upsert_processed(K.processed_rows(ticks), f"{root}/out", f"{root}/checkpoint", trigger=NOW).awaitTermination()
     return K.read_processed(spark, f"{root}/out").select("symbol", "price", "volume", "timestamp", "source")
@@ -167,7 +177,7 @@ def _(spark, d):
     out = K.topic_messages(A.ticks(spark, d), TP.STOCK).unionByName(
         K.topic_messages(A.observations(spark, d), TP.ECONOMIC)).unionByName(
         K.topic_messages(A.users(spark, d), "other"))
-    out.write.partitionBy("topic").text(root)
+    K.publish(out, folder=root)
     lines = run_to_files(spark, TP.read_topics(spark, TP.DATA_TOPICS, folder=root), "lines")
     return lines.groupBy("topic").agg(F.count("value").alias("messages"))
 
@@ -176,7 +186,7 @@ def _(spark, d):
 SELECT symbol, CAST(price AS DOUBLE) AS price, volume, date_trunc('second', timestamp) AS timestamp, source
 FROM ticks""", ["ticks"])
 def _(spark, d):
-    ticks = A._ticks(stream_of(spark, d, "events"), F.col("event_type"))
+    ticks = A.ticks_of(stream_of(spark, d, "events"), F.col("event_type"))
     raw = ticks.select(F.to_json(F.struct(
         "symbol", "price", "volume", F.unix_timestamp(F.col("timestamp").cast("timestamp")).alias("timestamp"),
         "source")).alias("value"))

@@ -69,7 +69,7 @@ _SUBSCRIBED = """subscribed AS (
   FROM {alerts} a JOIN users u ON u.id = a.user_id WHERE a.enabled)"""
 
 
-@query("route_alerts", f"""
+ROUTE_ALERTS_SQL = f"""
 WITH {_SUBSCRIBED.format(alerts="user_alerts")}
 SELECT s.user_id, s.email, s.alert_id, s.symbol, s.alert_type, CAST(s.threshold_value AS DOUBLE) AS threshold_value,
        t.id AS event_id, CAST(t.price AS DOUBLE) AS price, t.volume, CAST(NULL AS DOUBLE) AS sentiment_score,
@@ -78,7 +78,10 @@ FROM user_ticks t JOIN subscribed s ON s.symbol = t.symbol
 WHERE CASE s.alert_type WHEN 'PRICE_ABOVE' THEN t.price >= s.threshold_value
                         WHEN 'PRICE_BELOW' THEN t.price <= s.threshold_value
                         WHEN 'VOLUME_SPIKE' THEN t.volume >= s.threshold_value ELSE false END
-""", ["user_ticks", "user_alerts", "users"])
+"""
+
+
+@query("route_alerts", ROUTE_ALERTS_SQL, ["user_ticks", "user_alerts", "users"])
 def _(spark, d):
     return R.route_alerts(A.user_ticks(spark, d), A.user_alerts(spark, d), A.users(spark, d))
 

@@ -26,7 +26,7 @@ def pick(values, index) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(index, F.lit(len(values))) + 1).cast("int"))
 
 
-def _ticks(events, symbol):
+def ticks_of(events, symbol):
     return events.select(
         F.col("event_id").alias("id"), symbol.alias("symbol"), F.col("value").cast("decimal(19,4)").alias("price"),
         F.round(F.col("value") * 100).cast("bigint").alias("volume"), F.col("ts").alias("timestamp"),
@@ -35,12 +35,12 @@ def _ticks(events, symbol):
 
 def ticks(spark, sf_dir) -> DataFrame:
     """Five busy symbols: the event types."""
-    return _ticks(table(spark, sf_dir, "events"), F.col("event_type"))
+    return ticks_of(table(spark, sf_dir, "events"), F.col("event_type"))
 
 
 def user_ticks(spark, sf_dir) -> DataFrame:
     """Many symbols: the users of the events."""
-    return _ticks(table(spark, sf_dir, "events"), F.concat(F.lit("U"), F.col("user_id").cast("string")))
+    return ticks_of(table(spark, sf_dir, "events"), F.concat(F.lit("U"), F.col("user_id").cast("string")))
 
 
 def quoted(ticks_df: DataFrame) -> DataFrame:

@@ -20,8 +20,9 @@ from pyspark.sql.streaming import StatefulProcessor
 from quotelake.functions import lexicons as lex
 from quotelake.operators.ordered import with_halo
 from quotelake.operators.pattern import pattern_alert, pattern_key
+from quotelake.session import SESSION_CONF
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_STORE = SESSION_CONF["spark.sql.streaming.stateStore.providerClass"]
 
 _ARTICLE = "title STRING, url STRING, symbols ARRAY<STRING>, sentiment_score DOUBLE, timestamp TIMESTAMP, id BIGINT"
 _STATE = _ARTICLE + ", home BOOLEAN"
@@ -98,7 +99,7 @@ def breaking_news_stream(news: DataFrame, start=lex.BREAKING_START_SCORE, follow
     """`breaking_news_pattern` for a watermarked stream with an ``id``.
 
     The session needs ``spark.sql.streaming.stateStore.providerClass`` set to
-    `STATE_STORE`. Only significant articles reach the state.
+    `STATE_STORE`, as `build_session` does. Only significant articles reach the state.
     """
     significant = news.where(F.abs("sentiment_score") > follow).select(pattern_key().alias("_key"), *_FIELDS)
     spread = with_halo(significant, "timestamp", within_seconds).withColumnRenamed("_home", "home")

@@ -51,6 +51,14 @@ def fan_out_topics(df: DataFrame, kind="stock") -> DataFrame:
     return df.select(json_value(df, camel=True).alias("value"), to.alias("topic"))
 
 
+def publish(messages: DataFrame, servers=None, folder=None) -> None:
+    """Write a batch of (topic, value) rows, with a key or without."""
+    if folder is not None:
+        messages.select("value", "topic").write.mode("append").partitionBy("topic").text(folder)
+    else:
+        messages.write.format("kafka").options(**TP.kafka_write_options(servers)).save()
+
+
 def write_topic(messages: DataFrame, checkpoint: str, name: str, servers=None, folder=None, trigger=None):
     """Start a stream that writes (topic, value) rows to a broker or to folders."""
     writer = messages.writeStream.queryName(name).option("checkpointLocation", checkpoint)
