@@ -48,7 +48,8 @@ def split_hot(bucketed: DataFrame, keys, position: Column, tie: Column = None, h
     )
 
     def run(value, first, last):
-        share = (value - F.col(first)).cast("double") / ((F.col(last) - F.col(first)).cast("double") + 1)
+        low, high = F.col(first).cast("double"), F.col(last).cast("double")  # as doubles: hashed ids span all longs
+        share = (value.cast("double") - low) / (high - low + 1)
         return F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1)
 
     part = F.when(F.col("_p1") > F.col("_p0"), run(position, "_p0", "_p1")).otherwise(run(tie, "_t0", "_t1"))

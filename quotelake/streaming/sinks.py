@@ -217,8 +217,10 @@ def delete_expired_days(spark: SparkSession, root: str, name: str, cutoff: datet
     table = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
     fs = table.getFileSystem(conf)
     today = jvm.org.apache.hadoop.fs.Path(table, f"{DAY}={day}")
+    staged = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}-kept-{day}")
+    if not fs.exists(today) and fs.exists(jvm.org.apache.hadoop.fs.Path(staged, "_SUCCESS")):
+        fs.rename(staged, today)  # an earlier run ended between the two steps below
     if fs.exists(today):
-        staged = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}-kept-{day}")
         kept = retain_since(read_table(spark, root, name).where(F.col(DAY) == F.lit(day)), cutoff)
         kept.drop(DAY).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(staged.toString())
         fs.delete(today, True)

@@ -65,7 +65,7 @@ def test_hot_buckets_are_cut_into_small_runs(spark):
     burst = spark.range(1000).select(
         "id", F.lit("BURST").alias("symbol"), (F.col("id") * 3 + 20_000_000).alias("at"))
     copies = spark.range(500).select(
-        (F.col("id") + 5000).alias("id"), F.lit("COPIES").alias("symbol"), F.lit(7).cast("bigint").alias("at"))
+        (F.lit(-2**62) + F.col("id") * (2**63 // 500)).alias("id"), F.lit("COPIES").alias("symbol"), F.lit(7).cast("bigint").alias("at"))
     calm = spark.range(50).select("id", F.lit("CALM").alias("symbol"), F.col("id").alias("at"))
     rows = burst.union(copies).union(calm).withColumn("_bucket", F.lit(0).cast("bigint"))
     got = split_hot(rows, ["symbol"], F.col("at"), F.col("id"), hot_rows=100)
