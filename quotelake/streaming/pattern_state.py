@@ -12,7 +12,10 @@ over its buckets when a backlog is read, and no state outlives two of them.
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -24,6 +27,9 @@ from quotelake.session import SESSION_CONF
 
 STATE_STORE = SESSION_CONF["spark.sql.streaming.stateStore.providerClass"]
 
+# The processor travels to the workers as code, so that they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _ARTICLE = "title STRING, url STRING, symbols ARRAY<STRING>, sentiment_score DOUBLE, timestamp TIMESTAMP, id BIGINT"
 _STATE = _ARTICLE + ", home BOOLEAN"
 _FIELDS = ["title", "url", "symbols", "sentiment_score", "timestamp", "id"]
