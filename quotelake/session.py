@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -37,20 +36,13 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it.
+    """The folder every executor can reach, as the cluster names it in `spark.checkpoint.dir`.
 
-    A temporary local folder is used only where the setting is absent, which
-    is the single-machine case.
+    Where the setting is absent, a folder of the warehouse, which all executors share too.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     configured = configured or spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    local = tempfile.mkdtemp(prefix="quotelake-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    return configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
