@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quotelake.llm.block_naming import drop_exact_duplicates
+from quotelake.llm.group_join import drop_near_duplicates
 from quotelake.llm.line_rules import keep_clean
 from quotelake.llm.packing import pack
+from quotelake.llm.pseudonyms import pseudonymize
 from quotelake.llm.tables import keep, table
 
+KEY = b"quotelake demonstration key"  # users set their own
 ORACLE_SQL = None  # keyed permutations and packing cannot be said in SQL
 
 
@@ -23,12 +27,24 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_duplicates(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of texts whose sets of five-word shingles are similar to 0.8 or more."""
+    return drop_near_duplicates(docs, size=5, percent=80)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Validated personal numbers, addresses and dates replaced by keyed pseudonyms; `n_chars` follows the text."""
+    masked = pseudonymize(docs, KEY)
+    return masked.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in masked.columns else masked
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens with their sequence and place."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("best_fit_packing", best_fit_packing)]
+STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("pii", pii),
+          ("best_fit_packing", best_fit_packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,7 +241,7 @@ class StreamCodec:
         self.bytes_of = byte_alphabet() if kind else None
         self.spaced = re.compile(f"[^{SPACES}]+")
         self.letters: dict[str, list[int]] = {}
-        self.memo = Memo(lambda words: [self._word(w) for w in words])
+        self.memo = Memo(self._word)
 
     def _word(self, word: str):
         ids = [i for piece in self._pieces(word) for i in self._piece(piece)]
@@ -273,20 +273,15 @@ class StreamCodec:
 
     def round_trip(self, texts: list[str]) -> list[tuple[str, str]]:
         """Per text its ids in decimal, joined by blanks, and what they decode to."""
-        lists = []
-        for text in texts:
-            parts = self.special.split(text) if self.special else [text]
-            lists.append([p if k % 2 else self.words(p) for k, p in enumerate(parts)])
-        self.memo.learn([w for parts in lists for w in parts if isinstance(w, list)])
         get, out = self.memo.__getitem__, []
-        for parts in lists:
+        for text in texts:
             found = []
-            for p in parts:
-                found += [(str(self.added[p]), p)] if isinstance(p, str) else map(get, p)
+            for k, part in enumerate(self.special.split(text) if self.special else [text]):
+                found += [(str(self.added[part]), part)] if k % 2 else map(get, self.words(part))
             found = [f for f in found if f[0]]
             ids = " ".join([f[0] for f in found])
-            text = " ".join([f[1] for f in found]) if self.bytes_of is None else self.decode(map(int, ids.split()))
-            out.append((ids, text))
+            out.append((ids, " ".join([f[1] for f in found]) if self.bytes_of is None
+                        else self.decode(map(int, ids.split()))))
         return out
 
 

@@ -71,25 +71,19 @@ def latin_word(body: str) -> tuple[str, str] | None:
 
 
 class Memo(dict):
-    """Values of chunks; forgets everything when a batch would take it over its size."""
+    """Values of chunks, made when first asked for; forgets everything when full, and never keeps long chunks."""
 
     def __init__(self, make, size=MEMO):
         super().__init__()
-        self.make, self.size, self.brief = make, size, []
-
-    def learn(self, lists):
-        for key in self.brief:
-            self.pop(key, None)
-        wanted = set().union(*lists)
-        new = wanted.difference(self)
-        if len(self) + len(new) > self.size:
-            self.clear()
-            new = wanted
-        new = list(new)
-        for at in range(0, len(new), 5000):
-            part = new[at:at + 5000]
-            self.update(zip(part, self.make(part)))
-        self.brief = [key for key in new if len(key) > MEMO_CHARS]
+        self.make, self.size = make, size
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= self.size:
+                self.clear()
+            self[key] = value
+        return value
 
 
 def pieces(chunk: str, cut) -> list[str]:
@@ -122,7 +116,7 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as file:
             self.by_chunk = splits_at_space(json.load(file))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = Memo(lambda keys: [self.chunk(k) for k in keys])
+        self.memo = Memo(self.chunk)
         self.cut, self.merge = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
 
     def chunk(self, text: str) -> bytes:
@@ -135,10 +129,9 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return self.whole(texts)
-        lists = [chunks(t) if t and not any(a in t for a in self.added) else None for t in texts]
-        self.memo.learn([x for x in lists if x])
         get = self.memo.__getitem__
-        return [b"".join(map(get, x)) if x else self.whole([t])[0] if t else b"" for x, t in zip(lists, texts)]
+        return [b"" if not t else self.whole([t])[0] if any(a in t for a in self.added) else b"".join(map(get, chunks(t)))
+                for t in texts]
 
 
 def encoder(path: str) -> ChunkEncoder:

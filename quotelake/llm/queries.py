@@ -3,22 +3,39 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from quotelake.llm.block_naming import exact_duplicates
 from quotelake.llm.bpe_stream import bpe_round_trip
+from quotelake.llm.byte_cnn import learn_quality, score_quality
+from quotelake.llm.group_join import near_duplicates
 from quotelake.llm.line_rules import line_quality
 from quotelake.llm.packing import pack
+from quotelake.llm.pseudonyms import pseudonym_report
+from quotelake.llm.secret_forest import scan_secrets
 from quotelake.llm.tables import table
 from quotelake.llm.token_counts import token_counts
 from quotelake.llm.token_store import stored_tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
+KEY = b"quotelake demonstration key"  # users pass their own
 
 _FOLD = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op1_byte_cnn_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, learn_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_secret_forest(spark, sf_dir):
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word_no", "part", F.sha2("candidate", 256).alias("candidate_sha256"),
+                        F.length("candidate").alias("length"), "score", "is_secret")
+
+
 def op3_token_store(spark, sf_dir):
     return stored_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -31,6 +48,14 @@ def op5_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op6_group_prefix_join(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+def op7_pseudonyms(spark, sf_dir):
+    return pseudonym_report(table(spark, sf_dir, "documents"), KEY)
+
+
 def op8_line_quality(spark, sf_dir):
     return line_quality(table(spark, sf_dir, "documents"))
 
@@ -85,6 +110,6 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM t WINDOW g AS (PARTITION BY folded)"""
 
 QUERIES = {f.__name__: f for f in (
-    op3_token_store, op4_bpe_round_trip, op5_best_fit_packing, op8_line_quality, op9_token_counts,
-    op10_exact_duplicates)}
+    op1_byte_cnn_quality, op2_secret_forest, op3_token_store, op4_bpe_round_trip, op5_best_fit_packing,
+    op6_group_prefix_join, op7_pseudonyms, op8_line_quality, op9_token_counts, op10_exact_duplicates)}
 ORACLES = {"op8_line_quality": LINE_QUALITY, "op10_exact_duplicates": EXACT_DUPLICATES}

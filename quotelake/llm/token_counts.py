@@ -61,17 +61,14 @@ class TokenCounter:
         self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.memo = Memo(lambda keys: [sum(symbols_left(list(p), self.ranks) for p in pieces(k, self.cut)) for k in keys])
+        self.memo = Memo(lambda key: sum(symbols_left(list(p), self.ranks) for p in pieces(key, self.cut)))
 
     def count(self, texts: list[str]) -> list[int]:
-        extra, lists = [], []
+        get, out = self.memo.__getitem__, []
         for text in texts:
             parts = self.added.split(text) if self.added else [text]  # an added token is one token
-            extra.append(len(parts) - 1)
-            lists.append([c for p in parts if p for c in chunks(p)])
-        self.memo.learn(lists)
-        get = self.memo.__getitem__
-        return [sum(map(get, x)) + e for x, e in zip(lists, extra)]
+            out.append(sum(sum(map(get, chunks(p))) for p in parts if p) + len(parts) - 1)
+        return out
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id",
