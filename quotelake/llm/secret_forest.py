@@ -47,7 +47,7 @@ def candidates(docs: DataFrame, dictionary: list[str], id_col: str = "doc_id", t
         F.coalesce(F.get("words", i + 1), F.lit("")).alias("after")))
     rows = words.select("doc_id", F.explode(around).alias("w")).select("doc_id", "w.*").select(
         "*", F.posexplode(F.regexp_extract_all("word", F.lit(RUN), F.lit(1))).alias("part", "candidate"))
-    c, n = F.col("candidate"), F.length("candidate")
+    c, n, head = F.col("candidate"), F.length("candidate"), F.expr("substring_index(word, candidate, 1)")
     # longer words first, so that a word isn't left half covered by a shorter one
     cover = "|".join(sorted(dictionary, key=lambda w: (-len(w), w)))
 
@@ -66,9 +66,9 @@ def candidates(docs: DataFrame, dictionary: list[str], id_col: str = "doc_id", t
         "hex": flag(c.rlike("^([0-9a-f]+|[0-9A-F]+)$")),
         "coverage": 1 - F.length(F.regexp_replace(F.lower(c), cover, "")) / n if cover else F.lit(0.0),
         "path": flag(F.col("word").rlike("[a-z]+://|^/|/.*/|[.][a-z]{2,4}$")),
-        "near": flag(F.concat_ws(" ", "second", "before", F.substring_index("word", c, 1)).rlike(NEAR)),
-        "assigned": flag(F.col("before").rlike("[=:]$") | F.substring_index("word", c, 1).rlike("[=:][\"']?$")),
-        "quoted": flag(F.substring_index("word", c, 1).rlike("[\"']$")),
+        "near": flag(F.concat_ws(" ", "second", "before", head).rlike(NEAR)),
+        "assigned": flag(F.col("before").rlike("[=:]$") | head.rlike("[=:][\"']?$")),
+        "quoted": flag(head.rlike("[\"']$")),
         "prose": (flag(F.col("before").rlike("^[a-z]+[.,]?$")) + flag(F.col("after").rlike("^[a-z]+[.,]?$"))) / 2,
     }
     return rows.select("doc_id", "word_no", "part", "candidate", *(v.cast("double").alias(k) for k, v in features.items()))
