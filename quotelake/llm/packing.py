@@ -97,12 +97,31 @@ def price_and_place(need: np.ndarray, capacity: int, steps: int = STEPS, rate: f
         if not rest.any():
             break
         found = best_configuration(np.where(rest > 0, sizes ** power * weights, 0), capacity)
-        config = {size: min(times, int(rest[size])) for size, times in found.items()}
+        # the price takes lengths as often as it likes; room left by those that run short is filled
+        config = Counter({size: min(times, int(rest[size])) for size, times in found.items()})
+        left = rest.copy()
+        for s, t in config.items():
+            left[s] -= t
+        config = fill(config, left, capacity - sum(s * t for s, t in config.items()))
         copies = min(int(rest[s]) // t for s, t in config.items())
         for s, t in config.items():
             rest[s] -= t * copies
             weights[s] *= np.exp(-rate * t * copies / need[s])
-        yield config, copies, rest
+        yield dict(config), copies, rest
+
+
+def fill(config: Counter, left: np.ndarray, room: int) -> Counter:
+    """Add the largest lengths of `left` that still fit, until nothing does."""
+    while room:
+        fit = np.flatnonzero(left[:room + 1])
+        if not len(fit):
+            break
+        size = int(fit[-1])
+        times = min(int(left[size]), room // size)
+        config[size] += times
+        left[size] -= times
+        room -= times * size
+    return config
 
 
 def best_fit(need: np.ndarray, capacity: int) -> list[tuple[dict, int]]:
@@ -112,16 +131,7 @@ def best_fit(need: np.ndarray, capacity: int) -> list[tuple[dict, int]]:
     """
     need, out = need.copy(), []
     while need.any():
-        config, room, left = Counter(), capacity, need.copy()
-        while room:
-            fit = np.flatnonzero(left[:room + 1])
-            if not len(fit):
-                break
-            size = int(fit[-1])
-            times = min(int(left[size]), room // size)
-            config[size] += times
-            left[size] -= times
-            room -= times * size
+        config = fill(Counter(), need.copy(), capacity)
         repeat = min(int(need[s]) // t for s, t in config.items())
         for s, t in config.items():
             need[s] -= t * repeat
