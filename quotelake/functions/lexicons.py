@@ -35,4 +35,3 @@ BREAKING_START_SCORE = 0.7
 BREAKING_FOLLOW_SCORE = 0.5
 BREAKING_WITHIN_SECONDS = 30 * 60
 SUMMARY_CHARS = 200
-ARTICLE_CHARS = 1000

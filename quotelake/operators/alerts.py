@@ -43,16 +43,16 @@ def route_alerts(events: DataFrame, alerts: DataFrame, users: DataFrame) -> Data
 
     PRICE_ABOVE and PRICE_BELOW include the threshold, VOLUME_SPIKE is an
     absolute volume, NEWS_SENTIMENT the strength of a score. ``events`` may be
-    a stream. See `route_alerts_per` for busy symbols.
+    a stream. An event meets only alerts of kinds it has a value for. See `route_alerts_per` for busy symbols.
     """
     e = _with_measures(events)
-    met = reduce(or_, [
-        _fires("PRICE_ABOVE", F.col("price")), _fires("PRICE_BELOW", F.col("price")),
-        _fires("VOLUME_SPIKE", F.col("volume")), _fires("NEWS_SENTIMENT", F.abs(F.col("sentiment_score"))),
-    ])
+    measures = {"PRICE_ABOVE": F.col("price"), "PRICE_BELOW": F.col("price"), "VOLUME_SPIKE": F.col("volume"),
+                "NEWS_SENTIMENT": F.abs(F.col("sentiment_score"))}
+    met = reduce(or_, [_fires(kind, value) for kind, value in measures.items()])
+    kinds = F.array_compact(F.array(*[F.when(v.isNotNull(), F.lit(k)) for k, v in measures.items()]))
     return (
-        e.select(F.col("id").alias("event_id"), "symbol", *_MEASURES, "timestamp")
-        .join(_subscriptions(alerts, users), "symbol")
+        e.select(F.col("id").alias("event_id"), "symbol", *_MEASURES, "timestamp", F.explode(kinds).alias("alert_type"))
+        .join(_subscriptions(alerts, users), ["symbol", "alert_type"])
         .where(met)
         .select("user_id", "email", "alert_id", "symbol", "alert_type", "threshold_value", "event_id",
                 *_MEASURES, "timestamp")
@@ -64,26 +64,31 @@ def route_alerts_per(events: DataFrame, alerts: DataFrame, users: DataFrame, per
 
     Whether a threshold is met in a window depends on the window's extremes
     alone, so events are reduced to one row per symbol, window and kind of
-    alert before they meet the alerts. ``value`` is that extreme.
+    alert before they meet the alerts. ``value`` is that extreme; it is compared as it is,
+    as in `route_alerts`, never rounded.
     """
     e = _with_measures(events)
     extremes = e.groupBy("symbol", F.window("timestamp", per)).agg(
         F.max("price").alias("hi"), F.min("price").alias("lo"), F.max("volume").alias("vol"),
         F.max(F.abs("sentiment_score")).alias("score"))
+    exact = "decimal(28,4)"  # holds prices and volumes as they are
     kinds = F.array(*[
-        F.struct(F.lit(kind).alias("alert_type"), F.col(c).cast("decimal(28,4)").alias("value"))
+        F.struct(F.lit(kind).alias("alert_type"), (F.lit(None) if c == "score" else F.col(c)).cast(exact).alias("value"),
+                 (F.col(c) if c == "score" else F.lit(None)).cast("double").alias("strength"))
         for kind, c in [("PRICE_ABOVE", "hi"), ("PRICE_BELOW", "lo"), ("VOLUME_SPIKE", "vol"),
                         ("NEWS_SENTIMENT", "score")]])
     facts = (
         extremes.select("symbol", F.col("window.start").alias("window_start"), F.explode(kinds).alias("k"))
-        .select("symbol", "window_start", "k.*").where("value IS NOT NULL")
+        .select("symbol", "window_start", "k.*").where("value IS NOT NULL OR strength IS NOT NULL")
     )
     value, limit = F.col("value"), F.col("threshold_value")
-    met = F.when(F.col("alert_type") == "PRICE_BELOW", value <= limit).otherwise(value >= limit)
+    met = F.when(F.col("alert_type") == "PRICE_BELOW", value <= limit).when(
+        F.col("alert_type") == "NEWS_SENTIMENT", F.col("strength") >= limit).otherwise(value >= limit)
     return (
         facts.join(_subscriptions(alerts, users), ["symbol", "alert_type"])
         .where(met)
-        .select("user_id", "email", "alert_id", "symbol", "alert_type", "threshold_value", "window_start", "value")
+        .select("user_id", "email", "alert_id", "symbol", "alert_type", "threshold_value", "window_start",
+                F.coalesce(F.col("strength"), value.cast("double")).alias("value"))
     )
 
 

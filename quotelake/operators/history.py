@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quotelake.functions.timefn import before, moment
-from quotelake.operators.nesting import PART_SIZE
+from quotelake.functions.timefn import before, micros, moment
 from quotelake.operators.ordered import previous_row
 
-MAX_INLINE_SYMBOLS = 1000
+_WHOLE = ("byte", "short", "integer", "long")
+
 
+def position(df: DataFrame, order):
+    """What rows are ordered by, of a type that aggregates by hashing where there is one.
 
-def position(order):
-    """What rows are ordered by. A single column aggregates by hashing, more
-    need a sort inside each input partition: give only the time where it is
-    unique per symbol."""
-    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    A time followed by a whole number becomes one decimal; anything else a struct,
+    for which Spark sorts each input partition.
+    """
+    kinds = [df.schema[c].dataType.typeName() for c in order]
+    if len(order) == 1:
+        return F.col(order[0])
+    if len(order) == 2 and kinds[0].startswith("timestamp") and kinds[1] in _WHOLE:
+        # microseconds take 17 digits and a whole number 19; the offset keeps negative numbers in order
+        at = micros(F.col(order[0])).cast("decimal(18,0)") * F.lit(Decimal(2 ** 64))
+        key = at + F.col(order[1]).cast("decimal(20,0)")
+        return F.when(F.col(order[0]).isNotNull() & F.col(order[1]).isNotNull(), key.cast("decimal(38,0)"))
+    return F.struct(*order)
 
 
 def filter_symbol(ticks: DataFrame, symbol: str) -> DataFrame:
@@ -25,18 +36,10 @@ def filter_symbol(ticks: DataFrame, symbol: str) -> DataFrame:
 
 
 def filter_symbols(ticks: DataFrame, symbols) -> DataFrame:
-    """Rows of the listed symbols; a DataFrame of symbols joins instead.
-
-    Long lists are turned into a semi join, which Spark broadcasts or not by
-    its own size check.
-    """
+    """Rows of the listed symbols; a DataFrame of symbols joins instead. Columns keep their order."""
     if isinstance(symbols, DataFrame):
-        return ticks.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
-    symbols = list(symbols)
-    if len(symbols) <= MAX_INLINE_SYMBOLS:
-        return ticks.where(F.col("symbol").isin(symbols))
-    wanted = ticks.sparkSession.createDataFrame([(s,) for s in symbols], "symbol string")
-    return filter_symbols(ticks, wanted)
+        return ticks.join(symbols.select("symbol").distinct(), "symbol", "left_semi").select(*ticks.columns)
+    return ticks.where(F.col("symbol").isin(list(symbols)))
 
 
 def ticks_in(ticks: DataFrame, symbol, start, end) -> DataFrame:
@@ -125,22 +128,13 @@ def approx_symbol_count(ticks: DataFrame, rsd=0.01) -> DataFrame:
     return ticks.agg(F.approx_count_distinct("symbol", rsd).alias("symbols"))
 
 
-def database_stats(ticks: DataFrame, part_size=PART_SIZE) -> DataFrame:
-    """Totals and the list of symbols.
-
-    Up to ``part_size`` symbols are one row; more are spread over several by
-    hash, so that no array holds all of a very long list.
-    """
+def database_stats(ticks: DataFrame) -> DataFrame:
+    """One row per available symbol with its records, and one ``total`` row with the number of symbols and records."""
     per_symbol = ticks.groupBy("symbol").agg(F.count(F.lit(1)).alias("records"))
-    totals = per_symbol.agg(F.struct(
-        F.count("symbol").alias("symbols"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"))).scalar()
-    part = F.pmod(F.xxhash64("symbol"), F.ceil(totals["symbols"] / F.lit(part_size))).cast("int")
-    return (
-        per_symbol.groupBy(part.alias("part"))
-        .agg(F.array_sort(F.collect_list("symbol")).alias("available_symbols"))
-        .select("part", totals["symbols"].alias("total_symbols"), totals["records"].alias("total_records"),
-                "available_symbols")
-    )
+    totals = per_symbol.agg(F.count("symbol").alias("symbols"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"))
+    return per_symbol.select(F.lit("symbol").alias("kind"), "symbol", F.lit(1).cast("bigint").alias("symbols"), "records"
+                             ).unionByName(totals.select(F.lit("total").alias("kind"),
+                                                         F.lit(None).cast("string").alias("symbol"), "symbols", "records"))
 
 
 def first_last_value(ticks: DataFrame, order=("timestamp", "id")) -> DataFrame:
@@ -149,7 +143,7 @@ def first_last_value(ticks: DataFrame, order=("timestamp", "id")) -> DataFrame:
     The two values are aggregates joined back, so that a day of a hot symbol
     is never sorted in one task.
     """
-    at = F.struct(*order)
+    at = position(ticks, order)
     dated = ticks.withColumn("date", F.to_date("timestamp"))
     ends = dated.groupBy("symbol", "date").agg(
         F.min_by("price", at).alias("first_price"), F.max_by("price", at).alias("last_price"))

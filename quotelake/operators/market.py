@@ -64,8 +64,8 @@ def _movers_of(latest, kind, n):
 
 
 def market_movers(ticks: DataFrame, kind="gainers", n=10) -> DataFrame:
-    """Top symbols by their latest tick; at most 50, as the interface states."""
-    return _movers_of(latest_tick(ticks), kind, min(n, 50))
+    """The first ``n`` symbols by their latest tick."""
+    return _movers_of(latest_tick(ticks), kind, n)
 
 
 def market_summary(ticks: DataFrame, n=5, indices=lex.INDEX_SYMBOLS) -> DataFrame:
@@ -141,10 +141,10 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def news_filter(news: DataFrame, symbols=None, category=None, limit=20) -> DataFrame:
-    """Newest articles about any of the symbols; at most 100, as the interface states."""
+    """The newest ``limit`` articles about any of the symbols."""
     rows = news
     if symbols:
         rows = rows.where(F.arrays_overlap("symbols", F.array(*[F.lit(s) for s in symbols])))
     if category:
         rows = rows.where(F.col("category") == category)
-    return top_k(rows, [F.desc("timestamp"), F.desc("id")], min(limit, 100))
+    return top_k(rows, [F.desc("timestamp"), F.desc("id")], limit)

@@ -166,9 +166,9 @@ def recent_notifications(notifications: DataFrame, user_id, as_of, span="7 days"
 
 
 def notification_page(notifications: DataFrame, user_id, page=0, size=20, status=None) -> DataFrame:
-    """A user's notifications newest first; pages hold at most 100."""
+    """A page of a user's notifications, newest first."""
     rows = notifications_by(notifications.where(F.col("user_id") == user_id), status)
-    return page_of(rows, _newest_first(), page, min(size, 100))
+    return page_of(rows, _newest_first(), page, size)
 
 
 def notification_stats(notifications: DataFrame) -> DataFrame:

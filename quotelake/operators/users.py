@@ -7,26 +7,18 @@ from pyspark.sql import functions as F
 
 from quotelake.functions.timefn import moment
 from quotelake.operators.history import latest_tick
-from quotelake.operators.nesting import PART_SIZE, nest_values
 from quotelake.operators.windows import ohlc_daily
 
 
-def user_profiles(users: DataFrame, roles: DataFrame, watchlist: DataFrame, part_size=PART_SIZE) -> DataFrame:
-    """Users with their set of roles and of watched symbols.
-
-    ``part`` is 0, except for a watchlist of more than ``part_size`` symbols,
-    which is spread over several rows.
-    """
+def user_profiles(users: DataFrame, roles: DataFrame, watchlist: DataFrame) -> DataFrame:
+    """A row per user and watched symbol with the user's set of roles; a null symbol for an empty watchlist."""
     role_sets = roles.groupBy("user_id").agg(F.array_sort(F.collect_set("role")).alias("roles"))  # an enum of three
-    watched = nest_values(watchlist, "user_id", "symbol", "watchlist", part_size)
-    none = F.array().cast("array<string>")
+    watched = watchlist.select("user_id", "symbol").where("symbol IS NOT NULL").distinct()
     return (
         users.withColumnRenamed("id", "user_id")
         .join(role_sets, "user_id", "left")
         .join(watched, "user_id", "left")
-        .withColumns({
-            "roles": F.coalesce("roles", none), "watchlist": F.coalesce("watchlist", none),
-            "part": F.coalesce("part", F.lit(0))})
+        .withColumn("roles", F.coalesce("roles", F.array().cast("array<string>")))
     )
 
 
@@ -68,64 +60,64 @@ def daily_digest(users: DataFrame, watchlist: DataFrame, ticks: DataFrame, day)
     )
 
 
-def news_with_symbols(news: DataFrame, news_symbols: DataFrame, part_size=PART_SIZE) -> DataFrame:
-    """Articles with their symbols nested, in parts for an article with very many."""
-    nested = nest_values(news_symbols.withColumnRenamed("news_id", "id"), "id", "symbol", "symbols", part_size)
-    return (
-        news.drop("symbols").join(nested, "id", "left")
-        .withColumns({"symbols": F.coalesce("symbols", F.array().cast("array<string>")),
-                      "part": F.coalesce("part", F.lit(0))})
-    )
+def news_with_symbols(news: DataFrame, news_symbols: DataFrame) -> DataFrame:
+    """A row per article and symbol; a null symbol for an article without any."""
+    named = news_symbols.select(F.col("news_id").alias("id"), "symbol").where("symbol IS NOT NULL").distinct()
+    return news.drop("symbols").join(named, "id", "left")
 
 
-def update_watchlist(watchlist: DataFrame, adds: DataFrame = None, removes: DataFrame = None) -> DataFrame:
-    """Add and remove symbols; both ignore case and repeating them changes nothing.
+def since_removal(changes: DataFrame, keys, removal: str, order) -> tuple[DataFrame, DataFrame]:
+    """(changes after their key's last removal, keys that were removed). ``op`` tells removals apart."""
+    at = F.struct(*order)
+    gone = changes.where(F.col("op") == removal).groupBy(*keys).agg(F.max(at).alias("_gone"))
+    later = changes.where(F.col("op") != removal).join(gone, keys, "left").where(
+        F.col("_gone").isNull() | (at > F.col("_gone"))).drop("_gone")
+    return later, gone.select(*keys)
 
-    A symbol already watched keeps its ``added_at``.
+
+def update_watchlist(watchlist: DataFrame, changes: DataFrame, order=("added_at", "seq")) -> DataFrame:
+    """Add (``op`` A) and remove (R) symbols in order; case doesn't matter and repeating changes nothing.
+
+    A symbol already watched keeps its ``added_at``; one added again after its removal takes the new time.
     """
-    out = watchlist.select("user_id", F.upper("symbol").alias("symbol"), "added_at")
-    if adds is not None:
-        new = adds.select("user_id", F.upper("symbol").alias("symbol"), "added_at")
-        out = out.unionByName(new)
-    out = out.groupBy("user_id", "symbol").agg(F.min("added_at").alias("added_at"))
-    if removes is not None:
-        gone = removes.select("user_id", F.upper("symbol").alias("symbol"))
-        out = out.join(gone, ["user_id", "symbol"], "left_anti")
-    return out
-
-
-def update_roles(roles: DataFrame, adds: DataFrame = None, removes: DataFrame = None,
-                 new_users: DataFrame = None) -> DataFrame:
-    """Add and remove roles; new users get USER."""
+    keys = ["user_id", "symbol"]
+    later, gone = since_removal(changes.withColumn("symbol", F.upper("symbol")), keys, "R", order)
+    kept = watchlist.select("user_id", F.upper("symbol").alias("symbol"), "added_at").join(gone, keys, "left_anti")
+    return kept.unionByName(later.select(*keys, "added_at")).groupBy(*keys).agg(F.min("added_at").alias("added_at"))
+
+
+def update_roles(roles: DataFrame, changes: DataFrame = None, new_users: DataFrame = None,
+                 order=("changed_at", "seq")) -> DataFrame:
+    """Add (``op`` A) and remove (R) roles in order; new users start with USER."""
     out = roles.select("user_id", "role")
     if new_users is not None:
         out = out.unionByName(new_users.select(F.col("id").alias("user_id"), F.lit("USER").alias("role")))
-    if adds is not None:
-        out = out.unionByName(adds.select("user_id", "role"))
-    out = out.distinct()
-    if removes is not None:
-        out = out.join(removes.select("user_id", "role"), ["user_id", "role"], "left_anti")
-    return out
+    if changes is not None:
+        later, gone = since_removal(changes, ["user_id", "role"], "R", order)
+        out = out.join(gone, ["user_id", "role"], "left_anti").unionByName(later.select("user_id", "role"))
+    return out.distinct()
 
 
 def apply_changes(table: DataFrame, changes: DataFrame, fields, order=("changed_at", "seq")) -> DataFrame:
     """Fold a change table into rows keyed by ``id``.
 
     ``op`` is C, U or D. Of every field the newest non-null value wins, fields
-    no change mentions stay, and an id whose newest change is D goes.
-    ``updated_at`` moves to the newest change.
+    no change mentions stay, and an id whose newest change is D goes. What
+    was before an id's last D doesn't count: a row created again starts anew.
+    ``updated_at`` moves to the newest change, ``created_at`` of a new row is its first.
     """
     at = F.struct(*order)
-    newest = changes.groupBy("id").agg(
-        F.max_by("op", at).alias("_op"), F.max(order[0]).alias("_at"),
+    later, gone = since_removal(changes, ["id"], "D", order)
+    newest = later.groupBy("id").agg(
+        F.max(order[0]).alias("_at"), F.min(order[0]).alias("_born"),
         *[F.max_by(f, F.when(F.col(f).isNotNull(), at)).alias(f"_{f}") for f in fields])
-    merged = table.join(newest, "id", "full_outer").where("_op IS NULL OR _op <> 'D'")
+    merged = table.join(gone, "id", "left_anti").join(newest, "id", "full_outer")
     out = []
     for c in table.columns:
         if c == "updated_at":
             out.append(F.coalesce("_at", c).alias(c))
         elif c == "created_at":
-            out.append(F.coalesce(c, "_at").alias(c))
+            out.append(F.coalesce(c, "_born").alias(c))
         elif c in fields:
             out.append(F.coalesce(f"_{c}", c).alias(c))
         else:

@@ -81,11 +81,13 @@ def window_sentiment(news: DataFrame, width="1 hour", mode="mean", order=("times
     if mode != "pairwise":
         raise ValueError(f"mode must be 'mean' or 'pairwise', not {mode!r}")
     half = F.lit(0.5)
-    newest_first = Window.partitionBy("symbol", "_minute").orderBy(*[F.col(c).desc() for c in order])
+    # windows need not consist of whole minutes, so ranks are within both
+    newest_first = Window.partitionBy("symbol", "window", "_minute").orderBy(*[F.col(c).desc() for c in order])
     minutes = (
         scored.withColumn("_minute", time_bucket(F.col("timestamp"), "1 minute"))
+        .withColumn("window", F.window("timestamp", width))
         .withColumn("_rn", F.row_number().over(newest_first))
-        .groupBy("symbol", "_minute", F.window("timestamp", width))
+        .groupBy("symbol", "_minute", "window")
         .agg(
             F.sum(F.col("score") * F.pow(half, F.col("_rn"))).alias("folded"),
             F.count("score").alias("n"),
@@ -117,7 +119,7 @@ def sentiment_lines(sentiment: DataFrame) -> DataFrame:
 
 
 def _ohlcv(ticks, groups, order):
-    at = position(order)
+    at = position(ticks, order)
     return ticks.groupBy(*groups).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", at).alias("close"), F.sum("volume").alias("volume"))
@@ -143,15 +145,16 @@ def ohlc_history(ticks: DataFrame, symbol, start, end, interval="1d", page=0, si
 
 
 def rolling_average(ticks: DataFrame, spans=None, width="1 minute") -> DataFrame:
-    """True moving averages of the price over the trailing spans."""
+    """True moving averages of the price over the trailing spans. Ticks without a price don't count."""
     spans = spans or {"5min": "5 minutes", "1h": "1 hour"}
     summed = rolling_sums(
         ticks, ["symbol"], "timestamp",
-        {"_sum": F.col("price").cast("decimal(28,4)"), "_n": F.lit(1).cast("bigint")}, spans, width)
+        {"_sum": F.coalesce(F.col("price"), F.lit(0)).cast("decimal(28,4)"),
+         "_n": F.col("price").isNotNull().cast("bigint")}, spans, width)
     out = summed
     for name in spans:
         out = out.withColumn(
-            f"avg_price_{name}", F.col(f"_sum_{name}").cast("double") / F.col(f"_n_{name}"))
+            f"avg_price_{name}", F.try_divide(F.col(f"_sum_{name}").cast("double"), F.col(f"_n_{name}")))
     return out.drop(*[f"{v}_{s}" for v in ("_sum", "_n") for s in spans])
 
 

@@ -170,15 +170,19 @@ def _(spark, d):
     return H.distinct_symbols(A.user_ticks(spark, d))
 
 
-@query("approx_symbol_count")
+# The sketch promises a relative error; five of its standard deviations are compared with the exact count.
+@query("approx_symbol_count", "SELECT count(DISTINCT symbol) AS symbols, true AS within_bound FROM user_ticks",
+       ["user_ticks"])
 def _(spark, d):
-    return H.approx_symbol_count(A.user_ticks(spark, d))
+    ticks = A.user_ticks(spark, d)
+    exact = ticks.agg(F.count_distinct("symbol").alias("symbols")).scalar()
+    return H.approx_symbol_count(ticks, 0.01).select(
+        exact.alias("symbols"), (F.abs(F.col("symbols") - exact) <= 0.05 * exact).alias("within_bound"))
 
 
 @query("database_stats", """
-SELECT 0 AS part, count(DISTINCT symbol) AS total_symbols, count(*) AS total_records,
-       array_to_string(list_sort(list(DISTINCT symbol)), ',') AS available_symbols
-FROM user_ticks""", ["user_ticks"])
+SELECT 'symbol' AS kind, symbol, CAST(1 AS BIGINT) AS symbols, count(*) AS records FROM user_ticks GROUP BY symbol
+UNION ALL SELECT 'total', NULL, count(DISTINCT symbol), count(*) FROM user_ticks""", ["user_ticks"])
 def _(spark, d):
     return H.database_stats(A.user_ticks(spark, d))
 

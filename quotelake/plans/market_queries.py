@@ -116,7 +116,7 @@ def _(spark, d):
 
 @query("news_filter", """
 SELECT id, title, source, array_to_string(symbols, ',') AS symbols FROM counted
-WHERE list_has_any(symbols, ['SCH', 'UNG']) AND category = 'de' ORDER BY timestamp DESC, id DESC LIMIT 100
+WHERE list_has_any(symbols, ['SCH', 'UNG']) AND category = 'de' ORDER BY timestamp DESC, id DESC LIMIT 500
 """, ["counted"])
 def _(spark, d):
     return M.news_filter(scored_news(spark, d), ["SCH", "UNG"], "de", 500).select("id", "title", "source", "symbols")

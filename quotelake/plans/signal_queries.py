@@ -194,6 +194,27 @@ def _(spark, d):
         "avg_sentiment", settled("avg_sentiment"))
 
 
+# Articles are a minute apart at least, so windows of 30 and 90 seconds cut minutes and join them.
+def _pairwise_of(seconds):
+    @query(f"window_sentiment_pairwise_{seconds}s", f"""
+    WITH short AS (SELECT symbol, score, timestamp, id, time_bucket(INTERVAL {seconds} SECOND, timestamp) AS w FROM (
+      SELECT unnest(symbols) AS symbol, sentiment_score AS score, id,
+             TIMESTAMP '2024-01-01' + id * INTERVAL 11 SECOND AS timestamp FROM scored)),
+    pairwise AS (SELECT w, symbol, list_reduce(list(score ORDER BY timestamp, id), lambda a, b: (a + b) / 2) AS r,
+                 count(*) AS n FROM short GROUP BY w, symbol)
+    SELECT w AS window_start, w + INTERVAL {seconds} SECOND AS window_end, symbol, {settled_sql("r")} AS avg_sentiment,
+           n AS articles FROM pairwise""", ["scored"])
+    def _(spark, d):
+        at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(secs=F.col("id") * 11)
+        dense = scored_news(spark, d).withColumn("timestamp", at)
+        return W.window_sentiment(dense, f"{seconds} seconds", "pairwise").withColumn(
+            "avg_sentiment", settled("avg_sentiment"))
+
+
+_pairwise_of(30)
+_pairwise_of(90)
+
+
 @query("sentiment_lines", f"""
 WITH {_PAIRWISE}
 SELECT w AS window_start, symbol, 'Symbol: ' || symbol || ', Avg Sentiment: ' ||

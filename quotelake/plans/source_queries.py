@@ -117,7 +117,7 @@ def _(spark, d):
 
 
 @query("normalize_articles", """
-SELECT title, content[1:1000] AS content, url, date_trunc('second', timestamp) AS timestamp,
+SELECT title, content, url, date_trunc('second', timestamp) AS timestamp,
        CASE WHEN category = 'de' THEN 'unknown' ELSE source END AS source, CAST(NULL AS DOUBLE) AS sentiment_score,
        '' AS symbols, 'general' AS category
 FROM news WHERE category <> 'fr' AND content <> ''""", ["news"])

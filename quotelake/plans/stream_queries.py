@@ -1,7 +1,8 @@
 """Streams over the driver's tables, run until everything present is read.
 
-Windows the watermark has not passed stay open and are not emitted, which the
-SQL states as a bound on the window's end.
+A closing record far in the future ends each stream: the watermark passes all
+windows and patterns, so the results are those of the whole tables. The
+record itself belongs to a symbol of its own and its window never closes.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from quotelake.operators import windows as W
 from quotelake.operators.alerts import route_alerts
 from quotelake.plans.catalog import KEYWORDS, NEGATIVE, POSITIVE, TICKERS, query
 from quotelake.plans.signal_queries import (
-    NEWS_ALERT_COLUMNS, NEWS_ALERTS_SQL, PATTERN_SQL, PRICE_ALERTS_SQL, STOCK_ALERT_COLUMNS)
+    NEWS_ALERT_COLUMNS, NEWS_ALERTS_SQL, PATTERN_SQL, PRICE_ALERTS_SQL, STOCK_ALERT_COLUMNS, settled, settled_sql)
 from quotelake.plans.user_queries import ROUTE_ALERTS_SQL
 from quotelake.session import scratch_path
 from quotelake.sources import adapters as A
@@ -35,8 +36,21 @@ def stream_of(spark, d, name):
     return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
 
 
+END = "2100-01-01 00:00:00"
+
+
+def closing(spark, schema, name, **values):
+    """A stream of the one record that closes another; columns not given are null."""
+    path = scratch_path(spark, f"closing-{name}")
+    row = [F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in schema]
+    spark.range(1).select(*row).write.parquet(path)
+    return spark.readStream.schema(schema).parquet(path)
+
+
 def tick_stream(spark, d):
-    return with_bounded_lateness(A.ticks_of(stream_of(spark, d, "events"), F.col("event_type")))
+    events = stream_of(spark, d, "events")
+    end = closing(spark, events.schema, "events", event_id=-1, event_type="end", ts=END)
+    return with_bounded_lateness(A.ticks_of(events.unionByName(end), F.col("event_type")))
 
 
 def run_to_files(spark, df, name, root=None):
@@ -49,30 +63,23 @@ def run_to_files(spark, df, name, root=None):
     return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
-_CLOSED = "(SELECT max(timestamp) - INTERVAL 20 SECOND FROM ticks)"
-
-
-@query("stream_window_price_stats", f"""
-SELECT * FROM (
-  SELECT time_bucket(INTERVAL 5 MINUTE, timestamp) AS window_start,
-         time_bucket(INTERVAL 5 MINUTE, timestamp) + INTERVAL 5 MINUTE AS window_end, symbol,
-         ((2 * CAST(sum(price) * 10000 AS HUGEINT) + count(*)) // (2 * count(*))) / 10000.0::DOUBLE AS avg_price,
-         CAST(max(price) - min(price) AS DOUBLE) AS price_range, count(*) AS tick_count
-  FROM ticks GROUP BY 1, 2, 3)
-WHERE window_end <= {_CLOSED}""", ["ticks"])
+@query("stream_window_price_stats", """
+SELECT time_bucket(INTERVAL 5 MINUTE, timestamp) AS window_start,
+       time_bucket(INTERVAL 5 MINUTE, timestamp) + INTERVAL 5 MINUTE AS window_end, symbol,
+       ((2 * CAST(sum(price) * 10000 AS HUGEINT) + count(*)) // (2 * count(*))) / 10000.0::DOUBLE AS avg_price,
+       CAST(max(price) - min(price) AS DOUBLE) AS price_range, count(*) AS tick_count
+FROM ticks GROUP BY 1, 2, 3""", ["ticks"])
 def _(spark, d):
     return run_to_files(spark, W.window_price_stats(tick_stream(spark, d)), "price-stats")
 
 
-@query("stream_ohlc_interval", f"""
-SELECT * FROM (
-  SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start,
-         time_bucket(INTERVAL 1 HOUR, timestamp) + INTERVAL 1 HOUR AS window_end, symbol,
-         CAST(arg_min(price, (timestamp, id)) AS DOUBLE) AS open, CAST(max(price) AS DOUBLE) AS high,
-         CAST(min(price) AS DOUBLE) AS low, CAST(arg_max(price, (timestamp, id)) AS DOUBLE) AS close,
-         CAST(sum(volume) AS BIGINT) AS volume
-  FROM ticks GROUP BY 1, 2, 3)
-WHERE window_end <= {_CLOSED}""", ["ticks"])
+@query("stream_ohlc_interval", """
+SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start,
+       time_bucket(INTERVAL 1 HOUR, timestamp) + INTERVAL 1 HOUR AS window_end, symbol,
+       CAST(arg_min(price, (timestamp, id)) AS DOUBLE) AS open, CAST(max(price) AS DOUBLE) AS high,
+       CAST(min(price) AS DOUBLE) AS low, CAST(arg_max(price, (timestamp, id)) AS DOUBLE) AS close,
+       CAST(sum(volume) AS BIGINT) AS volume
+FROM ticks GROUP BY 1, 2, 3""", ["ticks"])
 def _(spark, d):
     return run_to_files(spark, W.ohlc_interval(tick_stream(spark, d), "1h"), "ohlc")
 
@@ -99,16 +106,21 @@ WITH {_FED}, {_FED_PRICE}, win AS (
 SELECT {STOCK_ALERT_COLUMNS} FROM price_alerts
 UNION ALL
 SELECT symbol, 'HIGH_VOLUME', CAST(n.price AS DOUBLE), CAST(n.price AS DOUBLE), n.change_percent, n.volume, n.timestamp
-FROM win WHERE ticks > 1 AND n.volume > (total // ticks) * 3 AND window_end <= {_CLOSED}""", ["ticks"])
+FROM win WHERE ticks > 1 AND n.volume > (total // ticks) * 3""", ["ticks"])
 def _(spark, d):
     alerts = J.stock_alert_stream(fed_ticks(tick_stream(spark, d)))
     return run_to_files(spark, alerts, "stock-alerts")
 
 
-def news_stream(spark, d):
-    """Documents published as messages of the news topic, read back as a stream."""
+def news_stream(spark, d, close=False):
+    """Documents published as messages of the news topic, read back as a stream. The closing article is a significant
+    one about a symbol of its own, which no pattern follows."""
     root = scratch_path(spark, "topics")
     n = A.news(spark, d)
+    if close:
+        n = n.unionByName(spark.range(1).select(*[F.lit({
+            "title": "end", "content": "que", "url": "end", "timestamp": END, "source": "end", "category": "end"}.get(
+                f.name)).cast(f.dataType).alias(f.name) for f in n.schema]))
     messages = n.select(F.to_json(F.struct(
         "title", "content", "url", F.unix_timestamp(F.col("timestamp").cast("timestamp")).alias("timestamp"),
         "source", "category")).alias("value"), F.lit(TP.NEWS).alias("topic"))
@@ -118,6 +130,16 @@ def news_stream(spark, d):
     return with_bounded_lateness(news, NEWS_LATENESS)
 
 
+@query("stream_window_sentiment_mean", f"""
+WITH exploded AS (
+  SELECT unnest(symbols) AS symbol, sentiment_score AS score, time_bucket(INTERVAL 1 HOUR, timestamp) AS w FROM scored)
+SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, symbol, {settled_sql("avg(score)")} AS avg_sentiment,
+       count(*) AS articles FROM exploded GROUP BY w, symbol""", ["scored"])
+def _(spark, d):
+    means = W.window_sentiment(news_stream(spark, d, close=True))
+    return run_to_files(spark, means, "sentiment").withColumn("avg_sentiment", settled("avg_sentiment"))
+
+
 @query("stream_trading_signals", """
 SELECT symbols[1] AS symbol, CASE WHEN sentiment_score > 0.3 THEN 'BUY' ELSE 'SELL' END AS signal_type,
        abs(sentiment_score) AS confidence,
@@ -134,17 +156,14 @@ def _(spark, d):
 
 
 @query("stream_breaking_news", f"""
-WITH {PATTERN_SQL.replace(
-    "f.timestamp < s.timestamp + INTERVAL 30 MINUTE",
-    "f.timestamp < s.timestamp + INTERVAL 30 MINUTE AND f.timestamp < "
-    "(SELECT max(timestamp) - INTERVAL 1 MINUTE FROM scored WHERE abs(sentiment_score) > 0.5)")}
+WITH {PATTERN_SQL}
 SELECT {NEWS_ALERT_COLUMNS} FROM pattern_alerts""", ["scored"])
 def _(spark, d):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, PS.STATE_STORE)
     try:
-        return run_to_files(spark, PS.breaking_news_stream(news_stream(spark, d)), "pattern")
+        return run_to_files(spark, PS.breaking_news_stream(news_stream(spark, d, close=True)), "pattern")
     finally:
         spark.conf.set(key, before)
 

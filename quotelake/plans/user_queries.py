@@ -21,13 +21,12 @@ _NOTE = """id, user_id, type, status, subject, content, recipient, alert_type, e
 
 @query("user_profiles", """
 SELECT u.id AS user_id, u.username, u.email, u.status,
-       array_to_string(list_sort(list(DISTINCT role)), ',') AS roles, 0 AS part,
-       array_to_string(list_sort(list(DISTINCT symbol)), ',') AS watchlist
+       array_to_string(list_sort(list(DISTINCT role)), ',') AS roles, symbol
 FROM users u LEFT JOIN roles r ON r.user_id = u.id LEFT JOIN watchlist w ON w.user_id = u.id
 GROUP BY ALL""", ["users", "roles", "watchlist"])
 def _(spark, d):
     p = U.user_profiles(A.users(spark, d), A.roles(spark, d), A.watchlist(spark, d))
-    return p.select("user_id", "username", "email", "status", "roles", "part", "watchlist")
+    return p.select("user_id", "username", "email", "status", "roles", "symbol")
 
 
 @query("unlocked_users", f"""
@@ -150,50 +149,62 @@ def _(spark, d):
 
 
 @query("news_with_symbols", """
-SELECT id, title, source, 0 AS part, array_to_string(list_sort(symbols), ',') AS symbols FROM counted""", ["counted"])
+SELECT id, title, source, s.symbol FROM counted
+LEFT JOIN (SELECT id, unnest(symbols) AS symbol FROM counted) s USING (id)""", ["counted"])
 def _(spark, d):
     news = scored_news(spark, d)
     child = news.select(F.col("id").alias("news_id"), F.explode("symbols").alias("symbol"))
-    return U.news_with_symbols(A.news(spark, d), child).select("id", "title", "source", "part", "symbols")
+    return U.news_with_symbols(A.news(spark, d), child).select("id", "title", "source", "symbol")
 
 
-# Orders as changes to a watchlist: O adds, P removes the symbol of the customer's number plus the order's.
-def _watch_changes(spark, d, status):
-    o = A.table(spark, d, "orders").where(F.col("o_orderstatus") == status)
-    return o.select(
-        F.col("o_custkey").alias("user_id"), A.pick(A.EVENT_TYPES, F.col("o_orderkey")).alias("symbol"),
-        F.col("o_orderdate").alias("added_at"))
-
-
-_WATCH_CHANGE = """SELECT o_custkey AS user_id,
+# Orders as changes to a watchlist: P removes the symbol of the order's number, the others add it, in the order of
+# their days.
+_WATCH_CHANGES = """changes AS (SELECT o_custkey AS user_id,
   upper(['click', 'error', 'purchase', 'signup', 'view'][CAST(o_orderkey % 5 AS INTEGER) + 1]) AS symbol,
-  o_orderdate AS added_at FROM orders WHERE o_orderstatus = '{s}'"""
+  o_orderstatus <> 'P' AS adds, o_orderdate AS added_at, o_orderkey AS seq FROM orders),
+gone AS (SELECT user_id, symbol, max((added_at, seq)) AS at FROM changes WHERE NOT adds GROUP BY user_id, symbol)"""
 
 
 @query("update_watchlist", f"""
-SELECT user_id, symbol, min(added_at) AS added_at
-FROM (SELECT user_id, upper(symbol) AS symbol, added_at FROM watchlist
-      UNION ALL {_WATCH_CHANGE.format(s="O")})
-WHERE (user_id, symbol) NOT IN (SELECT (user_id, symbol) FROM ({_WATCH_CHANGE.format(s="P")}))
+WITH {_WATCH_CHANGES}
+SELECT user_id, symbol, min(added_at) AS added_at FROM (
+  SELECT user_id, upper(symbol) AS symbol, added_at FROM watchlist
+  WHERE (user_id, upper(symbol)) NOT IN (SELECT (user_id, symbol) FROM gone)
+  UNION ALL
+  SELECT c.user_id, c.symbol, added_at FROM changes c LEFT JOIN gone g ON g.user_id = c.user_id AND g.symbol = c.symbol
+  WHERE adds AND (g.at IS NULL OR (added_at, seq) > g.at))
 GROUP BY user_id, symbol""", ["watchlist"])
 def _(spark, d):
-    return U.update_watchlist(A.watchlist(spark, d), _watch_changes(spark, d, "O"), _watch_changes(spark, d, "P"))
+    o = A.table(spark, d, "orders")
+    changes = o.select(
+        F.col("o_custkey").alias("user_id"), A.pick(A.EVENT_TYPES, F.col("o_orderkey")).alias("symbol"),
+        F.when(F.col("o_orderstatus") == "P", "R").otherwise("A").alias("op"), F.col("o_orderdate").alias("added_at"),
+        F.col("o_orderkey").alias("seq"))
+    return U.update_watchlist(A.watchlist(spark, d), changes)
 
 
 @query("update_roles", """
+WITH changes AS (
+  SELECT o_custkey AS user_id, CASE WHEN o_orderkey % 2 = 0 THEN 'ADMIN' ELSE 'PREMIUM_USER' END AS role,
+         o_orderstatus <> 'P' AS adds, o_orderdate AS changed_at, o_orderkey AS seq
+  FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = '1-URGENT'),
+gone AS (SELECT user_id, role, max((changed_at, seq)) AS last FROM changes WHERE NOT adds GROUP BY user_id, role)
 SELECT DISTINCT user_id, role FROM (
-  SELECT user_id, role FROM roles
-  UNION ALL SELECT o_custkey, 'ADMIN' FROM orders WHERE o_orderpriority = '1-URGENT'
-  UNION ALL SELECT s_suppkey + 1000000, 'USER' FROM supplier)
-WHERE (user_id, role) NOT IN (SELECT (o_custkey, 'PREMIUM_USER') FROM orders WHERE o_orderstatus = 'P')
+  SELECT user_id, role FROM (SELECT user_id, role FROM roles UNION ALL SELECT s_suppkey + 1000000, 'USER' FROM supplier)
+  WHERE (user_id, role) NOT IN (SELECT (user_id, role) FROM gone)
+  UNION ALL
+  SELECT c.user_id, c.role FROM changes c LEFT JOIN gone g ON g.user_id = c.user_id AND g.role = c.role
+  WHERE adds AND (g.last IS NULL OR (changed_at, seq) > g.last))
 """, ["roles"])
 def _(spark, d):
-    o = A.table(spark, d, "orders")
-    adds = o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("user_id"), F.lit("ADMIN").alias("role"))
-    removes = o.where("o_orderstatus = 'P'").select(
-        F.col("o_custkey").alias("user_id"), F.lit("PREMIUM_USER").alias("role"))
+    removal = F.col("o_orderstatus") == "P"
+    changes = A.table(spark, d, "orders").where(removal | (F.col("o_orderpriority") == "1-URGENT")).select(
+        F.col("o_custkey").alias("user_id"),
+        F.when(F.col("o_orderkey") % 2 == 0, "ADMIN").otherwise("PREMIUM_USER").alias("role"),
+        F.when(removal, "R").otherwise("A").alias("op"), F.col("o_orderdate").alias("changed_at"),
+        F.col("o_orderkey").alias("seq"))
     new = A.table(spark, d, "supplier").select((F.col("s_suppkey") + 1000000).alias("id"))
-    return U.update_roles(A.roles(spark, d), adds, removes, new)
+    return U.update_roles(A.roles(spark, d), changes, new)
 
 
 # Orders as changes to alerts: F changes the threshold, O switches off, P deletes; the customer's number plus
@@ -207,19 +218,22 @@ _ALERT_CHANGES = """changes AS (
 
 
 @query("update_alerts", f"""
-WITH {_ALERT_CHANGES}, newest AS (
-  SELECT id, arg_max(op, (changed_at, seq)) AS op, max(changed_at) AS at,
+WITH {_ALERT_CHANGES}, gone AS (SELECT id, max((changed_at, seq)) AS last FROM changes WHERE op = 'D' GROUP BY id),
+later AS (SELECT c.* FROM changes c LEFT JOIN gone g ON g.id = c.id
+          WHERE op <> 'D' AND (g.last IS NULL OR (changed_at, seq) > g.last)),
+newest AS (
+  SELECT id, max(changed_at) AS at, min(changed_at) AS born,
          arg_max(user_id, (changed_at, seq)) AS user_id, arg_max(symbol, (changed_at, seq)) AS symbol,
          arg_max(alert_type, (changed_at, seq)) AS alert_type,
          arg_max(threshold_value, (changed_at, seq)) FILTER (threshold_value IS NOT NULL) AS threshold_value,
          arg_max(enabled, (changed_at, seq)) FILTER (enabled IS NOT NULL) AS enabled
-  FROM changes GROUP BY id)
+  FROM later GROUP BY id)
 SELECT coalesce(a.id, n.id) AS id, coalesce(n.user_id, a.user_id) AS user_id, coalesce(n.symbol, a.symbol) AS symbol,
        coalesce(n.alert_type, a.alert_type) AS alert_type,
        CAST(coalesce(n.threshold_value, a.threshold_value) AS DOUBLE) AS threshold_value,
-       coalesce(n.enabled, a.enabled) AS enabled, coalesce(a.created_at, n.at) AS created_at,
+       coalesce(n.enabled, a.enabled) AS enabled, coalesce(a.created_at, n.born) AS created_at,
        coalesce(n.at, a.updated_at) AS updated_at
-FROM alerts a FULL OUTER JOIN newest n ON n.id = a.id WHERE n.op IS NULL OR n.op <> 'D'""", ["alerts"])
+FROM (SELECT * FROM alerts WHERE id NOT IN (SELECT id FROM gone)) a FULL OUTER JOIN newest n ON n.id = a.id""", ["alerts"])
 def _(spark, d):
     o, s = A.table(spark, d, "orders"), F.col("o_orderstatus")
     changes = o.select(

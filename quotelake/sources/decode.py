@@ -16,9 +16,8 @@ from quotelake.functions.timefn import from_epoch_seconds
 
 
 def _whole(text: Column) -> Column:
-    """Number at hand as a long, 0 when the text is no number; null stays null."""
-    return F.when(text.isNotNull(), F.coalesce(
-        text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint")))
+    """Number at hand as a long, null when the text is no number; the decoders report that."""
+    return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
 
 
 def _message(raw: DataFrame, schema: T.StructType, value: str) -> DataFrame:
@@ -37,6 +36,12 @@ def _present(names):
     return {f"{n} is missing": F.col(f"_m.{n}").isNotNull() for n in names}
 
 
+def _readable(names):
+    """Whole numbers that are given can be read. An unreadable one is an error, never 0."""
+    return {
+        f"{n} is not a number": F.col(f"_m.{n}").isNull() | _whole(F.col(f"_m.{n}")).isNotNull() for n in names}
+
+
 def _fits(types):
     return {
         f"{n} is not a number that fits": F.col(f"_m.{n}").isNull() | F.col(f"_m.{n}").try_cast(t).isNotNull()
@@ -90,6 +95,7 @@ def decode_stock(raw: DataFrame, value="value", keep=()) -> DataFrame:
     checks = {
         **_present(["symbol", "price", "volume", "source", "timestamp"]),
         "price is not a number": F.col("_m.price").try_cast(S.PRICE).isNotNull(),
+        **_readable(["volume", "timestamp"]),
         **_fits({"change": S.PRICE, "change_percent": S.RATIO}),
     }
     return _finish(m, checks, cols, value, keep)
@@ -101,7 +107,8 @@ def decode_news(raw: DataFrame, value="value", keep=()) -> DataFrame:
     cols = {n: F.col(f"_m.{n}") for n in ("title", "content", "url")}
     cols["timestamp"] = from_epoch_seconds(_whole(F.col("_m.timestamp")))
     cols |= {n: F.col(f"_m.{n}") for n in ("source", "sentiment_score", "symbols", "category")}
-    return _finish(m, _present(["title", "content", "url", "source", "category", "timestamp"]), cols, value, keep)
+    checks = {**_present(["title", "content", "url", "source", "category", "timestamp"]), **_readable(["timestamp"])}
+    return _finish(m, checks, cols, value, keep)
 
 
 def decode_economic(raw: DataFrame, value="value", keep=()) -> DataFrame:
@@ -115,18 +122,20 @@ def decode_economic(raw: DataFrame, value="value", keep=()) -> DataFrame:
     checks = {
         **_present(["indicator", "value", "timestamp", "country", "source"]),
         "value is not a number": F.col("_m.value").try_cast(S.PRICE).isNotNull(),
+        **_readable(["timestamp"]),
     }
     return _finish(m, checks, cols, value, keep)
 
 
 def strict(decoded: DataFrame) -> DataFrame:
-    """Fail the job on the first undecodable message."""
+    """Fail the job on the first undecodable message.
+
+    The error sits in a filter, so it is raised whichever columns are read, and by counts.
+    """
     failure = F.raise_error(F.concat(F.lit("cannot decode message: "), "decode_error", F.lit(": "), F.coalesce(
         "raw_value", F.lit("null"))))
-    first = decoded.columns[0]
-    checked = F.when(F.col("decode_error").isNull(), F.col(first)).otherwise(
-        failure.cast(decoded.schema[first].dataType))
-    return decoded.withColumn(first, checked).drop("raw_value", "decode_error")
+    readable = F.when(F.col("decode_error").isNull(), F.lit(True)).otherwise(failure.cast("boolean"))
+    return decoded.where(readable).drop("raw_value", "decode_error")
 
 
 def parse_stock_json(raw: DataFrame, value="value", keep=()) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotelake.functions.lexicons import ARTICLE_CHARS
 from quotelake.functions.text import computed_once
 
 # Provider field names
@@ -44,8 +43,8 @@ def normalize_quote(landed: DataFrame) -> DataFrame:
     return rows.dropna(subset=["price", "volume", "change", "change_percent"])
 
 
-def normalize_articles(landed: DataFrame) -> DataFrame:
-    """(payload) to articles with a title and content.
+def normalize_articles(landed: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """(payload) to articles with a title and whole content; `max_chars` cuts longer ones.
 
     An article whose time cannot be read is left out; the others stay.
     """
@@ -55,7 +54,7 @@ def normalize_articles(landed: DataFrame) -> DataFrame:
         .where((F.length(a["title"]) > 0) & (F.length(a["content"]) > 0))
         .select(
             a["title"].alias("title"),
-            F.substring(a["content"], 1, ARTICLE_CHARS).alias("content"),
+            (a["content"] if max_chars is None else F.substring(a["content"], 1, max_chars)).alias("content"),
             F.coalesce(a["url"], F.lit("")).alias("url"),
             F.try_to_timestamp(a["publishedAt"]).cast("timestamp_ntz").alias("timestamp"),
             F.coalesce(a["source"]["name"], F.lit("unknown")).alias("source"),

@@ -49,17 +49,29 @@ def stock_alert_stream(ticks: DataFrame, width="1 hour") -> DataFrame:
     return G.all_stock_alerts(G.price_change_alerts(ticks), W.volume_anomalies(ticks, width))
 
 
-def start_stock_job(messages: DataFrame, out: str, checkpoint: str, servers=None, strict=True, trigger=None):
+def user_alert_stream(ticks: DataFrame, user_alerts: DataFrame, users: DataFrame, kinds) -> DataFrame:
+    """Users' own thresholds, tested on every tick and not only on those that raise another alert."""
+    events = ticks.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    return route_alerts(events, user_alerts.where(F.col("alert_type").isin(list(kinds))), users)
+
+
+def start_stock_job(messages: DataFrame, out: str, checkpoint: str, servers=None, strict=True, trigger=None,
+                    user_alerts: DataFrame = None, users: DataFrame = None, time="record"):
     """Averages, processed ticks and alerts from a stream of quote messages.
 
     Returns the running queries. ``out`` takes the tables, and the topics too
-    if no servers are given.
+    if no servers are given. With ``user_alerts`` and ``users`` the price and volume
+    alerts of users go to topics of their own. ``time`` is that of `with_bounded_lateness`.
     """
     trigger = trigger or TRIGGER
-    ticks = with_bounded_lateness(with_arrival(decoded_stream(messages, D.decode_stock, strict)), STOCK_LATENESS)
+    ticks = with_bounded_lateness(with_arrival(decoded_stream(messages, D.decode_stock, strict)), STOCK_LATENESS, time)
     stored = K.processed_rows(ticks.withColumn("arrival", F.col("id"))).withColumn(
         "timestamp", F.col("timestamp").cast("timestamp_ntz"))
-    return [
+    own = [] if user_alerts is None else [
+        _topic(user_alert_stream(ticks, user_alerts, users, kinds), topic, checkpoint, name, out, servers, trigger)
+        for name, topic, kinds in (("price_alerts", TP.PRICE_ALERTS, ["PRICE_ABOVE", "PRICE_BELOW"]),
+                                   ("volume_alerts", TP.VOLUME_ALERTS, ["VOLUME_SPIKE"]))]
+    return own + [
         _files(W.window_price_stats(ticks), checkpoint, "price_averages", out, trigger),
         K.upsert_processed(stored, f"{out}/stock_data_processed", f"{checkpoint}/stock_data_processed", trigger=trigger),
         _topic(stock_alert_stream(ticks), TP.STOCK_ALERTS, checkpoint, "stock_alerts", out, servers, trigger),
@@ -86,10 +98,12 @@ def start_notifications(alerts: DataFrame, to_rows, out: str, checkpoint: str, t
     """Start a stream that turns each batch of alerts into notification rows.
 
     ``to_rows`` maps a batch to rows and may read tables afresh. A batch owns
-    the folder with its number, so a replay sends nothing twice.
+    the folder with its stream and number, so a replay sends nothing twice, and a new checkpoint overwrites nothing.
     """
     def write(batch, n):
-        to_rows(batch).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{out}/batch={n}")
+        run = K.query_id(batch.sparkSession, checkpoint)
+        to_rows(batch).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
+            f"{out}/run={run}/batch={n}")
     return (
         alerts.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or TRIGGER))
         .foreachBatch(write).start()
@@ -104,11 +118,11 @@ def enriched_news(messages: DataFrame, strict=True, positive=lex.POSITIVE_WORDS,
 
 
 def start_news_job(messages: DataFrame, out: str, checkpoint: str, servers=None, strict=True, trigger=None,
-                   lexicons=None, keywords=lex.MARKET_KEYWORDS):
+                   lexicons=None, keywords=lex.MARKET_KEYWORDS, time="record"):
     """Signals, alerts, pattern alerts and window sentiment from a stream of
     article messages. Returns the running queries."""
     trigger = trigger or TRIGGER
-    news = with_bounded_lateness(enriched_news(messages, strict, **(lexicons or {})), NEWS_LATENESS)
+    news = with_bounded_lateness(enriched_news(messages, strict, **(lexicons or {})), NEWS_LATENESS, time)
     sentiment = W.sentiment_lines(W.window_sentiment(news))
     return [
         _topic(G.trading_signals(news), TP.SIGNALS, checkpoint, "trading_signals", out, servers, trigger),

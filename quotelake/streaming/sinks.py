@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -119,23 +120,41 @@ def merge_processed(old: DataFrame, new: DataFrame, arrival="arrival") -> DataFr
     return _collapse(both, ["_gen", "_seq"])
 
 
-def upsert_batch(batch: DataFrame, batch_id: int, root: str, arrival="arrival") -> None:
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id a stream keeps as long as it keeps its checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+
+
+def run_folder(spark: SparkSession, root: str, run: str) -> str:
+    """The folder of a stream's batches: numbered in the order in which streams first wrote here, found again by id."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+    runs = [n for n in names if n.startswith("run=")]
+    own = [n for n in runs if n.endswith(f"_{run}")]
+    if own:
+        return f"{root}/{own[0]}"
+    last = int(runs[-1].removeprefix("run=").split("_")[0]) if runs else 0
+    return f"{root}/run={last + 1:09d}_{run}"
+
+
+def upsert_batch(batch: DataFrame, batch_id: int, root: str, arrival="arrival", run="batch") -> None:
     """Write one micro-batch of `processed_rows`.
 
-    A batch owns the folder with its number and overwrites it, so a replay
-    changes nothing, and no other file is touched. Rows of different batches
-    are merged by `read_processed`.
+    A batch owns the folder with its stream and number and overwrites it, so a replay
+    changes nothing, and no other file is touched; a stream with a new checkpoint is another run and
+    comes after those before it. Rows of different batches are merged by `read_processed`.
     """
     (
         with_day(_collapse(batch, [arrival]))
         .write.mode("overwrite").option("partitionOverwriteMode", "static")
-        .partitionBy(DAY).parquet(f"{root}/batch={batch_id}")
+        .partitionBy(DAY).parquet(f"{run_folder(batch.sparkSession, root, run)}/batch={batch_id}")
     )
 
 
 _PROCESSED_FILES = (
     "symbol STRING, price DECIMAL(19,4), volume BIGINT, timestamp TIMESTAMP_NTZ, change_percent DOUBLE, "
-    "avg_price_5min DECIMAL(19,4), source STRING, batch BIGINT, dt DATE"
+    "avg_price_5min DECIMAL(19,4), source STRING, run STRING, batch BIGINT, dt DATE"
 )
 
 
@@ -146,12 +165,13 @@ def read_processed(spark: SparkSession, root: str, start=None, end=None) -> Data
         rows = rows.where((F.col("timestamp") >= moment(start)) & (F.col(DAY) >= F.to_date(moment(start))))
     if end is not None:
         rows = rows.where((F.col("timestamp") <= moment(end)) & (F.col(DAY) <= F.to_date(moment(end))))
-    return _collapse(rows, ["batch"])
+    return _collapse(rows, ["run", "batch"])
 
 
 def compact_processed(spark: SparkSession, root: str, out: str) -> None:
-    """Write the merged table to a new folder as its oldest batch."""
-    with_day(read_processed(spark, root)).write.mode("error").partitionBy(DAY).parquet(f"{out}/batch=-1")
+    """Write the merged table to a new folder as its oldest run."""
+    with_day(read_processed(spark, root)).write.mode("error").partitionBy(DAY).parquet(
+        f"{out}/run={0:09d}_compacted/batch=0")
 
 
 def upsert_processed(stream: DataFrame, root: str, checkpoint: str, arrival="arrival", trigger=None):
@@ -159,7 +179,7 @@ def upsert_processed(stream: DataFrame, root: str, checkpoint: str, arrival="arr
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "5 seconds"}))
-        .foreachBatch(lambda df, n: upsert_batch(df, n, root, arrival)).start()
+        .foreachBatch(lambda df, n: upsert_batch(df, n, root, arrival, query_id(df.sparkSession, checkpoint))).start()
     )
 
 
@@ -194,8 +214,8 @@ def news_symbol_rows(news: DataFrame) -> DataFrame:
 # Retention
 
 def retain_since(df: DataFrame, cutoff, ts="timestamp") -> DataFrame:
-    """Rows that stay."""
-    return df.where(F.col(ts) >= moment(cutoff))
+    """Rows that stay: all that are not older than ``cutoff``, those without a time included."""
+    return df.where(~F.coalesce(F.col(ts) < moment(cutoff), F.lit(False)))
 
 
 def expired_count(df: DataFrame, cutoff, ts="timestamp") -> DataFrame:

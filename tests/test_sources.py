@@ -30,12 +30,34 @@ def test_valid_message(spark):
     "invalid json", "", '{"symbol":"A","volume":1,"timestamp":1,"source":"s"}',
     '{"symbol":"A","price":"abc","volume":1,"timestamp":1,"source":"s"}',
     '{"symbol":null,"price":1,"volume":1,"timestamp":1,"source":"s"}',
+    '{"symbol":"A","price":1,"volume":"abc","timestamp":1,"source":"s"}',
+    '{"symbol":"A","price":1,"volume":1,"timestamp":"zzz","source":"s"}',
     '{"symbol":"A","price":1,"volume":1,"timestamp":1,"source":"s","change_percent":12345678.5}'])
 def test_strict_decoding_fails_the_job(spark, text):
     with pytest.raises(Exception, match="cannot decode message"):
         D.parse_stock_json(messages(spark, VALID, text)).collect()
 
 
+@pytest.mark.parametrize("read", [
+    lambda df: df.count(), lambda df: df.select("source").collect(), lambda df: df.select("price").collect(),
+    lambda df: df.agg(F.sum("volume")).collect(), lambda df: df.groupBy("symbol").count().collect()])
+def test_strictness_cannot_be_pruned(spark, read):
+    with pytest.raises(Exception, match="cannot decode message"):
+        read(D.parse_stock_json(messages(spark, VALID, "x")))
+    assert D.parse_stock_json(messages(spark, VALID, VALID)).count() == 2
+
+
+def test_unreadable_numbers_are_reported(spark):
+    base = json.loads(VALID)
+    good, bad = D.quarantine(D.decode_stock(messages(
+        spark, json.dumps(base | {"volume": "abc"}), json.dumps(base | {"timestamp": "zzz"}),
+        json.dumps(base | {"volume": "12.0"}))))
+    assert [r["volume"] for r in good.collect()] == [12]
+    assert sorted(r["decode_error"] for r in bad.collect()) == ["timestamp is not a number", "volume is not a number"]
+    economic = {"indicator": "i", "value": 1, "timestamp": "soon", "country": "c", "source": "s"}
+    assert D.decode_economic(messages(spark, json.dumps(economic))).first()["decode_error"] == "timestamp is not a number"
+
+
 def test_lenient_decoding(spark):
     base = json.loads(VALID)
     texts = [
@@ -94,7 +116,7 @@ def test_articles(spark):
         a(), a(title=""), a(content=None), a(content="x" * 1001, source={}), a(publishedAt=""),
         a(publishedAt="2024-01-15T10:00:00+02:00", url=None)]})
     got = PL.normalize_articles(spark.createDataFrame([(payload,)], "payload STRING")).collect()
-    assert [(len(r["content"]), r["source"], r["url"]) for r in got] == [(1, "n", "u"), (1000, "unknown", "u"), (1, "n", "")]
+    assert [(len(r["content"]), r["source"], r["url"]) for r in got] == [(1, "n", "u"), (1001, "unknown", "u"), (1, "n", "")]
     assert {r["timestamp"] for r in got} == {datetime(2024, 1, 15, 8)}
 
 

@@ -106,6 +106,11 @@ def test_upsert(spark, rows, tmp_path):
     assert table() == once
     merged = K.merge_processed(K.merge_processed(first.where("false"), first), second)
     assert merged.exceptAll(K.read_processed(spark, root)).count() == 0 and merged.count() == 2
+    K.upsert_batch(processed(rows, ("A", 9, 90, at, None, 9, "w", 1)), 0, root, run="another")
+    assert table()[("A", "2024-01-01")] == (9, 90, 0.1, 1, "x") and len(table()) == 2
+    K.upsert_batch(second, 1, root)  # a late replay of the first run doesn't come before the second
+    once = table()
+    assert once[("A", "2024-01-01")] == (9, 90, 0.1, 1, "x")
     K.compact_processed(spark, root, str(tmp_path / "c"))
     root = str(tmp_path / "c")
     assert table() == once
@@ -185,6 +190,13 @@ def test_stock_job(spark, tmp_path):
     stored = K.read_processed(spark, f"{out}/stock_data_processed")
     assert stored.count() == 7
     assert float(stored.where("symbol = 'AAPL'").orderBy("timestamp").first()["price"]) == 55
+    # a fresh checkpoint on the same tables is a new run and loses nothing that is stored
+    before = {tuple(r) for r in stored.collect()}
+    for q in J.start_stock_job(TP.read_topic(spark, TP.STOCK, folder=folder), out, str(tmp_path / "cp-new"), strict=False,
+                               trigger=NOW):
+        q.awaitTermination()
+    again = {tuple(r) for r in K.read_processed(spark, f"{out}/stock_data_processed").collect()}
+    assert again == before and len(list((tmp_path / "out" / "stock_data_processed").glob("run=*"))) == 2
     with pytest.raises(Exception, match="cannot decode message"):
         lines = TP.read_topic(spark, TP.STOCK, folder=folder)
         for q in J.start_stock_job(lines, str(tmp_path / "o2"), str(tmp_path / "c2"), trigger=NOW):
@@ -238,3 +250,20 @@ def test_news_job(spark, tmp_path):
         ("POSITIVE_NEWS", "AAPL growth beat"), ("POSITIVE_NEWS", "AAPL strong profit"), ("POSITIVE_NEWS", "nothing")]
     lines = sorted(r["line"] for r in spark.read.parquet(f"{out}/sentiment_lines").collect())
     assert lines == ["Symbol: AAPL, Avg Sentiment: 0.533", "Symbol: MSFT, Avg Sentiment: -0.900"]
+
+
+def test_user_thresholds_on_every_tick(spark, rows, tmp_path):
+    folder, out = str(tmp_path / "topics"), str(tmp_path / "out")
+    publish(folder, TP.STOCK, [
+        {"symbol": "A", "price": p, "volume": v, "timestamp": 1640995200 + i, "source": "t"}
+        for i, (p, v) in enumerate([(10, 5), (11, 5), (11, 50)])])
+    mine = rows("id BIGINT, user_id BIGINT, symbol STRING, alert_type STRING, threshold_value DECIMAL(19,4), enabled BOOLEAN",
+                (1, 1, "A", "PRICE_ABOVE", 11, True), (2, 1, "A", "VOLUME_SPIKE", 50, True),
+                (3, 1, "A", "PRICE_BELOW", 9, True))
+    users = rows("id BIGINT, email STRING", (1, "a@x"))
+    lines = TP.read_topic(spark, TP.STOCK, folder=folder)
+    for q in J.start_stock_job(lines, out, str(tmp_path / "cp"), trigger=NOW, user_alerts=mine, users=users):
+        q.awaitTermination()
+    # no tick moved by 5 %, so the common topic is silent
+    assert sorted(a["alertId"] for a in topic_json(spark, out, "price_alerts")) == [1, 1]
+    assert [(a["alertId"], a["volume"]) for a in topic_json(spark, out, "volume_alerts")] == [(2, 50)]

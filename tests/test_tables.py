@@ -12,7 +12,6 @@ from quotelake.operators import market as M
 from quotelake.operators import notifications as N
 from quotelake.operators import quality as Q
 from quotelake.operators import users as U
-from quotelake.operators.nesting import nest_values
 from quotelake.sources import tables as TB
 
 AS_OF = "2024-01-15 12:00:00"
@@ -77,9 +76,10 @@ def test_movers_and_summary(db):
 
 
 def test_profiles_and_locks(db):
-    p = {r["user_id"]: (r["roles"], r["watchlist"]) for r in
-         U.user_profiles(db["users"], db["user_roles"], db["user_watchlist"]).collect()}
-    assert p == {1: (["ADMIN", "USER"], ["AAPL", "MSFT"]), 2: (["PREMIUM_USER"], ["AAPL", "NONE"]), 3: ([], [])}
+    p = sorted((r["user_id"], r["roles"], r["symbol"] or "") for r in
+               U.user_profiles(db["users"], db["user_roles"], db["user_watchlist"]).collect())
+    assert p == [(1, ["ADMIN", "USER"], "AAPL"), (1, ["ADMIN", "USER"], "MSFT"), (2, ["PREMIUM_USER"], "AAPL"),
+                 (2, ["PREMIUM_USER"], "NONE"), (3, [], "")]
     # user 2 was locked until 10:00
     assert ids(U.unlocked_users(db["users"], AS_OF)) == [1, 2, 3]
     assert ids(U.unlocked_users(db["users"], "2024-01-15 10:00:00")) == [1, 3]
@@ -87,16 +87,33 @@ def test_profiles_and_locks(db):
     assert [(r["id"], r["full_name"]) for r in one] == [(1, "Ann Lee")]
 
 
-def test_long_lists_are_split_into_parts(spark):
-    child = spark.range(1000).select((F.col("id") % 3 == 0).cast("int").alias("k"), F.col("id").cast("string").alias("v"))
-    got = nest_values(child.union(child), "k", "v", "vs", part_size=100).collect()
-    sizes = {k: sorted(len(r["vs"]) for r in got if r["k"] == k) for k in (0, 1)}
-    assert sum(sizes[0]) == 666 and sum(sizes[1]) == 334 and max(sizes[0] + sizes[1]) < 200
-    assert len({v for r in got for v in r["vs"]}) == 1000
-    assert nest_values(child, "k", "v", "vs").count() == 2
-    stats = H.database_stats(child.withColumnRenamed("v", "symbol"), part_size=100).collect()
-    assert len(stats) == 10 and {(r["total_symbols"], r["total_records"]) for r in stats} == {(1000, 1000)}
-    assert sum(len(r["available_symbols"]) for r in stats) == 1000
+def test_one_shape_at_every_size(spark):
+    many = spark.range(12_000).select(F.col("id"), F.concat(F.lit("S"), "id").alias("symbol"), F.lit(1.0).alias("price"))
+    stats = H.database_stats(many).collect()
+    assert len(stats) == 12_001
+    assert [(r["symbol"], r["symbols"], r["records"]) for r in stats if r["kind"] == "total"] == [(None, 12_000, 12_000)]
+    for n in (3, 1000, 1001, 5000):
+        kept = H.filter_symbols(many, [f"S{i}" for i in range(n)])
+        assert kept.columns == many.columns and kept.count() == n
+    joined = H.filter_symbols(many, many.where("id < 7"))
+    assert joined.columns == many.columns and joined.count() == 7
+    watch = many.select(F.lit(1).alias("user_id"), "symbol")
+    users = spark.createDataFrame([(1, "a"), (2, "b")], "id INT, username STRING")
+    roles = spark.createDataFrame([], "user_id INT, role STRING")
+    assert U.user_profiles(users, roles, watch).count() == 12_001
+    news = spark.createDataFrame([(1, "t"), (2, "u")], "id INT, title STRING")
+    assert U.news_with_symbols(news, watch.withColumnRenamed("user_id", "news_id")).count() == 12_001
+
+
+def test_limits_are_what_was_asked_for(spark):
+    quotes = spark.range(300).select(
+        F.col("id"), F.concat(F.lit("S"), "id").alias("symbol"), F.col("id").alias("volume"), F.col("id").alias("price"),
+        (F.col("id") + 1.0).alias("change_percent"), F.lit("2024-01-01").cast("timestamp_ntz").alias("timestamp"))
+    assert M.market_movers(quotes, "gainers", 200).count() == 200
+    news = quotes.select("id", "timestamp", F.array("symbol").alias("symbols"))
+    assert M.news_filter(news, limit=250).count() == 250
+    notes = quotes.select("id", F.lit(1).alias("user_id"), F.col("timestamp").alias("created_at"))
+    assert N.notification_page(notes, 1, size=300).count() == 300
 
 
 def test_watchlist_quotes_keep_unquoted(db):
@@ -106,18 +123,25 @@ def test_watchlist_quotes_keep_unquoted(db):
 
 
 def test_watchlist_changes_are_idempotent(rows, db):
-    schema = "user_id BIGINT, symbol STRING, added_at TIMESTAMP_NTZ"
-    adds = rows(schema, (1, "tsla", AS_OF), (1, "TSLA", AS_OF), (1, "aapl", AS_OF))
-    removes = rows(schema, (2, "none", AS_OF), (2, "none", AS_OF))
-    once = U.update_watchlist(db["user_watchlist"], adds, removes)
+    schema = "user_id BIGINT, symbol STRING, op STRING, added_at TIMESTAMP_NTZ, seq BIGINT"
+    changes = rows(schema, (1, "tsla", "A", AS_OF, 1), (1, "TSLA", "A", AS_OF, 2), (1, "aapl", "A", AS_OF, 3),
+                   (2, "none", "R", AS_OF, 4), (2, "none", "R", AS_OF, 5))
+    once = U.update_watchlist(db["user_watchlist"], changes)
     assert {(r[0], r[1]) for r in once.collect()} == {(1, "AAPL"), (1, "MSFT"), (1, "TSLA"), (2, "AAPL")}
     assert once.where("symbol = 'AAPL' AND user_id = 1").first()["added_at"] == datetime(2024, 1, 10, 12)
-    assert U.update_watchlist(once, adds, removes).exceptAll(once).count() == 0
-
-
-def test_roles(db):
-    got = U.update_roles(db["user_roles"], new_users=db["users"].where("id = 3"),
-                         removes=db["user_roles"].where("role = 'ADMIN'"))
+    assert U.update_watchlist(once, changes).exceptAll(once).count() == 0
+    again = rows(schema, (1, "aapl", "R", AS_OF, 1), (1, "aapl", "A", AS_OF, 2), (1, "msft", "A", AS_OF, 3),
+                 (1, "msft", "R", AS_OF, 4))
+    got = U.update_watchlist(once, again).where("user_id = 1")
+    assert {(r["symbol"], r["added_at"]) for r in got.collect()} == {
+        ("AAPL", datetime(2024, 1, 15, 12)), ("TSLA", datetime(2024, 1, 15, 12))}
+
+
+def test_roles(rows, db):
+    changes = rows("user_id BIGINT, role STRING, op STRING, changed_at TIMESTAMP_NTZ, seq BIGINT",
+                   (1, "ADMIN", "R", AS_OF, 1), (2, "PREMIUM_USER", "R", AS_OF, 1), (2, "PREMIUM_USER", "A", AS_OF, 2),
+                   (3, "ADMIN", "A", AS_OF, 1), (3, "ADMIN", "R", AS_OF, 2))
+    got = U.update_roles(db["user_roles"], changes, db["users"].where("id = 3"))
     assert {(r[0], r[1]) for r in got.collect()} == {(1, "USER"), (2, "PREMIUM_USER"), (3, "USER")}
 
 
@@ -127,11 +151,14 @@ def test_alert_changes(rows, db):
         "enabled BOOLEAN, changed_at TIMESTAMP_NTZ, seq BIGINT",
         (1, "U", None, None, None, 190, None, AS_OF, 1), (1, "U", None, None, None, None, False, AS_OF, 2),
         (2, "U", None, None, None, 170, None, AS_OF, 1), (2, "D", None, None, None, None, None, AS_OF, 2),
-        (77, "C", 3, "NVDA", "PRICE_BELOW", 500, True, AS_OF, 1))
+        (77, "C", 3, "NVDA", "PRICE_BELOW", 500, True, AS_OF, 1),
+        (3, "U", None, None, None, None, False, AS_OF, 1), (3, "D", None, None, None, None, None, AS_OF, 2),
+        (3, "C", 3, "AMD", "PRICE_ABOVE", 5, None, AS_OF, 3))
     got = {r["id"]: r for r in U.update_alerts(db["user_alerts"], changes).collect()}
     assert sorted(got) == [1, 3, 4, 5, 77]
     assert (float(got[1]["threshold_value"]), got[1]["enabled"], got[1]["symbol"]) == (190, False, "AAPL")
-    assert got[77]["symbol"] == "NVDA" and got[3]["updated_at"] is None
+    assert got[77]["symbol"] == "NVDA" and got[4]["updated_at"] is None
+    assert (got[3]["symbol"], got[3]["enabled"], got[3]["created_at"]) == ("AMD", None, datetime(2024, 1, 15, 12))
 
 
 def test_profile_changes_do_not_create_users(rows, db):
@@ -152,8 +179,14 @@ def test_alert_routing_includes_the_threshold(db):
         (1, "2024-01-15"), (2, "2024-01-14"), (3, "2024-01-15")]
 
 
+def _with_symbol_arrays(db):
+    named = db["news_symbols"].groupBy(F.col("news_id").alias("id")).agg(F.collect_set("symbol").alias("symbols"))
+    return db["news_data"].drop("symbols").join(named, "id", "left").withColumn(
+        "symbols", F.coalesce("symbols", F.array().cast("array<string>")))
+
+
 def test_news_routing(db):
-    nested = U.news_with_symbols(db["news_data"], db["news_symbols"]).select(
+    nested = _with_symbol_arrays(db).select(
         "id", F.col("title").alias("headline"), F.col("content").alias("summary"), "url",
         F.col("symbols").alias("affected_symbols"), F.col("sentiment_score").cast("double").alias("sentiment_score"),
         F.lit("MARKET_NEWS").alias("alert_type"), "timestamp")
@@ -247,7 +280,45 @@ def test_keys_and_references(db):
 
 
 def test_news_filter(db):
-    n = U.news_with_symbols(db["news_data"], db["news_symbols"])
+    n = _with_symbol_arrays(db)
     assert ids(M.news_filter(n, ["AAPL", "TSLA"])) == [1, 2]
     assert ids(M.news_filter(n, ["AAPL"], "business")) == []
     assert ids(M.news_filter(n, limit=1)) == [1]
+
+
+def test_rows_without_a_time_or_price(rows):
+    from quotelake.operators import windows as W
+    from quotelake.streaming.sinks import expired_count, retain_since
+
+    t = rows("id BIGINT, timestamp TIMESTAMP_NTZ", (1, None), (2, "2024-01-01 00:00:00"), (3, AS_OF))
+    assert ids(retain_since(t, AS_OF)) == [1, 3] and expired_count(t, AS_OF).first()["deleted"] == 1
+    ticks = rows("id BIGINT, symbol STRING, price DECIMAL(19,4), timestamp TIMESTAMP_NTZ",
+                 (1, "A", 10, "2024-01-01 00:00:00"), (2, "A", None, "2024-01-01 00:00:10"),
+                 (3, "A", 20, "2024-01-01 00:00:20"), (4, "B", None, "2024-01-01 00:00:20"))
+    got = {r["id"]: r["avg_price_5min"] for r in W.rolling_average(ticks).collect()}
+    assert got == {1: 10.0, 2: 10.0, 3: 15.0, 4: None}
+
+
+def test_both_forms_of_routing_compare_alike(rows):
+    at = "2024-01-01 00:00:00"
+    events = rows("id BIGINT, symbol STRING, sentiment_score DOUBLE, timestamp TIMESTAMP_NTZ",
+                  (1, "A", 0.49999, at), (2, "B", -0.5, at))
+    mine = rows("id BIGINT, user_id BIGINT, symbol STRING, alert_type STRING, threshold_value DECIMAL(19,4), enabled BOOLEAN",
+                (1, 1, "A", "NEWS_SENTIMENT", "0.5", True), (2, 1, "B", "NEWS_SENTIMENT", "0.5", True))
+    users = rows("id BIGINT, email STRING", (1, "a@x"))
+    assert [r["alert_id"] for r in R.route_alerts(events, mine, users).collect()] == [2]
+    assert [r["alert_id"] for r in R.route_alerts_per(events, mine, users).collect()] == [2]
+
+
+def test_open_and_close_aggregate_by_hashing(rows):
+    from quotelake.operators import windows as W
+
+    schema = "id BIGINT, symbol STRING, price DECIMAL(19,4), volume BIGINT, timestamp TIMESTAMP_NTZ"
+    day = [(-5, "A", 1, 1, "2024-01-01 00:00:00"), (7, "A", 2, 1, "2024-01-01 00:00:00"),
+           (3, "A", 3, 1, "2024-01-01 10:00:00"), (-9, "A", 4, 1, "2024-01-01 10:00:00")]
+    for bars in (W.ohlc_daily(rows(schema, *day)), W.ohlc_interval(rows(schema, *day), "1d")):
+        assert "SortAggregate" not in bars._jdf.queryExecution().executedPlan().toString()
+        r = bars.first()
+        assert (r["open"], r["close"]) == (1, 3)
+    named = rows(schema.replace("id BIGINT", "id STRING"), *[(str(i), *r[1:]) for i, r in enumerate(day)])
+    assert W.ohlc_daily(named).first()["close"] == 4
