@@ -24,6 +24,8 @@ from quotelake.llm.tables import keep
 BUCKETS = 1 << 17  # of shingle counts that make the order; any order gives the same result
 SLOTS = 1 << 23  # bits of the filter for documents whose sets are needed
 PAIRS_PER_ROW = 2  # pairs of different components that a row of the index may still stand for
+PIVOTS = 4  # groups that each list is compared with in a round
+SHRINK = 0.95  # a round has to bring the components in all lists below this share, or the rest is compared in full
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93,
         0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3]  # odd multipliers, one for each place
 
@@ -52,6 +54,17 @@ def similar(both, size_a, size_b, percent: int):
     return (100 + percent) * both >= percent * (size_a + size_b)
 
 
+BITS = [f"bits{i}" for i in range(4)]
+
+
+def bit_words(members: np.ndarray) -> list[int]:
+    """256 bits: one for each member, by parts of its number that decide nothing else."""
+    words = np.zeros(len(BITS), np.uint64)
+    np.bitwise_or.at(words, ((members >> np.uint64(46)) & np.uint64(3)).astype(np.int64),
+                     np.uint64(1) << ((members >> np.uint64(40)) & np.uint64(63)))
+    return words.view(np.int64).tolist()
+
+
 def bucket_counts(texts: DataFrame, size: int) -> np.ndarray:
     """Shingle counts over all documents in a fixed number of buckets. Each task adds up its own first."""
 
@@ -86,16 +99,17 @@ def set_rows(texts: DataFrame, size: int, percent: int, counts: np.ndarray) -> D
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, size)
                 order = np.lexsort((found, counts[(found & np.uint64(BUCKETS - 1)).astype(np.int64)]))
-                first = found[order[:prefix_length(len(found), percent)]].view(np.int64)
-                rows.append((len(found), *_signature(found), first))
-            columns = list(zip(*rows)) or [[]] * 4
+                first = found[order[:prefix_length(len(found), percent)]]
+                rows.append((len(found), *_signature(found), *bit_words(first), first.view(np.int64)))
+            columns = list(zip(*rows)) or [[]] * 8
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()),
-                 pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "n", "s1", "s2", "prefix"])
+                [batch.column(0), batch.column(2), pa.array(columns[0], pa.int32()),
+                 *(pa.array(c, pa.int64()) for c in columns[1:7]), pa.array(columns[7], pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "n", "s1", "s2", *BITS, "prefix"])
 
     return texts.mapInArrow(
-        describe, "doc_id BIGINT, text_key BIGINT, n INT, s1 BIGINT, s2 BIGINT, prefix ARRAY<BIGINT>")
+        describe, "doc_id BIGINT, text_key BIGINT, n INT, s1 BIGINT, s2 BIGINT, "
+                  + ", ".join(f"{b} BIGINT" for b in BITS) + ", prefix ARRAY<BIGINT>")
 
 
 def _slot(column):
@@ -180,14 +194,29 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _fits(percent: int):
-    """Whether rows a and b of one list can belong to a similar pair, from sizes and places in the prefixes."""
-    shared = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
-    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & similar(
-        shared, F.col("n_a"), F.col("n_b"), percent) & (F.col("root_a") != F.col("root_b"))
+    """Whether rows a and b of one list can belong to a similar pair. Never false for a pair that is similar.
+
+    By sizes; by place, since the first common member has all others behind it; and by the bits of the prefixes: members
+    whose bit the other side lacks are not common, and behind the prefix that ends first in the order only the
+    rest of its own set can be.
+    """
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    behind = F.least(n_a - F.col("pos_a"), n_b - F.col("pos_b"))
+
+    def common(one, other):
+        lacking = [F.bit_count(F.col(f"{b}_{one}").bitwiseAND(F.bitwise_not(F.col(f"{b}_{other}")))) for b in BITS]
+        return F.col(f"p_{one}") - sum(lacking)
+
+    shared = F.least(common("a", "b"), common("b", "a")) + F.greatest(n_a - F.col("p_a"), n_b - F.col("p_b"))
+    return ((100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & similar(behind, n_a, n_b, percent)
+            & (F.col("root_a") != F.col("root_b")) & similar(shared, n_a, n_b, percent))
+
+
+_ROW = ["gid", "n", "p", "pos", *BITS, "root"]
 
 
 def _side(lists: DataFrame, name: str) -> DataFrame:
-    return lists.select("token", *(F.col(c).alias(f"{c}_{name}") for c in ("gid", "n", "pos", "root")))
+    return lists.select("token", *(F.col(c).alias(f"{c}_{name}") for c in _ROW))
 
 
 def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -199,11 +228,12 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
     members = keep(keyed.join(many, by_prefix).select("gid", "cid").where("gid <> cid"), "members")
     links = verify(members.select(F.col("gid").alias("a"), F.col("cid").alias("b")), texts, classes, size, percent)
     # members not linked to the first of their group stand for themselves
-    groups = classes.where("n > 0").select(F.col("cid").alias("gid"), "n", "prefix").join(
+    groups = classes.where("n > 0").select(F.col("cid").alias("gid"), "n", "prefix", *BITS).join(
         links.select(F.col("b").alias("gid")), "gid", "left_anti")
     index = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     common = index.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    index = keep(index.join(common, "token"), "index")
+    index = keep(index.join(common, "token").join(
+        groups.select("gid", F.size("prefix").alias("p"), *BITS), "gid"), "index")
     inside = links.select(F.col("a").alias("gid"), F.col("b").alias("cid"))
     before = None
     for turn in range(64):
@@ -211,15 +241,17 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
         lists = keep(index.join(labels.withColumnRenamed("node", "gid"), "gid", "left").withColumn(
             "root", F.coalesce("root", "gid")), "lists")
         parts = lists.groupBy("token", "root").count().groupBy("token").agg(
-            F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        rows, pairs = parts.where("all * all > own").agg(
+            F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("own"),
+            F.count("*").alias("roots"))
+        rows, pairs, roots = parts.where("all * all > own").agg(
             F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2),
-                                                           F.lit(0.0))).first()
-        if pairs <= PAIRS_PER_ROW * rows or before is not None and pairs > 0.7 * before:
+                                                           F.lit(0.0)), F.coalesce(F.sum("roots"), F.lit(0))).first()
+        if pairs <= PAIRS_PER_ROW * rows or before is not None and roots > SHRINK * before:
             break  # few pairs, or pivots bring no more: compare what is left in full
-        before = pairs
-        pivots = lists.groupBy("token").agg(F.min_by(
-            F.struct("gid", "n", "pos", "root"), F.xxhash64(F.lit(turn), "gid")).alias("p")).select("token", "p.*")
+        before = roots
+        chosen = [F.min_by(F.struct(*_ROW), F.xxhash64(F.lit(PIVOTS * turn + i), "gid")) for i in range(PIVOTS)]
+        pivots = lists.groupBy("token").agg(F.array_distinct(F.array(*chosen)).alias("p")).select(
+            "token", F.explode("p").alias("p")).select("token", "p.*")
         close = _side(pivots, "a").join(_side(lists, "b"), "token").where(_fits(percent))
         links = keep(links.union(verify(close.select(
             F.least("gid_a", "gid_b").alias("a"), F.greatest("gid_a", "gid_b").alias("b")).distinct(),
@@ -242,14 +274,14 @@ def labelled(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
                         F.xxhash64(text_col).alias("text_key"))
     rows = keep(set_rows(texts, size, percent, bucket_counts(texts, size)), "rows")
     classes = keep(rows.where("n > 0").groupBy("s1", "s2").agg(
-        F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumn(
+        F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("n", *BITS, "prefix"))).withColumn(
         "cid", F.monotonically_increasing_id()), "classes")
     labels = components(_links(texts, classes, size, percent))
     rooted = keep(classes.select("s1", "s2", "cid", "doc").join(
         labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "rooted")
     smallest = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = keep(rooted.join(smallest, "root").select("s1", "s2", "root", "component_id"), "named")
-    plain = rows.drop("prefix")
+    plain = rows.drop("prefix", *BITS)
     linked = plain.where("n > 0").join(named, ["s1", "s2"]).drop("s1", "s2")
     alone = plain.where("n = 0").select(
         "doc_id", "text_key", "n", F.lit(None).cast("bigint").alias("root"), F.col("doc_id").alias("component_id"))
