@@ -47,8 +47,9 @@ def test_measures_match_sql(spark):
 
 
 def test_rules_keep_clean_documents_and_take_failed_lines_out(spark):
-    text = PROSE + "\nHome | News | About | Help\n\n" + PROSE.replace("river", "road") + "\n" + PROSE
-    assert clean_lines(text) == PROSE + "\n\n" + PROSE.replace("river", "road")
+    second = "When the bridge fell nobody in the village could say, but most agreed that it was before the great flood."
+    text = PROSE + "\nHome | News | About | Help\n\n" + second
+    assert clean_lines(text + "\n" + PROSE) == PROSE + "\n\n" + second
     assert clean_lines(None) is None
     bad = "A | B | C | D\n" + PROSE.upper().replace(" ", "!! ")
     docs = spark.createDataFrame([(1, text, "k"), (1, text, "k"), (2, bad, "k"), (3, None, "k"), (None, text, None)],
@@ -107,7 +108,7 @@ def test_other_numbers_stay(text):
 
 @pytest.mark.parametrize("text, kind", [
     ("+1 (643) 555-5742", 5), ("(643) 555-5742", 5), ("141.73.119.60!!", 3), ("123-45-6789", 4), ("x.24@mail4.example.com.", 0),
-    ("5927243074273351$$$", 6), ("31/12/1999", 2)])
+    ("4111111111111111$$$", 6), ("31/12/1999", 2)])
 def test_found_in_any_surrounding(text, kind):
     for before, after in ((" ", " "), ("", ""), ("(", ")"), ("| ", " |"), ("\n", ",")):
         new, found = NAMES.mask(before + text + after)
