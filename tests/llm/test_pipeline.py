@@ -36,7 +36,7 @@ def test_all_stages_by_hand(spark, tmp_path):
         assert docs.columns == before.names
     assert {r.doc_id: r.text for r in docs.collect()} == want
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").collect()
     sizes = {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in want.items()}
     got = {}
     for r in packed:
