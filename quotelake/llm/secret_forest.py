@@ -24,6 +24,20 @@ DICTIONARY = 200  # frequent words that coverage counts
 SAMPLE = 5000  # labelled findings of either label to learn from
 TREES, DEPTH = 24, 6
 THRESHOLD = 0.5
+# tokens that say by their prefix and length whose they are; a JSON web token is seen by its parts that begin with {"
+VENDOR = "^(" + "|".join([
+    "(AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}", "gh[opsru]_[A-Za-z0-9]{36,}", "github_pat_[A-Za-z0-9_]{40,}",
+    "glpat-[A-Za-z0-9_-]{20,}", "[sr]k_(live|test)_[A-Za-z0-9]{10,}", "whsec_[A-Za-z0-9+/]{24,}={0,2}",
+    "AIza[A-Za-z0-9_-]{35}", "ya29[.][A-Za-z0-9_-]{20,}", "xox[abeoprs]-[A-Za-z0-9-]{10,}", "xapp-[A-Za-z0-9-]{20,}",
+    "sk-[A-Za-z0-9_-]{20,}", "hf_[A-Za-z0-9]{30,}", "npm_[A-Za-z0-9]{36}", "pypi-[A-Za-z0-9_-]{50,}",
+    "do[opr]_v1_[0-9a-f]{64}", "shp(at|ca|pa|ss)_[0-9A-Fa-f]{32}", "sq0(atp|csp)-[A-Za-z0-9_-]{22,}", "key-[0-9a-f]{32}",
+    "SK[0-9a-f]{32}", "SG[.][A-Za-z0-9_-]{16,}[.][A-Za-z0-9_-]{16,}", "hv[bsr][.][A-Za-z0-9_-]{20,}",
+    "eyJ[A-Za-z0-9_-]{12,}={0,2}([.][A-Za-z0-9_-]*={0,2}){0,2}"]) + ")$"
+LONG_HEX = "^([0-9a-f]{32,}|[0-9A-F]{32,})$"
+ENTROPY, LEAST = 2.75, 8  # bits per character and characters of a value that is a secret if its name says so
+PLACEHOLDER = r"(?i)^([$%]?[{(<\[].*|[$%][a-z_]+%?|[*x.#-]+|null|none|nil|true|false|undefined|(os|process)[.]env.*)$"
+# what people write: numbers and marks, or words of one case or with a capital each, also several with marks between
+PLAIN = r"^([0-9/_+=-]+|[/_+-]*([A-Z]?[a-z]{2,}|[A-Z]{2,})([/_+-]+([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[/_+=-]*|([A-Z]?[a-z]{3,})+)$"
 FEATURES = ["length", "transitions", "digits", "upper", "distinct", "hex", "coverage", "path", "near", "assigned",
             "quoted", "prose"]
 
@@ -74,12 +88,30 @@ def candidates(docs: DataFrame, dictionary: list[str], id_col: str = "doc_id", t
     return rows.select("doc_id", "word_no", "part", "candidate", *(v.cast("double").alias(k) for k, v in features.items()))
 
 
+def entropy(text):
+    """Shannon entropy of the characters of a column, in bits per character."""
+    n = F.length(text)
+
+    def bits(total, c):
+        p = (n - F.length(F.replace(text, c, F.lit("")))) / n
+        return total - p * F.log2(p)
+
+    return F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), bits)
+
+
 def format_labels(found: DataFrame) -> DataFrame:
-    """Labelled findings where no table of them is given: 1 for exact vendor formats and for long digests assigned to a
-    name that says secret, 0 for the rest."""
-    secret = F.col("candidate").rlike("^AKIA[0-9A-Z]{16}$") | (
-        F.col("candidate").rlike("^[0-9a-f]{32,}$") & (F.col("assigned") == 1) & (F.col("near") == 1))
-    return found.select(*FEATURES, "candidate", secret.cast("double").alias("label"))
+    """Labelled findings where no table of them is given; what no format decides has no label and is left out.
+
+    1: vendor formats; long digests in hex of either case and other values of high entropy that are assigned to a name
+    that says secret. 0: numbers, plain words and placeholders, the former two unless they are assigned to such a name.
+    """
+    c = F.col("candidate")
+    named = (F.col("assigned") == 1) & (F.col("near") == 1)
+    empty = c.rlike(PLACEHOLDER)
+    dense = (F.length(c) >= LEAST) & c.rlike("[0-9]") & c.rlike("[A-Za-z]") & ~c.rlike(PLAIN) & (entropy(c) >= ENTROPY)
+    label = F.when(c.rlike(VENDOR) | (named & ~empty & (c.rlike(LONG_HEX) | dense)), 1.0).when(
+        empty | (c.rlike(PLAIN) & ~named), 0.0)
+    return found.select(*FEATURES, "candidate", label.alias("label")).where(F.col("label").isNotNull())
 
 
 @dataclass
@@ -117,7 +149,8 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold:
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every candidate: doc_id, word_no, part, candidate, score, is_secret.
 
-    `labelled` has the features and a label (0, 1) per finding; without it the findings of `docs` are labelled by format.
+    `labelled` has the features and a label (0, 1) per finding; without it the findings of `docs` are labelled by format,
+    as far as a format decides.
     Null and empty texts have no candidates; null and repeated ids are returned as they come; other columns are
     ignored; an empty table gives no rows. Scoring is one pass without a shuffle.
     """
