@@ -31,6 +31,14 @@ _FIND = re.compile(r"""
       |(?<!\w)(?:\(\d{3}\)[ ]?|\d{3}[.-])\d{3}[.-]\d{4}(?!\w))
   | (?P<card>(?<!\w)\d(?:[ -]?\d){12,18}(?!\w))""", re.VERBOSE)
 
+# the formats one by one, for what begins at a place where the longest match is no valid value
+_EACH = {kind: re.compile(part, re.VERBOSE) for kind, part in zip(KINDS, re.split(r"\n  \| (?=\(\?P<)", _FIND.pattern))}
+_CARD_SHAPE = re.compile(r"\d+|(?:\d{4}[ -])+\d{1,4}|\d{4}[ -]\d{6}[ -]\d{4,5}")  # how a card number is grouped
+_IBAN_LENGTHS = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+    "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+    "28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for c in cs.split(",")}
+
 
 def luhn_digit(digits: str) -> str:
     """The digit that completes a Luhn number."""
@@ -150,7 +158,7 @@ class Pseudonyms:
 
     def card(self, text: str) -> str | None:
         digits = "".join(c for c in text if c.isdigit())
-        if luhn_digit(digits[:-1]) != digits[-1]:
+        if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1]:
             return None
         body = self.characters("card", digits[:-1])
         return _refill(text, body + luhn_digit(body), str.isdigit)
@@ -158,19 +166,66 @@ class Pseudonyms:
     def mask(self, text: str) -> tuple[str, list[int]]:
         """The text with pseudonyms, and how many values of each kind it held."""
         found = dict.fromkeys(KINDS, 0)
-
-        def swap(match):
-            kind = next(k for k in KINDS if match[k] is not None)
-            new = getattr(self, kind)(match[0])
-            if new is None and kind in ("iban", "phone", "ssn"):  # may still be a number of another kind
-                digits = re.fullmatch(r"\d(?:[ -]?\d){12,18}", match[0])
-                kind, new = ("card", self.card(match[0])) if digits else (kind, None)
-            found[kind] += new is not None
-            return match[0] if new is None else new
-
-        if "@" in text or any(d in text for d in _ALPHABETS[0]):
-            text = _FIND.sub(swap, text)
-        return text, list(found.values())
+        if "@" not in text and not any(d in text for d in _ALPHABETS[0]):
+            return text, list(found.values())
+        out, last, pos = [], 0, 0
+        while match := _FIND.search(text, pos):
+            kind, end, new = self._value(text, match)
+            if new is None:
+                pos = match.start() + 1
+                continue
+            found[kind] += 1
+            out += text[last:match.start()], new
+            last = pos = end
+        return "".join(out) + text[last:], list(found.values())
+
+    def _value(self, text: str, match: re.Match) -> tuple[str | None, int, str | None]:
+        """(kind, end, pseudonym) of the valid value that begins where `match` does; it may be shorter or of another kind."""
+        at = match.start()
+        first = next(i for i, k in enumerate(KINDS) if match[k] is not None)
+        for kind in KINDS[first:]:
+            longest = match if kind == KINDS[first] else _EACH[kind].match(text, at)
+            for end in self._ends(text, kind, longest) if longest else ():
+                new = getattr(self, kind)(text[at:end])
+                if new is not None:
+                    return kind, end, new
+        return None, at, None
+
+    def _ends(self, text: str, kind: str, match: re.Match):
+        """Where a value of a kind that begins with `match` may end, the best first."""
+        at, end = match.span()
+        borders = [i for i in range(end, at, -1) if i == end or text[i - 1].isalnum() and not (text[i].isalnum() or text[i] == "_")]
+        if kind == "iban":
+            size = _IBAN_LENGTHS.get(text[at:at + 2])
+            own = [i for i in borders if len(text[at:i].replace(" ", "")) == size]
+            return [*own, *(i for i in borders if size is None or i == end)]
+        if kind == "card":
+            return self._card_ends(text, at, borders)
+        if kind == "phone":
+            # it ends before a card number that goes on behind it, or that made it too long
+            fits = self.phone(match[0]) is not None
+            for i in range(at + 1, end):
+                card = self._card_at(text, i) if text[i].isdigit() else None
+                if card and (card > end or not fits):
+                    borders = [b for b in borders if b < i]
+                    break
+            return borders
+        return [end]
+
+    def _card_ends(self, text: str, at: int, borders: list[int]):
+        """Ends of a card number: of one that is grouped as such first, of others if none of those begins inside."""
+        shaped = [i for i in borders if _CARD_SHAPE.fullmatch(text, at, i)]
+        yield from shaped
+        for i in borders:
+            if i not in shaped and not any(self._card_at(text, j) for j in range(at + 1, i) if text[j].isdigit()):
+                yield i
+
+    def _card_at(self, text: str, at: int) -> int | None:
+        """The end of the valid card number, grouped as such, that begins at a place."""
+        match = _EACH["card"].match(text, at)
+        ends = range(match.end(), at, -1) if match else ()
+        return next((i for i in ends if (i == len(text) or not (text[i].isalnum() or text[i] == "_"))
+                     and _CARD_SHAPE.fullmatch(text, at, i) and self.card(text[at:i]) is not None), None)
 
 
 def _refill(form: str, characters: str, takes) -> str:

@@ -115,6 +115,27 @@ def test_found_in_any_surrounding(text, kind):
         assert found[kind] == 1 and new != before + text + after and new.startswith(before) and new.endswith(after)
 
 
+CARD, IBAN = "4111111111111111", "AT611904300234573201"
+
+
+@pytest.mark.parametrize("text, value, kind", [
+    (CARD + " 123", CARD, 6), ("12 " + CARD, CARD, 6), ("4111 1111 1111 1111 123", "4111 1111 1111 1111", 6),
+    ("12 4111-1111-1111-1111", "4111-1111-1111-1111", 6), ("000-12-3456 4111 1111 1111 1111", "4111 1111 1111 1111", 6),
+    (IBAN + " OPSKATWW", IBAN, 1), ("AT61 1904 3002 3457 3201 OPSKATWWXXX", "AT61 1904 3002 3457 3201", 1),
+    ("IBAN AB12 " + IBAN, IBAN, 1), ("+" + CARD, CARD, 6)])
+def test_valid_values_beside_others_are_found(text, value, kind):
+    for before, after in (("", ""), ("pay ", " now"), ("(", ")."), ("\n", ",")):
+        new, found = NAMES.mask(before + text + after)
+        alone, _ = NAMES.mask(value)
+        assert alone != value and new == before + text.replace(value, alone) + after and found[kind] == sum(found) == 1
+
+
+def test_a_phone_number_ends_before_a_card():
+    new, found = NAMES.mask("+1 643-555-5742 4111 1111 1111 1111")
+    assert new == " ".join([NAMES.mask("+1 643-555-5742")[0], NAMES.mask("4111 1111 1111 1111")[0]])
+    assert found[5] == found[6] == 1
+
+
 def test_masked_rows(spark):
     docs = spark.createDataFrame([(1, "ip 10.0.0.1", "t"), (1, "ip 10.0.0.1", "t"), (None, None, None), (2, "", "t")],
                                  "doc_id LONG, text STRING, n_ip STRING")
