@@ -24,7 +24,7 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _FIND = re.compile(r"""
     (?P<email>(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+)
   | (?P<iban>(?<!\w)[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
-  | (?P<date>(?<![\w.-])\d{4}-\d\d-\d\d(?![\w-])|(?<![\w./])\d{1,2}(?P<mark>[./])\d{1,2}(?P=mark)\d{4}(?!\w|[./]\d))
+  | (?P<date>(?<![\w.-])\d{4}-\d\d-\d\d(?:(?![\w-])|(?=[Tt]\d\d))|(?<![\w./])\d{1,2}(?P<mark>[./])\d{1,2}(?P=mark)\d{4}(?!\w|[./]\d))
   | (?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))
   | (?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))
   | (?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)

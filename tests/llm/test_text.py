@@ -136,6 +136,14 @@ def test_a_phone_number_ends_before_a_card():
     assert found[5] == found[6] == 1
 
 
+@pytest.mark.parametrize("time", ["T00:00:00Z", "T235959", "t10:30", "T10+01:00", "T10:30:00.123-05:00"])
+def test_the_date_of_a_timestamp_is_the_date_alone(time):
+    alone = NAMES.mask("1985-04-12")[0]
+    new, found = NAMES.mask(f"born 1985-04-12{time}.")
+    assert new == f"born {alone}{time}." and found[2] == 1
+    assert NAMES.mask("1985-04-12Tue 1985-04-12-7")[1][2] == 0
+
+
 def test_masked_rows(spark):
     docs = spark.createDataFrame([(1, "ip 10.0.0.1", "t"), (1, "ip 10.0.0.1", "t"), (None, None, None), (2, "", "t")],
                                  "doc_id LONG, text STRING, n_ip STRING")
