@@ -1,6 +1,7 @@
 """Secrets in text: candidates by shape, false positives removed by a random forest, in DataFrame operations only.
 
-A candidate is a run of key-like characters. The forest sees its length, the changes
+A candidate is a run of 16 or more key-like characters, or of any length and with any marks what is assigned to a name
+that says secret, or the password of a URL. The forest sees its length, the changes
 between kinds of characters, how much of it frequent words cover, whether it stands in a path, and the
 words beside it. It learns from labelled findings.
 """
@@ -20,6 +21,17 @@ from quotelake.llm.tables import keep
 SPACE = r"[\x20\x09-\x0D]+"
 RUN = r"([A-Za-z0-9+/_-]{16,}={0,2})"
 NEAR = r"(?i)token|secret|passw|pwd|key|auth|credential"
+# a value: in quotes up to the closing one, else without the marks that end a phrase or the next of several settings
+NEXT = r"[&;,][\w.-]+="
+VALUE = (r"""(?:"([^"]+)|'([^']+)|`([^`]+)|((?![=:"'`])(?:(?!NEXT)[^"'`])+?)(?=[,;.)\]}>]*(?:$|["'`])|NEXT))"""
+         .replace("NEXT", NEXT))
+NAME = rf"(?:{NEAR[4:]})[\w.-]*[\"'`\)\]]*"
+SETS = "(?::=|=>|={1,3}|:)"
+OWN = f"(?i){NAME}{SETS}{VALUE}"  # name and value in one word
+NAMED, SETTER = f"(?i){NAME}$", f"^{SETS}$"
+NAMED_SETTER = f"(?i){NAME}{SETS}$"
+LEAD = f"(?i)^{SETS}?{VALUE}"  # the value of a name in the words before
+USERINFO = r"://[^\s/:@]*:((?![0-9]+/)(?:(?!://)\S)+)@"
 DICTIONARY = 200  # frequent words that coverage counts
 SAMPLE = 5000  # labelled findings of either label to learn from
 TREES, DEPTH = 24, 6
@@ -39,7 +51,7 @@ PLACEHOLDER = r"(?i)^([$%]?[{(<\[].*|[$%][a-z_]+%?|[*x.#-]+|null|none|nil|true|f
 # what people write: numbers and marks, or words of one case or with a capital each, also several with marks between
 PLAIN = r"^([0-9/_+=-]+|[/_+-]*([A-Z]?[a-z]{2,}|[A-Z]{2,})([/_+-]+([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[/_+=-]*|([A-Z]?[a-z]{3,})+)$"
 FEATURES = ["length", "transitions", "digits", "upper", "distinct", "hex", "coverage", "path", "near", "assigned",
-            "quoted", "prose"]
+            "quoted", "prose", "userinfo"]
 
 
 def frequent_words(docs: DataFrame, top: int = DICTIONARY, text_col: str = "text") -> list[str]:
@@ -53,14 +65,35 @@ def frequent_words(docs: DataFrame, top: int = DICTIONARY, text_col: str = "text
 def candidates(docs: DataFrame, dictionary: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per candidate: doc_id, word_no, part, candidate and the features."""
     words = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.split(F.col(text_col), SPACE).alias("words"))
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (
-        F.length(F.get("words", i)) >= 16) & F.get("words", i).rlike(RUN))
+
+    def at(i):
+        return F.coalesce(F.get("words", i), F.lit(""))
+
+    def follows(second, before, word):
+        """Whether the words before a word give it to a name."""
+        return (before.rlike("[=:>]$") & (before.rlike(NAMED_SETTER) | (before.rlike(SETTER) & second.rlike(NAMED)))) | (
+            word.rlike("^[=:].") & before.rlike(NAMED))
+
+    def place(i):
+        word = F.get("words", i)
+        return ((F.length(word) >= 16) & word.rlike(RUN)) | (word.rlike("[=:]") & (
+            word.rlike(OWN) | word.rlike(USERINFO))) | follows(at(i - 2), at(i - 1), word)
+
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), place)
     around = F.transform(places, lambda i: F.struct(
-        i.alias("word_no"), F.get("words", i).alias("word"), F.coalesce(F.get("words", i - 2), F.lit("")).alias("second"),
-        F.coalesce(F.get("words", i - 1), F.lit("")).alias("before"),
-        F.coalesce(F.get("words", i + 1), F.lit("")).alias("after")))
+        i.alias("word_no"), F.get("words", i).alias("word"), at(i - 2).alias("second"), at(i - 1).alias("before"),
+        at(i + 1).alias("after")))
+
+    def values(pattern, groups=4):
+        return F.concat(*(F.regexp_extract_all("word", F.lit(pattern), F.lit(g)) for g in range(1, groups + 1)))
+
+    runs = F.regexp_extract_all("word", F.lit(RUN), F.lit(1))
+    given = F.when(follows(F.col("second"), F.col("before"), F.col("word")), values(LEAD)).otherwise(F.array())
+    others = F.filter(F.concat(given, values(OWN), values(USERINFO, 1)), lambda v: v != "")
     rows = words.select("doc_id", F.explode(around).alias("w")).select("doc_id", "w.*").select(
-        "*", F.posexplode(F.regexp_extract_all("word", F.lit(RUN), F.lit(1))).alias("part", "candidate"))
+        "*", runs.alias("runs"), others.alias("others")).select(
+        "*", F.posexplode(F.concat("runs", F.filter("others", lambda v: ~F.array_contains("runs", v)))).alias(
+            "part", "candidate"))
     c, n, head = F.col("candidate"), F.length("candidate"), F.expr("substring_index(word, candidate, 1)")
     # longer words first, so that a word isn't left half covered by a shorter one
     cover = "|".join(sorted(dictionary, key=lambda w: (-len(w), w)))
@@ -81,9 +114,11 @@ def candidates(docs: DataFrame, dictionary: list[str], id_col: str = "doc_id", t
         "coverage": 1 - F.length(F.regexp_replace(F.lower(c), cover, "")) / n if cover else F.lit(0.0),
         "path": flag(F.col("word").rlike("[a-z]+://|^/|/.*/|[.][a-z]{2,4}$")),
         "near": flag(F.concat_ws(" ", "second", "before", head).rlike(NEAR)),
-        "assigned": flag(F.col("before").rlike("[=:]$") | head.rlike("[=:][\"']?$")),
-        "quoted": flag(head.rlike("[\"']$")),
+        "assigned": flag(F.col("before").rlike("[=:]>?$") | head.rlike("[=:]>?[\"'`]?$")),
+        "quoted": flag(head.rlike("[\"'`]$")),
         "prose": (flag(F.col("before").rlike("^[a-z]+[.,]?$")) + flag(F.col("after").rlike("^[a-z]+[.,]?$"))) / 2,
+        "userinfo": flag(head.rlike("://[^/:@]*:$") & F.startswith(
+            F.expr("substr(word, length(substring_index(word, candidate, 1)) + length(candidate) + 1)"), F.lit("@"))),
     }
     return rows.select("doc_id", "word_no", "part", "candidate", *(v.cast("double").alias(k) for k, v in features.items()))
 
@@ -102,14 +137,16 @@ def entropy(text):
 def format_labels(found: DataFrame) -> DataFrame:
     """Labelled findings where no table of them is given; what no format decides has no label and is left out.
 
-    1: vendor formats; long digests in hex of either case and other values of high entropy that are assigned to a name
-    that says secret. 0: numbers, plain words and placeholders, the former two unless they are assigned to such a name.
+    1: vendor formats; passwords of URLs; long digests in hex of either case and other values of high entropy that are
+    assigned to a name that says secret. 0: numbers, plain words and placeholders, the former two unless they are
+    assigned to such a name.
     """
     c = F.col("candidate")
     named = (F.col("assigned") == 1) & (F.col("near") == 1)
     empty = c.rlike(PLACEHOLDER)
     dense = (F.length(c) >= LEAST) & c.rlike("[0-9]") & c.rlike("[A-Za-z]") & ~c.rlike(PLAIN) & (entropy(c) >= ENTROPY)
-    label = F.when(c.rlike(VENDOR) | (named & ~empty & (c.rlike(LONG_HEX) | dense)), 1.0).when(
+    url = F.col("userinfo") == 1
+    label = F.when(c.rlike(VENDOR) | (~empty & (url | (named & (c.rlike(LONG_HEX) | dense)))), 1.0).when(
         empty | (c.rlike(PLAIN) & ~named), 0.0)
     return found.select(*FEATURES, "candidate", label.alias("label")).where(F.col("label").isNotNull())
 

@@ -275,3 +275,26 @@ def test_labels_by_format_leave_undecided_findings_out(spark):
               secret_forest.format_labels(secret_forest.candidates(docs, [])).collect()}
     assert sorted(labels.values()) == [0.0] * len(plain) + [1.0] * len(secret)
     assert labels[digest + "1"] == 1 and digest + "0" not in labels and labels["VERSCHWENDERISCHES0"] == 0
+
+
+@pytest.mark.parametrize("text, secret", [
+    ('password = "Tr0ub4dor&3"', "Tr0ub4dor&3"), ("password=Tr0ub4dor&3, then", "Tr0ub4dor&3"), ("pwd: hunter2.", "hunter2"),
+    ('{"api_key": "a1b2c3d4"}', "a1b2c3d4"), ("'secret' => 'p@ss:w0rd!'", "p@ss:w0rd!"), ("db postgres://user:hunter2pass@host/db", "hunter2pass"),
+    ("amqp://a:b@c,amqp://d:e#1@f", "e#1"), ("Server=x;Password=q!7z;Database=y", "q!7z"), ('PASSWD ="x y"', "x"),
+    ("https://h.org/?token=a1&x=2", "a1"), ("auth_token := `k-9`", "k-9")])
+def test_short_values_of_secret_names_are_candidates(spark, text, secret):
+    docs = spark.createDataFrame([(1, "see " + text), (2, "the key words are: none of these 12:30 http://h:80/a@b")],
+                                 "doc_id LONG, text STRING")
+    rows = secret_forest.candidates(docs, []).collect()
+    found = [r for r in rows if r.doc_id == 1 and r.candidate == secret]
+    assert len(found) == 1 and found[0].assigned and (found[0].near or found[0].userinfo)
+    assert len({(r.doc_id, r.word_no, r.part) for r in rows}) == len(rows) and {r.doc_id for r in rows} == {1}
+
+
+def test_forest_decides_on_short_values(spark):
+    docs = spark.createDataFrame(
+        [(i, f'password = "Tr0ub{i}dor&{i}" to postgres://user:hunter{i}@host or password = ${{PASS_{"ABCDEFGH"[i % 8]}}}')
+         for i in range(40)], "doc_id LONG, text STRING")
+    rows = secret_forest.scan_secrets(docs).collect()
+    assert {r.is_secret for r in rows if "dor" in r.candidate or "hunter" in r.candidate[:6]} == {True}
+    assert {r.is_secret for r in rows if r.candidate.startswith("$")} == {False}
