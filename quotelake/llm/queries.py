@@ -11,6 +11,7 @@ from quotelake.llm.byte_cnn import learn_quality, score_quality
 from quotelake.llm.group_join import near_duplicates
 from quotelake.llm.line_rules import line_quality
 from quotelake.llm.packing import pack
+from quotelake.llm.passage_dedup import remove_repeats
 from quotelake.llm.pseudonyms import pseudonym_report
 from quotelake.llm.secret_forest import scan_secrets
 from quotelake.llm.tables import table
@@ -68,6 +69,11 @@ def op10_exact_duplicates(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_fm_substring_dedup(spark, sf_dir):
+    found = remove_repeats(table(spark, sf_dir, "documents"), width=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 _LINE_FAILS = f"""
     100 * len(list_filter(own, lambda x: x = '|')) > 20 * len(own)
     OR 100 * (length(line) - length(translate(line, '#*$%&|<>', ''))) > 10 * chars
@@ -109,7 +115,24 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
        sha256(folded) AS text_sha256
 FROM t WINDOW g AS (PARTITION BY folded)"""
 
+SUBSTRING_DEDUP = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS words FROM documents),
+u AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
+g AS (SELECT doc_id, pos, word, CASE WHEN lead(word, 12) OVER o IS NOT NULL THEN concat_ws(' ', word, {", ".join(
+    f"lead(word, {i}) OVER o" for i in range(1, 13))}) END AS gram FROM u
+    WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+r AS (SELECT doc_id, pos, word, CAST(gram IS NOT NULL AND min(doc_id) OVER (PARTITION BY gram) < doc_id AS INTEGER) AS again
+    FROM g),
+c AS (SELECT doc_id, pos, word, max(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 12 PRECEDING
+    AND CURRENT ROW) AS gone FROM r),
+n AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed,
+    string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+    sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN n USING (doc_id)"""
+
 QUERIES = {f.__name__: f for f in (
     op1_byte_cnn_quality, op2_secret_forest, op3_token_store, op4_bpe_round_trip, op5_best_fit_packing,
-    op6_group_prefix_join, op7_pseudonyms, op8_line_quality, op9_token_counts, op10_exact_duplicates)}
-ORACLES = {"op8_line_quality": LINE_QUALITY, "op10_exact_duplicates": EXACT_DUPLICATES}
+    op6_group_prefix_join, op7_pseudonyms, op8_line_quality, op9_token_counts, op10_exact_duplicates,
+    op11_fm_substring_dedup)}
+ORACLES = {"op8_line_quality": LINE_QUALITY, "op10_exact_duplicates": EXACT_DUPLICATES,
+           "op11_fm_substring_dedup": SUBSTRING_DEDUP}
