@@ -15,11 +15,13 @@ from quotelake.llm.passage_dedup import remove_repeats
 from quotelake.llm.pseudonyms import pseudonym_report
 from quotelake.llm.secret_forest import scan_secrets
 from quotelake.llm.tables import table
+from quotelake.llm.token_alignment import align_tokenizers
 from quotelake.llm.token_counts import token_counts
 from quotelake.llm.token_store import stored_tokens
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 KEY = b"quotelake demonstration key"  # users pass their own
 
 _FOLD = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -74,6 +76,11 @@ def op11_fm_substring_dedup(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_spill_alignment(spark, sf_dir):
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE),
+                            public_tokenizers.path(PIECE_BPE))
+
+
 _LINE_FAILS = f"""
     100 * len(list_filter(own, lambda x: x = '|')) > 20 * len(own)
     OR 100 * (length(line) - length(translate(line, '#*$%&|<>', ''))) > 10 * chars
@@ -133,6 +140,6 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS
 QUERIES = {f.__name__: f for f in (
     op1_byte_cnn_quality, op2_secret_forest, op3_token_store, op4_bpe_round_trip, op5_best_fit_packing,
     op6_group_prefix_join, op7_pseudonyms, op8_line_quality, op9_token_counts, op10_exact_duplicates,
-    op11_fm_substring_dedup)}
+    op11_fm_substring_dedup, op12_spill_alignment)}
 ORACLES = {"op8_line_quality": LINE_QUALITY, "op10_exact_duplicates": EXACT_DUPLICATES,
            "op11_fm_substring_dedup": SUBSTRING_DEDUP}
