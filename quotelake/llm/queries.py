@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quotelake.llm.block_naming import exact_duplicates
 from quotelake.llm.bpe_stream import bpe_round_trip
 from quotelake.llm.byte_cnn import learn_quality, score_quality
+from quotelake.llm.conversation_trie import conversation_trie
 from quotelake.llm.group_join import near_duplicates
 from quotelake.llm.line_rules import line_quality
 from quotelake.llm.packing import pack
@@ -81,6 +82,10 @@ def op12_spill_alignment(spark, sf_dir):
                             public_tokenizers.path(PIECE_BPE))
 
 
+def op13_sequence_trie(spark, sf_dir):
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 _LINE_FAILS = f"""
     100 * len(list_filter(own, lambda x: x = '|')) > 20 * len(own)
     OR 100 * (length(line) - length(translate(line, '#*$%&|<>', ''))) > 10 * chars
@@ -137,9 +142,35 @@ n AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed,
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
     sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN n USING (doc_id)"""
 
+# crc32 of the decimal number: 0xEDB88320 is the reflected polynomial
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+    range(1, length(c::VARCHAR) + 1), lambda i: ascii((c::VARCHAR)[i])::BIGINT)), lambda crc, byte: list_reduce(
+    list_prepend(xor(crc, byte), [1::BIGINT, 1, 1, 1, 1, 1, 1, 1]),
+    lambda x, one: xor(x // 2, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)::BIGINT)))"""
+
+SEQUENCE_TRIE = f"""
+WITH t AS (SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST)
+    AS own FROM conversations GROUP BY conv_id),
+h AS (SELECT c, own, ({_CRC} % 6)::BIGINT AS h FROM t),
+r AS (SELECT h.c, list_concat(coalesce(b.own, [])[1:h.h], h.own[h.h + 1:]) AS seq
+    FROM h LEFT JOIN t AS b ON b.c = h.c - h.c % 100),
+p AS (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS depth FROM r),
+n AS (SELECT depth, seq[1:depth] AS prefix, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE len(seq) = depth), '')) AS ends_sha256
+    FROM p GROUP BY ALL),
+k AS (SELECT depth - 1 AS depth, prefix[1:depth - 1] AS prefix, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN depth > 0 THEN (n_convs - 1) * length(prefix[depth].text) ELSE 0 END AS value
+    FROM n LEFT JOIN k USING (depth, prefix)),
+u AS (SELECT unnest(range(0, depth + 1)) AS top, prefix, value, n_children FROM v),
+s AS (SELECT top AS depth, prefix[1:top] AS prefix, CAST(sum(value) AS BIGINT) AS saved_tokens,
+    count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM u GROUP BY ALL)
+SELECT v.conv_id, v.depth, o.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256
+FROM v JOIN s USING (depth, prefix) LEFT JOIN n AS o ON o.depth = v.depth - 1 AND o.prefix = v.prefix[1:v.depth - 1]"""
+
 QUERIES = {f.__name__: f for f in (
     op1_byte_cnn_quality, op2_secret_forest, op3_token_store, op4_bpe_round_trip, op5_best_fit_packing,
     op6_group_prefix_join, op7_pseudonyms, op8_line_quality, op9_token_counts, op10_exact_duplicates,
-    op11_fm_substring_dedup, op12_spill_alignment)}
+    op11_fm_substring_dedup, op12_spill_alignment, op13_sequence_trie)}
 ORACLES = {"op8_line_quality": LINE_QUALITY, "op10_exact_duplicates": EXACT_DUPLICATES,
-           "op11_fm_substring_dedup": SUBSTRING_DEDUP}
+           "op11_fm_substring_dedup": SUBSTRING_DEDUP, "op13_sequence_trie": SEQUENCE_TRIE}
