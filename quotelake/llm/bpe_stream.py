@@ -240,24 +240,13 @@ class StreamCodec:
             raise ValueError(f"no decoder for {kind}")
         self.bytes_of = byte_alphabet() if kind else None
         self.spaced = re.compile(f"[^{SPACES}]+")
-        self.letters: dict[str, list[int]] = {}
+        self.letters = Memo(lambda piece: encode_word(piece, self.merges), LETTERS)
         self.memo = Memo(self._word)
 
     def _word(self, word: str):
-        ids = [i for piece in self._pieces(word) for i in self._piece(piece)]
+        ids = [i for piece in self._pieces(word) for i in self.letters[piece]]  # shared by words of other case or marks
         return " ".join(map(str, ids)), self.decode(ids)
 
-    def _piece(self, piece: str) -> list[int]:
-        """Words that differ in case or marks share their letters, so these are remembered too."""
-        found = self.letters.get(piece)
-        if found is None:
-            if len(self.letters) >= LETTERS:
-                self.letters.clear()
-            found = encode_word(piece, self.merges)
-            if len(piece) <= MEMO_CHARS:
-                self.letters[piece] = found
-        return found
-
     def _pieces(self, word: str) -> list[str]:
         plain = latin_word(word) if self.lower else None
         if plain is None:

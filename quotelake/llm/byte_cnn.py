@@ -19,7 +19,7 @@ HIDDEN = 16
 STRIDE = 250  # bytes from one chunk to the next
 BLOCK = 200 * STRIDE  # positions evaluated at once
 SAMPLE = 3000  # labelled documents to learn from
-SAMPLE_CHUNKS = 128  # of a longer document, spread evenly, while learning
+SAMPLE_BYTES = 1 << 18  # of a text that is learned from
 EPOCHS = 6
 BATCH = 32
 RATE = 0.01
@@ -70,14 +70,15 @@ class ByteCnn:
         if self.pairs is None:  # two bytes at a time: fewer look-ups
             t = self.p["filters"]
             self.pairs = [(t[j][:, None] + t[j + 1][None]).reshape(-1, FILTERS) for j in range(0, WIDTH, 2)]
-        codes = buffer[:-1].astype(np.int32) * 256 + buffer[1:]
         out = np.empty((n_chunks, FILTERS), np.float32)
         at = np.empty((n_chunks, FILTERS), np.int64) if where else None
         for a in range(0, n_chunks * STRIDE, BLOCK):
             b = min(a + BLOCK, n_chunks * STRIDE)
-            conv = self.pairs[0].take(codes[a:b], 0)
+            near = buffer[a:b + WIDTH].astype(np.int32)
+            codes = near[:-1] * 256 + near[1:]
+            conv = self.pairs[0].take(codes[:b - a], 0)
             for k in range(1, len(self.pairs)):
-                conv += self.pairs[k].take(codes[a + 2 * k:b + 2 * k], 0)
+                conv += self.pairs[k].take(codes[2 * k:b - a + 2 * k], 0)
             conv = conv.reshape(-1, STRIDE, FILTERS)
             out[a // STRIDE:b // STRIDE] = conv.max(1)
             if where:
@@ -138,44 +139,31 @@ class ByteCnn:
         return self
 
 
-def evenly(text: bytes, chunks: int = SAMPLE_CHUNKS) -> bytes:
-    """All of a text, or that many chunks of it at even distances."""
-    if len(text) <= chunks * STRIDE:
-        return text
-    starts = np.linspace(0, len(text) - STRIDE, chunks).astype(int).tolist()
-    return b"".join(text[s:s + STRIDE] for s in starts)
-
-
 def held_out(doc_id):
     """The fold that is never learned from: crc32 of the id as text, modulo 5, is 0. A null id counts as held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  label_col: str = "quality", sample: int = SAMPLE) -> ByteCnn:
+                  label_col: str = "quality", sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> ByteCnn:
     """A network learned from at most `sample` labelled rows outside the held-out fold.
 
     The rows with the smallest hashes of their ids, so the choice depends neither on order nor
-    on partitions. Ids are chosen before any text is read; the driver holds `sample` times SAMPLE_CHUNKS chunks at most.
+    on partitions, and their whole texts. Contradictory labels of an id count as 1; of several texts of an id the one with the
+    smallest hash is taken; a text of more than `most` bytes is not learned from. So the driver holds `sample` * `most`
+    bytes at most. Nulls among ids or labels are no labels; a null text is empty.
     """
     chosen = (labels.select(F.col(id_col).cast("bigint").alias("_id"), F.col(label_col).cast("int").alias("_label"))
               .where(F.col("_label").isin(0, 1) & ~held_out(F.col("_id")))
               .groupBy("_id").agg(F.max("_label").alias("_label"))
               .orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-
-    def shorten(batches):
-        for batch in batches:
-            text = [evenly(t.encode()) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(text, pa.binary())], ["_id", "_label", "_text"])
-
+    texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")
+                        ).where(F.octet_length("_text") <= most)
     # the chosen ids are at most `sample` rows, so they go to the texts
-    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "_label", "_text").mapInArrow(
-        shorten, "_id BIGINT, _label INT, _text BINARY").toArrow()
-    order = sorted(range(rows.num_rows), key=lambda i: (rows["_id"][i].as_py(), rows["_text"][i].as_py()))
-    text = [rows["_text"][i].as_py() for i in order]
-    return ByteCnn().fit(text, np.array([rows["_label"][i].as_py() for i in order], np.float32))
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(
+        F.first("_label").alias("_label"), F.min_by("_text", F.xxhash64("_text")).alias("_text")).toArrow().sort_by("_id")
+    text = [t.encode() for t in rows["_text"].to_pylist()]
+    return ByteCnn().fit(text, rows["_label"].to_numpy().astype(np.float32))
 
 
 def score_quality(docs: DataFrame, model: ByteCnn, threshold: float = THRESHOLD, id_col: str = "doc_id",

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotelake.llm.tables import keep
+from quotelake.llm.tables import drop, keep
 
 BUCKETS = 1 << 17  # of shingle counts that make the order; any order gives the same result
 SLOTS = 1 << 23  # bits of the filter for documents whose sets are needed
@@ -145,20 +145,24 @@ def _sets_of(wanted: DataFrame, texts: DataFrame, classes: DataFrame, size: int)
 
     cut_sets = texts.select("doc_id", "text", _slot(F.col("doc_id")).alias("slot")).mapInArrow(
         cut, "doc_id BIGINT, s1 BIGINT, s2 BIGINT, members ARRAY<BIGINT>")
-    return cut_sets.join(ids, (cut_sets.s1 == ids.s1) & (cut_sets.s2 == ids.s2) & cut_sets.doc_id.eqNullSafe(ids.doc)
-                         ).select("cid", "members")
+    sets = keep(cut_sets.join(ids, (cut_sets.s1 == ids.s1) & (cut_sets.s2 == ids.s2)
+                              & cut_sets.doc_id.eqNullSafe(ids.doc)).select("cid", "members"), "sets")
+    drop(ids)
+    return sets
 
 
 def verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are similar enough."""
     pairs = keep(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    sets = keep(_sets_of(wanted, texts, classes, size), "sets")
+    sets = _sets_of(wanted, texts, classes, size)
     left = sets.select(F.col("cid").alias("a"), F.col("members").alias("of_a"))
     right = sets.select(F.col("cid").alias("b"), F.col("members").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     found = pairs.join(left, "a").join(right, "b").where(similar(both, F.size("of_a"), F.size("of_b"), percent))
-    return keep(found.select("a", "b").distinct(), "links")
+    links = keep(found.select("a", "b").distinct(), "links")
+    drop(pairs, sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -174,15 +178,17 @@ def components(links: DataFrame) -> DataFrame:
     nodes = left.select(F.col("low").alias("node")).union(left.select("high")).distinct()
     labels = keep(nodes.select("node", F.col("node").alias("root")), "labels")
     while not left.isEmpty():
-        hooks = left.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("up"))
+        hooks, old = left.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("up")), ()
         while True:
             up = hooks.select(F.col("node").alias("up"), F.col("up").alias("higher"))
             new = keep(hooks.join(up, "up", "left").select(
                 "node", F.coalesce("higher", "up").alias("up"), F.col("higher").isNotNull().alias("moved")), "hooks")
-            hooks = new.select("node", "up")
+            drop(*old)
+            hooks, old = new.select("node", "up"), (new,)
             if new.where("moved").isEmpty():
                 break
         step = hooks.select(F.col("node").alias("root"), "up")
+        old = (*old, labels, left)
         labels = keep(labels.join(step, "root", "left").select(
             "node", F.coalesce("up", "root").alias("root")), "labels")
         low = hooks.select(F.col("node").alias("low"), F.col("up").alias("low_up"))
@@ -190,6 +196,7 @@ def components(links: DataFrame) -> DataFrame:
         moved = left.join(low, "low", "left").join(high, "high", "left").select(
             F.coalesce("low_up", "low").alias("x"), F.coalesce("high_up", "high").alias("y"))
         left = keep(ordered(moved, "x", "y"), "contracted")
+        drop(*old)
     return labels
 
 
@@ -235,11 +242,13 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
     index = keep(index.join(common, "token").join(
         groups.select("gid", F.size("prefix").alias("p"), *BITS), "gid"), "index")
     inside = links.select(F.col("a").alias("gid"), F.col("b").alias("cid"))
-    before = None
+    before, old = None, ()
     for turn in range(64):
         labels = components(links)
         lists = keep(index.join(labels.withColumnRenamed("node", "gid"), "gid", "left").withColumn(
             "root", F.coalesce("root", "gid")), "lists")
+        drop(labels, *old)
+        old = (lists,)
         parts = lists.groupBy("token", "root").count().groupBy("token").agg(
             F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("own"),
             F.count("*").alias("roots"))
@@ -313,6 +322,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_c
         F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("first"))
     gone = rows.join(first, "root").where(~(
         F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))).select(
-        F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct()
-    return docs.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("_gone"))
-                     & (F.xxhash64(text_col) == F.col("_gone_key")), "left_anti")
+        "doc_id", "text_key").distinct()
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("bigint").alias("id"),
+                      F.xxhash64(text_col).alias("key"))  # apart from the names of other columns
+    return row.join(gone, row.id.eqNullSafe(gone.doc_id) & (row.key == gone.text_key), "left_anti").select("row.*")

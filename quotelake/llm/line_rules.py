@@ -135,7 +135,11 @@ def line_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_clean(docs: DataFrame, text_col: str = "text", strip: bool = False) -> DataFrame:
-    """The rows that the rules keep, with all their columns; `strip` also takes the failed lines out of their texts."""
+    """The rows that the rules keep, with all their columns; `strip` also takes the failed lines out of their texts.
+
+    A null, empty or short text is not kept; repeated rows stay or go together; ids and other columns are not looked
+    at and may have any name; an empty table gives no rows.
+    """
     at = docs.columns.index(text_col)
 
     def sift(batches):

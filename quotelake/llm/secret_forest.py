@@ -49,7 +49,9 @@ LONG_HEX = "^([0-9a-f]{32,}|[0-9A-F]{32,})$"
 ENTROPY, LEAST = 2.75, 8  # bits per character and characters of a value that is a secret if its name says so
 PLACEHOLDER = r"(?i)^([$%]?[{(<\[].*|[$%][a-z_]+%?|[*x.#-]+|null|none|nil|true|false|undefined|(os|process)[.]env.*)$"
 # what people write: numbers and marks, or words of one case or with a capital each, also several with marks between
-PLAIN = r"^([0-9/_+=-]+|[/_+-]*([A-Z]?[a-z]{2,}|[A-Z]{2,})([/_+-]+([A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[/_+=-]*|([A-Z]?[a-z]{3,})+)$"
+# (possessive: loops that never give back need no stack, however long the word)
+PLAIN = (r"^(?:[0-9/_+=-]+|[/_+-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})(?:[/_+-]++(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}+))*+[/_+=-]*"
+         r"|(?:[A-Z]?[a-z]{3,}+)++)$")
 FEATURES = ["length", "transitions", "digits", "upper", "distinct", "hex", "coverage", "path", "near", "assigned",
             "quoted", "prose", "userinfo"]
 
@@ -191,7 +193,7 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold:
     Null and empty texts have no candidates; null and repeated ids are returned as they come; other columns are
     ignored; an empty table gives no rows. Scoring is one pass without a shuffle.
     """
-    found = candidates(docs, frequent_words(docs, text_col=text_col), id_col, text_col)
+    found = keep(candidates(docs, frequent_words(docs, text_col=text_col), id_col, text_col), "candidates")
     forest = learn_forest(format_labels(found) if labelled is None else labelled)
     return forest.score(found).select(
         "doc_id", "word_no", "part", "candidate", "score", (F.col("score") >= threshold).alias("is_secret"))

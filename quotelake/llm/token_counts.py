@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotelake.llm.chunked import Memo, chunks, pieces, slices, splits_at_space
+from quotelake.llm.chunked import PIECES, Memo, chunks, pieces, slices, splits_at_space
 from quotelake.llm.tables import per_worker
 
 
@@ -61,7 +61,8 @@ class TokenCounter:
         self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.memo = Memo(lambda key: sum(symbols_left(list(p), self.ranks) for p in pieces(key, self.cut)))
+        self.pieces = Memo(lambda piece: symbols_left(list(piece), self.ranks), PIECES)
+        self.memo = Memo(lambda key: sum(map(self.pieces.__getitem__, pieces(key, self.cut))))
 
     def count(self, texts: list[str]) -> list[int]:
         get, out = self.memo.__getitem__, []

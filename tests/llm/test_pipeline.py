@@ -1,5 +1,7 @@
 """The stages against plain Python on small tables, and rows of every odd kind."""
 
+import random
+
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -46,19 +48,26 @@ def test_all_stages_by_hand(spark, tmp_path):
 
 @pytest.mark.parametrize("empty", [False, True])
 def test_odd_rows_pass_all_stages(spark, empty):
-    text = PROSE.format("here")
-    rows = [(1, text, "en", "s", 5, "x"), (1, text, "en", "s", 5, "x"), (None, text + " Again.", None, None, None, None),
-            (2, None, "en", "s", 0, "y"), (3, "", "en", "s", 0, "y"), (4, PROSE.format("a@b.example.com"), None, "s", 9, "z"),
-            (5, " ".join(PROSE.format(i) for i in range(900)), "en", None, None, "z")]
-    docs = spark.createDataFrame([] if empty else rows,
-                                 "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG, sequence_id STRING")
+    text, other = PROSE.format("here"), "A wholly different report tells of nine small boats that left the harbour before dawn, "\
+        "carried salt and timber to islands nobody else had mapped, and came home in autumn; write to {}."
+    rng = random.Random(4)
+    long = ". ".join(" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(9)) for _ in range(900)) + "."
+    rows = [(1, text), (1, text), (2, None), (3, ""), (4, other.format("a@b.example.com")), (5, long), (6, long + " Again.")]
+    extra = spark.createDataFrame([] if empty else [(i, t, None, "s", 5, "x", "y", "z") for i, t in [*rows, (None, text + " Again.")]],
+                                  "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG, sequence_id STRING, "
+                                  "_stays STRING, _gone STRING")
     from quotelake.llm.tables import keep
 
+    docs = extra
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = keep(stage(spark, docs, ""), name)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "sequence_id"]
+        assert docs.columns == extra.columns
+    kept = docs.collect()
+    want = {} if empty else dict(by_hand(rows[1:]))
+    assert {r.doc_id: r.text for r in kept} == want and set(want) == (set() if empty else {1, 4, 5})
+    assert {(r._stays, r._gone, r.sequence_id) for r in kept} <= {("y", "z", "x")}
     out = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
-    assert {r.doc_id for r in out} == (set() if empty else {1, 4, 5} if len(out) else set())
+    assert {r.doc_id for r in out} == set(want)
 
 
 def test_stage_names_and_entry():
@@ -66,4 +75,4 @@ def test_stage_names_and_entry():
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "pii", "best_fit_packing"]
     names = entry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
