@@ -165,6 +165,29 @@ def sliding_average(ticks: DataFrame, length="5 minutes", slide="1 minute") -> D
         .agg(F.round(F.sum("price") / F.count("price"), 4).alias("avg_price")))
 
 
+def enriched_stream(ticks: DataFrame) -> DataFrame:
+    """`enrich_processed` for a watermarked stream: a tick leaves, with the aggregates of its 5-minute and hour windows,
+    when the watermark has passed its hour.
+
+    Ticks wait in the state of a stream-stream join on (symbol, hour). Ticks without a symbol or time
+    have no windows and don't come out.
+    """
+    of_five = ticks.groupBy(F.window("timestamp", "5 minutes").alias("w5"), "symbol").agg(
+        F.sum("price").alias("s5"), F.count("price").alias("n5"), F.sum("volume").alias("v5"))
+    # the hours are rolled up from their 12 windows, which come along as a map
+    of_hour = of_five.groupBy(F.window(F.window_time("w5"), "1 hour").alias("w1"), F.col("symbol").alias("_of")).agg(
+        F.map_from_entries(F.collect_list(F.struct("w5.start", F.round(F.col("s5") / F.col("n5"), 4)))).alias("_fives"),
+        F.round(F.sum("s5") / F.sum("n5"), 4).alias("avg_price_1h"), F.sum("v5").alias("_v1h"), F.sum("n5").alias("_n1h"))
+    # the joined stream may have one watermarked column, the window: ticks carry their time as a plain value
+    placed = ticks.withColumn("_w1", F.window("timestamp", "1 hour")).withColumn(
+        "_w5", F.window("timestamp", "5 minutes").start + F.expr("INTERVAL 0 SECONDS")).withColumn(
+        "timestamp", F.timestamp_micros(F.unix_micros("timestamp")))
+    joined = placed.join(of_hour, F.expr("symbol = _of AND _w1 = w1"))
+    ratio = F.try_divide(F.col("volume").cast("double") * F.col("_n1h"), F.col("_v1h").cast("double"))
+    return joined.select(*ticks.columns, F.element_at("_fives", F.col("_w5")).alias("avg_price_5min"), "avg_price_1h",
+                         ratio.alias("volume_ratio"))
+
+
 def enrich_processed(ticks: DataFrame, order=("timestamp", "id")) -> DataFrame:
     """Ticks with the averages of their 5-minute and 1-hour windows and the
     ratio of their volume to the hour's mean.

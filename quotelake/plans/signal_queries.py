@@ -180,13 +180,13 @@ def _(spark, d):
     return W.window_sentiment(scored_news(spark, d)).withColumn("avg_sentiment", settled("avg_sentiment"))
 
 
-_PAIRWISE = f"""{_EXPLODED}, pairwise AS (
+PAIRWISE_SQL = f"""{_EXPLODED}, pairwise AS (
   SELECT w, symbol, list_reduce(list(score ORDER BY timestamp, id), lambda a, b: (a + b) / 2) AS r, count(*) AS n
   FROM exploded GROUP BY w, symbol)"""
 
 
 @query("window_sentiment_pairwise", f"""
-WITH {_PAIRWISE}
+WITH {PAIRWISE_SQL}
 SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, symbol, {settled_sql("r")} AS avg_sentiment, n AS articles
 FROM pairwise""", ["scored"])
 def _(spark, d):
@@ -216,7 +216,7 @@ _pairwise_of(90)
 
 
 @query("sentiment_lines", f"""
-WITH {_PAIRWISE}
+WITH {PAIRWISE_SQL}
 SELECT w AS window_start, symbol, 'Symbol: ' || symbol || ', Avg Sentiment: ' ||
        CAST(CAST(round(CAST(r AS DECIMAL(18,12)), 3) AS DECIMAL(18,3)) AS VARCHAR) AS line
 FROM pairwise""", ["scored"])

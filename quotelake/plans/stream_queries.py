@@ -7,6 +7,8 @@ record itself belongs to a symbol of its own and its window never closes.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from quotelake.operators import signals as G
@@ -14,7 +16,7 @@ from quotelake.operators import windows as W
 from quotelake.operators.alerts import route_alerts
 from quotelake.plans.catalog import KEYWORDS, NEGATIVE, POSITIVE, TICKERS, query
 from quotelake.plans.signal_queries import (
-    NEWS_ALERT_COLUMNS, NEWS_ALERTS_SQL, PATTERN_SQL, PRICE_ALERTS_SQL, STOCK_ALERT_COLUMNS, settled, settled_sql)
+    NEWS_ALERT_COLUMNS, NEWS_ALERTS_SQL, PAIRWISE_SQL, PATTERN_SQL, PRICE_ALERTS_SQL, STOCK_ALERT_COLUMNS, settled, settled_sql)
 from quotelake.plans.user_queries import ROUTE_ALERTS_SQL
 from quotelake.session import scratch_path
 from quotelake.sources import adapters as A
@@ -22,6 +24,7 @@ from quotelake.sources import decode as D
 from quotelake.sources import topics as TP
 from quotelake.streaming import jobs as J
 from quotelake.streaming import pattern_state as PS
+from quotelake.streaming import sentiment_fold as SF
 from quotelake.streaming import sinks as K
 from quotelake.streaming.lateness import NEWS_LATENESS, with_bounded_lateness
 
@@ -155,19 +158,36 @@ def _(spark, d):
     return run_to_files(spark, G.news_alerts(news_stream(spark, d), KEYWORDS).drop("id"), "news-alerts")
 
 
-@query("stream_breaking_news", f"""
-WITH {PATTERN_SQL}
-SELECT {NEWS_ALERT_COLUMNS} FROM pattern_alerts""", ["scored"])
-def _(spark, d):
+@contextmanager
+def keyed_state(spark):
+    """The state store that keyed processors need, whatever the session has."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, PS.STATE_STORE)
     try:
-        return run_to_files(spark, PS.breaking_news_stream(news_stream(spark, d, close=True)), "pattern")
+        yield
     finally:
         spark.conf.set(key, before)
 
 
+@query("stream_breaking_news", f"""
+WITH {PATTERN_SQL}
+SELECT {NEWS_ALERT_COLUMNS} FROM pattern_alerts""", ["scored"])
+def _(spark, d):
+    with keyed_state(spark):
+        return run_to_files(spark, PS.breaking_news_stream(news_stream(spark, d, close=True)), "pattern")
+
+
+@query("stream_window_sentiment_pairwise", f"""
+WITH {PAIRWISE_SQL}
+SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, symbol, {settled_sql("r")} AS avg_sentiment, n AS articles
+FROM pairwise""", ["scored"])
+def _(spark, d):
+    with keyed_state(spark):
+        folded = SF.pairwise_sentiment_stream(news_stream(spark, d, close=True))
+        return run_to_files(spark, folded, "pairwise").withColumn("avg_sentiment", settled("avg_sentiment"))
+
+
 @query("stream_route_alerts", ROUTE_ALERTS_SQL, ["user_ticks", "user_alerts", "users"])
 def _(spark, d):
     symbol = F.concat(F.lit("U"), F.col("user_id").cast("string"))
@@ -187,6 +207,31 @@ def _(spark, d):
     return K.read_processed(spark, f"{root}/out").select("symbol", "price", "volume", "timestamp", "source")
 
 
+@query("stream_enrich_processed", """
+WITH e AS (
+  SELECT symbol, price, volume, timestamp, source, id,
+         ((2 * CAST(sum(price) OVER five * 10000 AS HUGEINT) + count(*) OVER five) // (2 * count(*) OVER five))
+             / 10000.0::DOUBLE AS avg_price_5min,
+         ((2 * CAST(sum(price) OVER hour * 10000 AS HUGEINT) + count(*) OVER hour) // (2 * count(*) OVER hour))
+             / 10000.0::DOUBLE AS avg_price_1h,
+         CAST(volume AS DOUBLE) * count(*) OVER hour / CAST(sum(volume) OVER hour AS DOUBLE) AS volume_ratio
+  FROM ticks
+  WINDOW five AS (PARTITION BY symbol, time_bucket(INTERVAL 5 MINUTE, timestamp)),
+         hour AS (PARTITION BY symbol, time_bucket(INTERVAL 1 HOUR, timestamp)))
+SELECT symbol, CAST(arg_max(price, id) AS DOUBLE) AS price, arg_max(volume, id) AS volume, timestamp,
+       arg_min(avg_price_5min, id) AS avg_price_5min, arg_min(avg_price_1h, id) AS avg_price_1h,
+       arg_min(volume_ratio, id) AS volume_ratio, arg_min(source, id) AS source
+FROM e GROUP BY symbol, timestamp""", ["ticks"])
+def _(spark, d):
+    """Ticks, joined with the aggregates of their windows while they stream, in the stored table."""
+    root = scratch_path(spark, "enriched")
+    ticks = tick_stream(spark, d).withColumns({"change_percent": F.lit(None).cast("double"), "arrival": F.col("id")})
+    rows = K.processed_rows(W.enriched_stream(ticks)).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    K.upsert_processed(rows, f"{root}/out", f"{root}/checkpoint", trigger=NOW).awaitTermination()
+    return K.read_processed(spark, f"{root}/out", windows=True).select(
+        "symbol", "price", "volume", "timestamp", "avg_price_5min", "avg_price_1h", "volume_ratio", "source")
+
+
 @query("read_topics", """
 SELECT topic, count(*) AS messages FROM (
   SELECT 'stock-data' AS topic FROM ticks UNION ALL SELECT 'economic-data' FROM observations) GROUP BY topic

@@ -16,6 +16,7 @@ from quotelake.sources import topics as TP
 from quotelake.streaming import sinks as K
 from quotelake.streaming.lateness import NEWS_LATENESS, STOCK_LATENESS, with_bounded_lateness
 from quotelake.streaming.pattern_state import breaking_news_stream
+from quotelake.streaming.sentiment_fold import pairwise_sentiment_stream
 
 TRIGGER = {"processingTime": "60 seconds"}
 
@@ -56,24 +57,30 @@ def user_alert_stream(ticks: DataFrame, user_alerts: DataFrame, users: DataFrame
 
 
 def start_stock_job(messages: DataFrame, out: str, checkpoint: str, servers=None, strict=True, trigger=None,
-                    user_alerts: DataFrame = None, users: DataFrame = None, time="record"):
+                    user_alerts: DataFrame = None, users: DataFrame = None, time="record", enrich=False):
     """Averages, processed ticks and alerts from a stream of quote messages.
 
     Returns the running queries. ``out`` takes the tables, and the topics too
     if no servers are given. With ``user_alerts`` and ``users`` the price and volume
-    alerts of users go to topics of their own. ``time`` is that of `with_bounded_lateness`.
+    alerts of users go to topics of their own. ``time`` is that of `with_bounded_lateness`. Ticks are stored at once; with
+    ``enrich`` their window columns follow when the watermark has passed their hour.
     """
     trigger = trigger or TRIGGER
     ticks = with_bounded_lateness(with_arrival(decoded_stream(messages, D.decode_stock, strict)), STOCK_LATENESS, time)
-    stored = K.processed_rows(ticks.withColumn("arrival", F.col("id"))).withColumn(
-        "timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    arrived = ticks.withColumn("arrival", F.col("id"))
+
+    def stored(rows, name):
+        rows = rows.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+        return K.upsert_processed(rows, f"{out}/stock_data_processed", f"{checkpoint}/{name}", trigger=trigger)
+
     own = [] if user_alerts is None else [
         _topic(user_alert_stream(ticks, user_alerts, users, kinds), topic, checkpoint, name, out, servers, trigger)
         for name, topic, kinds in (("price_alerts", TP.PRICE_ALERTS, ["PRICE_ABOVE", "PRICE_BELOW"]),
                                    ("volume_alerts", TP.VOLUME_ALERTS, ["VOLUME_SPIKE"]))]
     return own + [
         _files(W.window_price_stats(ticks), checkpoint, "price_averages", out, trigger),
-        K.upsert_processed(stored, f"{out}/stock_data_processed", f"{checkpoint}/stock_data_processed", trigger=trigger),
+        stored(K.processed_rows(arrived), "stock_data_processed"),
+        *([stored(K.window_rows(W.enriched_stream(arrived)), "stock_data_windows")] if enrich else []),
         _topic(stock_alert_stream(ticks), TP.STOCK_ALERTS, checkpoint, "stock_alerts", out, servers, trigger),
     ]
 
@@ -119,11 +126,11 @@ def enriched_news(messages: DataFrame, strict=True, positive=lex.POSITIVE_WORDS,
 
 def start_news_job(messages: DataFrame, out: str, checkpoint: str, servers=None, strict=True, trigger=None,
                    lexicons=None, keywords=lex.MARKET_KEYWORDS, time="record"):
-    """Signals, alerts, pattern alerts and window sentiment from a stream of
+    """Signals, alerts, pattern alerts and pairwise window sentiment from a stream of
     article messages. Returns the running queries."""
     trigger = trigger or TRIGGER
     news = with_bounded_lateness(enriched_news(messages, strict, **(lexicons or {})), NEWS_LATENESS, time)
-    sentiment = W.sentiment_lines(W.window_sentiment(news))
+    sentiment = W.sentiment_lines(pairwise_sentiment_stream(news))
     return [
         _topic(G.trading_signals(news), TP.SIGNALS, checkpoint, "trading_signals", out, servers, trigger),
         _topic(G.all_news_alerts(G.news_alerts(news, keywords), breaking_news_stream(news)), TP.NEWS_ALERTS,

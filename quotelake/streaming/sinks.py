@@ -87,24 +87,38 @@ def append_ticks(stream: DataFrame, root: str, checkpoint: str, trigger=None):
 
 
 _LAST = ["price", "volume"]
-_FIRST = ["change_percent", "avg_price_5min", "source"]
+_FIRST = ["change_percent", "avg_price_5min", "avg_price_1h", "volume_ratio", "source"]
+_WINDOWS = ["avg_price_5min", "avg_price_1h", "volume_ratio"]
 
 
 def _collapse(rows, order):
     """One row per (symbol, timestamp): price and volume of the last in order,
-    everything else of the first."""
-    return rows.groupBy("symbol", "timestamp").agg(
-        F.min_by(F.struct(*_FIRST), F.struct(*order)).alias("f"),
-        F.max_by(F.struct(*_LAST), F.struct(*order)).alias("l"),
-    ).select("symbol", "l.*", "timestamp", "f.*")
+    everything else of the first. Rows that only bring window columns come behind the ticks
+    themselves, but their window columns go first."""
+    first, at = [c for c in _FIRST if c in rows.columns], F.struct(*order)
+    if "only_windows" not in rows.columns:
+        return rows.groupBy("symbol", "timestamp").agg(
+            F.min_by(F.struct(*first), at).alias("f"), F.max_by(F.struct(*_LAST), at).alias("l"),
+        ).select("symbol", "l.*", "timestamp", "f.*")
+    late = F.coalesce("only_windows", F.lit(False))
+    merged = rows.groupBy("symbol", "timestamp").agg(
+        F.min_by(F.struct(*first), F.struct(late, *order)).alias("f"),
+        F.max_by(F.struct(*_LAST), F.struct(~late, *order)).alias("l"),
+        F.min_by(F.struct(*_WINDOWS), F.when(late, at)).alias("w"), F.min(late).alias("only_windows"))
+    return merged.select("symbol", "l.*", "timestamp", *[
+        (F.when(F.col("w").isNotNull(), F.col(f"w.{c}")).otherwise(F.col(f"f.{c}")) if c in _WINDOWS
+         else F.col(f"f.{c}")).alias(c) for c in first], "only_windows")
 
 
 def processed_rows(ticks: DataFrame) -> DataFrame:
-    """Ticks as rows to upsert. The average is the price until windows are
-    joined in, see `enrich_processed`."""
+    """Ticks as rows to upsert, with the columns of `enrich_processed` where there are any; else the
+    5-minute average is the price."""
+    average = F.col("avg_price_5min" if "avg_price_5min" in ticks.columns else "price").cast("decimal(19,4)")
+    more = {"avg_price_1h": "decimal(19,4)", "volume_ratio": "double", "arrival": "bigint"}
     return ticks.select(
         "symbol", "price", "volume", "timestamp", F.col("change_percent").cast("double").alias("change_percent"),
-        F.col("price").alias("avg_price_5min"), "source", *[c for c in ("arrival",) if c in ticks.columns])
+        average.alias("avg_price_5min"), "source",
+        *[F.col(c).cast(kind).alias(c) for c, kind in more.items() if c in ticks.columns])
 
 
 def merge_processed(old: DataFrame, new: DataFrame, arrival="arrival") -> DataFrame:
@@ -114,7 +128,7 @@ def merge_processed(old: DataFrame, new: DataFrame, arrival="arrival") -> DataFr
     Both sides are united and aggregated: one shuffle with partial
     aggregation, and repeated keys inside ``new`` need no step of their own.
     """
-    cols = ["symbol", *_LAST, "timestamp", *_FIRST]
+    cols = ["symbol", *_LAST, "timestamp", *[c for c in _FIRST if c in old.columns and c in new.columns]]
     both = old.select(*cols, F.lit(0).alias("_gen"), F.lit(0).cast("bigint").alias("_seq")).unionByName(
         new.select(*cols, F.lit(1).alias("_gen"), F.col(arrival).cast("bigint").alias("_seq")))
     return _collapse(both, ["_gen", "_seq"])
@@ -154,26 +168,35 @@ def upsert_batch(batch: DataFrame, batch_id: int, root: str, arrival="arrival",
 
 _PROCESSED_FILES = (
     "symbol STRING, price DECIMAL(19,4), volume BIGINT, timestamp TIMESTAMP_NTZ, change_percent DOUBLE, "
-    "avg_price_5min DECIMAL(19,4), source STRING, run STRING, batch BIGINT, dt DATE"
+    "avg_price_5min DECIMAL(19,4), avg_price_1h DECIMAL(19,4), volume_ratio DOUBLE, source STRING, only_windows BOOLEAN, "
+    "run STRING, batch BIGINT, dt DATE"
 )
 
 
-def read_processed(spark: SparkSession, root: str, start=None, end=None) -> DataFrame:
-    """The merged table; bounds on the time prune days before the merge."""
+def read_processed(spark: SparkSession, root: str, start=None, end=None, windows=False) -> DataFrame:
+    """The merged table; bounds on the time prune days before the merge. ``windows`` adds the average of the hour and the
+    volume ratio, null where no enriched row has come."""
     rows = spark.read.schema(_PROCESSED_FILES).parquet(root)
     if start is not None:
         rows = rows.where((F.col("timestamp") >= moment(start)) & (F.col(DAY) >= F.to_date(moment(start))))
     if end is not None:
         rows = rows.where((F.col("timestamp") <= moment(end)) & (F.col(DAY) <= F.to_date(moment(end))))
-    return _collapse(rows, ["run", "batch"])
+    merged = _collapse(rows, ["run", "batch"]).drop("only_windows")
+    return merged if windows else merged.drop("avg_price_1h", "volume_ratio")
 
 
 def compact_processed(spark: SparkSession, root: str, out: str) -> None:
     """Write the merged table to a new folder as its oldest run."""
-    with_day(read_processed(spark, root)).write.mode("error").partitionBy(DAY).parquet(
+    with_day(read_processed(spark, root, windows=True)).write.mode("error").partitionBy(DAY).parquet(
         f"{out}/run={0:09d}_compacted/batch=0")
 
 
+def window_rows(enriched: DataFrame) -> DataFrame:
+    """Rows of an enriched stream for a table that already takes its ticks as they come: they bring the window
+    columns of a tick, and the tick itself only where it isn't stored."""
+    return processed_rows(enriched).withColumn("only_windows", F.lit(True))
+
+
 def upsert_processed(stream: DataFrame, root: str, checkpoint: str, arrival="arrival", trigger=None):
     """Start a stream that upserts `processed_rows`."""
     return (

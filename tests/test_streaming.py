@@ -203,6 +203,54 @@ def test_stock_job(spark, tmp_path):
             q.awaitTermination()
 
 
+def test_stored_ticks_get_their_windows(spark, tmp_path):
+    def tick(second, price, volume=10, symbol="A"):
+        return {"symbol": symbol, "price": price, "volume": volume, "timestamp": 1640995200 + second, "source": "t"}
+    folder, out = str(tmp_path / "topics"), str(tmp_path / "out")
+    publish(folder, TP.STOCK, [tick(0, 10), tick(10, 20), tick(600, 60, 40), tick(90_000, 1, symbol="end")])
+
+    def run():
+        for q in J.start_stock_job(TP.read_topic(spark, TP.STOCK, folder=folder), out, str(tmp_path / "cp"), trigger=NOW,
+                                   enrich=True):
+            q.awaitTermination()
+        rows = K.read_processed(spark, f"{out}/stock_data_processed", windows=True).where("symbol = 'A'").orderBy("timestamp").collect()
+        return [(float(r.price), float(r.avg_price_5min), float(r.avg_price_1h), r.volume_ratio) for r in rows]
+    want = [(10, 15, 30, 0.5), (20, 15, 30, 0.5), (60, 60, 30, 2)]
+    assert run() == want
+    # a correction that is too late for the windows still replaces the price, and nothing else
+    publish(folder, TP.STOCK, [tick(10, 25), tick(100_000, 1, symbol="end")])
+    assert run() == [want[0], (25, 15, 30, 0.5), want[2]]
+
+
+def test_pairwise_fold_releases_in_order(spark, rows, tmp_path):
+    from quotelake.streaming.sentiment_fold import pairwise_sentiment_stream
+
+    schema = "symbols ARRAY<STRING>, sentiment_score DOUBLE, timestamp TIMESTAMP, id BIGINT"
+    day = "2024-01-01 "
+    batches = [
+        [(["A"], 0.5, day + "10:20:00", 3), (["A", "B"], 0.9, day + "10:10:00", 2), ([], 1.0, day + "10:10:00", 9)],
+        [(["A"], -0.3, day + "10:16:00", 5), (["A"], 0.1, day + "10:16:00", 4), (["B"], None, day + "10:30:00", 6)],
+        [(["A"], 0.7, day + "10:40:00", 7)],
+        [(["C"], 0.2, day + "12:00:00", 8)],  # passes the first hour
+        [(["A"], 0.9, day + "10:50:00", 10), (["end"], 0.0, day + "23:00:00", 11)]]  # one too late
+    got = []
+    for batch in batches:
+        land(str(tmp_path / "in"), rows(schema, *batch))
+        news = with_bounded_lateness(stream(spark, tmp_path / "in", spark.createDataFrame([], schema).schema), "5 minutes")
+        q = pairwise_sentiment_stream(news).writeStream.format("parquet").option(
+            "checkpointLocation", str(tmp_path / "cp")).trigger(**NOW).start(str(tmp_path / "out"))
+        q.awaitTermination()
+        got.append(spark.read.parquet(str(tmp_path / "out")).count())
+    assert got[:3] == [0, 0, 0] and got[3] == 2
+    found = {(r.symbol, r.window_start.hour): (round(r.avg_sentiment, 9), r.articles)
+             for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    scores = [0.9, 0.1, -0.3, 0.5, 0.7]  # of A in order of time and id
+    value = scores[0]
+    for s in scores[1:]:
+        value = (value + s) / 2
+    assert found == {("A", 10): (round(value, 9), 5), ("B", 10): (0.9, 1), ("C", 12): (0.2, 1)}
+
+
 def test_alerts_become_notifications(spark, rows, tmp_path):
     at = "2024-01-01 00:00:00"
     users = rows("id BIGINT, email STRING", (1, "a@x"), (2, "b@x"))
