@@ -297,7 +297,7 @@ def test_news_job(spark, tmp_path):
         ("MARKET_NEWS", "AAPL loss"), ("NEGATIVE_NEWS", "MSFT decline"),
         ("POSITIVE_NEWS", "AAPL growth beat"), ("POSITIVE_NEWS", "AAPL strong profit"), ("POSITIVE_NEWS", "nothing")]
     lines = sorted(r["line"] for r in spark.read.parquet(f"{out}/sentiment_lines").collect())
-    assert lines == ["Symbol: AAPL, Avg Sentiment: 0.533", "Symbol: MSFT, Avg Sentiment: -0.900"]
+    assert lines == ["Symbol: AAPL, Avg Sentiment: 0.300", "Symbol: MSFT, Avg Sentiment: -0.900"]
 
 
 def test_user_thresholds_on_every_tick(spark, rows, tmp_path):
