@@ -7,11 +7,11 @@ by hint, since users, watchlists and alerts all grow with the data.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quotelake.session import scratch_path
 
 _MEASURES = {"price": "decimal(19,4)", "volume": "bigint", "sentiment_score": "double"}
 
@@ -32,10 +32,79 @@ def _subscriptions(alerts, users):
     )
 
 
-def _fires(kind, value):
-    t = F.col("threshold_value")
-    below = kind == "PRICE_BELOW"
-    return (F.col("alert_type") == kind) & ((value <= t) if below else (value >= t))
+LEAF, BLOCK = 256, 1024  # alerts of a leaf of the threshold index, leaves of a block
+
+
+def _fires(value, strength, threshold):
+    """Whether an alert fires: its threshold, with the sign of its kind, is not above the value. Scores are doubles."""
+    return F.coalesce(value >= threshold, strength >= threshold.cast("double"))
+
+
+def _signed(kind, column):
+    return F.when(kind == "PRICE_BELOW", -column).otherwise(column)
+
+
+def threshold_index(alerts: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Enabled alerts with their users' addresses, sorted by threshold per symbol and kind: (roots, blocks, leaves).
+
+    A leaf holds up to `LEAF` alerts, a block the lowest thresholds of `BLOCK` leaves, a root those of all its
+    blocks. What fires at a value is all of the first leaves and part of one. Alerts are sorted by range, so a symbol with
+    a large share of them is spread; only the numbers of its leaves are given in one task, one row for 256
+    alerts. The leaves are written once, since three joins read them; alerts changed later need a new index.
+    """
+    spark, key = alerts.sparkSession, ["symbol", "alert_type"]
+    subscribed = _subscriptions(alerts, users).where("symbol IS NOT NULL AND threshold_value IS NOT NULL").withColumn(
+        "low", _signed(F.col("alert_type"), F.col("threshold_value")))
+    order = ["low", "alert_id", "user_id", "email"]
+    near = subscribed.repartitionByRange(*key, *order).withColumn("_part", F.spark_partition_id())
+    numbered = near.withColumn("_run", F.floor((F.row_number().over(
+        Window.partitionBy(*key, "_part").orderBy(*order)) - 1) / LEAF))
+    leaves = numbered.groupBy(*key, "_part", "_run").agg(
+        F.min("low").alias("low"),
+        F.collect_list(F.struct("alert_id", "user_id", "email", "threshold_value", "low")).alias("alerts"))
+    leaves = leaves.withColumn("leaf", F.row_number().over(Window.partitionBy(*key).orderBy("_part", "_run")) - 1)
+    path = scratch_path(spark, "threshold-index")
+    leaves.drop("_part", "_run").write.parquet(path)
+    leaves = spark.read.schema(leaves.drop("_part", "_run").schema).parquet(path)
+
+    def lows(df, at):
+        return df.groupBy(*key, F.floor(F.col(at) / BLOCK).cast("int").alias("up")).agg(
+            F.min("low").alias("low"), F.sort_array(F.collect_list("low")).alias("lows"))
+
+    blocks = lows(leaves, "leaf")
+    roots = blocks.groupBy(*key).agg(F.sort_array(F.collect_list("low")).alias("lows"))
+    return roots, blocks.drop("low").withColumnRenamed("up", "block"), leaves.drop("low")
+
+
+def alert_candidates(facts: DataFrame, index) -> DataFrame:
+    """Pairs of facts (symbol, alert_type, value, strength, ...) and alerts that may fire: all that do, and fewer than
+    a leaf of others per fact."""
+    roots, blocks, leaves = index
+    key = ["symbol", "alert_type"]
+
+    def reached(lows):
+        return F.size(F.filter(lows, lambda low: _fires(F.col("value"), F.col("strength"), low)))
+
+    at_block = facts.join(roots, key).withColumn("block", reached("lows") - 1).where("block >= 0").drop("lows")
+    at_leaf = at_block.join(blocks, [*key, "block"]).withColumn("_last", F.col("block") * BLOCK + reached("lows") - 1)
+    met = at_leaf.drop("lows", "block").withColumn("leaf", F.explode(F.sequence(F.lit(0), "_last")))
+    return met.drop("_last").join(leaves, [*key, "leaf"]).drop("leaf").withColumn("alert", F.explode("alerts")).drop("alerts")
+
+
+def _fired(facts, index):
+    hit = _fires(F.col("value"), F.col("strength"), F.col("alert.low"))
+    return alert_candidates(facts, index).where(hit)
+
+
+def _facts(kind_values: dict):
+    """One struct per kind of alert that there is a value for: prices and volumes as they are, scores as doubles."""
+    exact = "decimal(28,4)"  # holds prices and volumes as they are
+    parts = [F.when(v.isNotNull(), F.struct(
+        F.lit(kind).alias("alert_type"),
+        (F.lit(None) if kind == "NEWS_SENTIMENT" else _signed(F.lit(kind), v)).cast(exact).alias("value"),
+        (v if kind == "NEWS_SENTIMENT" else F.lit(None)).cast("double").alias("strength")))
+        for kind, v in kind_values.items()]
+    return F.explode(F.array_compact(F.array(*parts)))
 
 
 def route_alerts(events: DataFrame, alerts: DataFrame, users: DataFrame) -> DataFrame:
@@ -43,20 +112,17 @@ def route_alerts(events: DataFrame, alerts: DataFrame, users: DataFrame) -> Data
 
     PRICE_ABOVE and PRICE_BELOW include the threshold, VOLUME_SPIKE is an
     absolute volume, NEWS_SENTIMENT the strength of a score. ``events`` may be
-    a stream. An event meets only alerts of kinds it has a value for. See `route_alerts_per` for busy symbols.
+    a stream. An event meets only alerts of kinds it has a value for, and through `threshold_index` only those that
+    fire, so the work follows the result. See `route_alerts_per` for busy symbols.
     """
     e = _with_measures(events)
-    measures = {"PRICE_ABOVE": F.col("price"), "PRICE_BELOW": F.col("price"), "VOLUME_SPIKE": F.col("volume"),
-                "NEWS_SENTIMENT": F.abs(F.col("sentiment_score"))}
-    met = reduce(or_, [_fires(kind, value) for kind, value in measures.items()])
-    kinds = F.array_compact(F.array(*[F.when(v.isNotNull(), F.lit(k)) for k, v in measures.items()]))
-    return (
-        e.select(F.col("id").alias("event_id"), "symbol", *_MEASURES, "timestamp", F.explode(kinds).alias("alert_type"))
-        .join(_subscriptions(alerts, users), ["symbol", "alert_type"])
-        .where(met)
-        .select("user_id", "email", "alert_id", "symbol", "alert_type", "threshold_value", "event_id",
-                *_MEASURES, "timestamp")
-    )
+    kinds = _facts({"PRICE_ABOVE": F.col("price"), "PRICE_BELOW": F.col("price"), "VOLUME_SPIKE": F.col("volume"),
+                    "NEWS_SENTIMENT": F.abs(F.col("sentiment_score"))})
+    facts = e.select(F.col("id").alias("event_id"), "symbol", *_MEASURES, "timestamp", kinds.alias("_fact")).select(
+        "event_id", "symbol", *_MEASURES, "timestamp", "_fact.*")
+    return _fired(facts, threshold_index(alerts, users)).select(
+        "alert.user_id", "alert.email", "alert.alert_id", "symbol", "alert_type", "alert.threshold_value", "event_id",
+        *_MEASURES, "timestamp")
 
 
 def route_alerts_per(events: DataFrame, alerts: DataFrame, users: DataFrame, per="1 day") -> DataFrame:

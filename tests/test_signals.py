@@ -145,3 +145,41 @@ def test_ohlc_invariants(spark, sf_dir):
     assert bars.agg(F.sum("volume")).first()[0] == A.ticks(spark, sf_dir).agg(F.sum("volume")).first()[0]
     with pytest.raises(ValueError):
         W.ohlc_interval(bars, "2h")
+
+
+def test_busy_symbol_meets_the_alerts_that_fire(spark, monkeypatch):
+    """Candidates follow the results: 1,500 alerts of one symbol, of which each event fires a few."""
+    from decimal import Decimal
+
+    from quotelake.operators import alerts as R
+
+    monkeypatch.setattr(R, "LEAF", 8)
+    monkeypatch.setattr(R, "BLOCK", 16)
+    kinds = ["PRICE_ABOVE", "PRICE_BELOW", "VOLUME_SPIKE", "NEWS_SENTIMENT"]
+    mine = [(i, i % 7, "A", kinds[i % 4], Decimal(i % 250) if i % 4 < 3 else Decimal(i % 250) / 250, i % 11 > 0) for i in range(1500)]
+    mine += [(2000, 1, "B", "PRICE_ABOVE", Decimal(5), True), (2001, 1, None, "PRICE_ABOVE", Decimal(1), True)]
+    users = spark.createDataFrame([(i, f"u{i}@x") for i in range(6)], "id LONG, email STRING")  # user 6 is gone
+    alerts = spark.createDataFrame(mine, "id LONG, user_id LONG, symbol STRING, alert_type STRING, "
+                                         "threshold_value DECIMAL(19,4), enabled BOOLEAN")
+    seen = [(1, "A", Decimal("2.5"), 3, 0.1), (2, "A", Decimal(-1), None, None), (3, "A", None, 500, 1.0),
+            (4, "A", Decimal(245), 0, 0.004), (5, "B", Decimal(5), 1, None), (6, None, Decimal(5), 1, None)] * 3
+    events = spark.createDataFrame([(*e, None) for e in seen], "id LONG, symbol STRING, price DECIMAL(19,4), volume LONG, "
+                                                               "sentiment_score DOUBLE, timestamp TIMESTAMP_NTZ")
+
+    def fires(kind, price, volume, score, t):
+        if kind == "NEWS_SENTIMENT":
+            return score is not None and abs(score) >= float(t)
+        if kind == "VOLUME_SPIKE":
+            return volume is not None and volume >= t
+        return price is not None and (price >= t if kind == "PRICE_ABOVE" else price <= t)
+
+    want = sorted((e[0], a[0]) for e in seen for a in mine
+                  if a[5] and a[1] < 6 and a[2] == e[1] is not None and fires(a[3], *e[2:5], a[4]))
+    assert sorted((r.event_id, r.alert_id) for r in R.route_alerts(events, alerts, users).collect()) == want
+    _, blocks, leaves = index = R.threshold_index(alerts, users)
+    assert leaves.where(F.size("alerts") > 8).isEmpty() and blocks.where(F.size("lows") > 16).isEmpty()
+    assert blocks.where("alert_type = 'PRICE_ABOVE' AND symbol = 'A'").count() > 1
+    facts = events.select("id", "symbol", F.explode(F.array(F.lit("PRICE_ABOVE"))).alias("alert_type"),
+                          F.col("price").cast("decimal(28,4)").alias("value"), F.lit(None).cast("double").alias("strength"))
+    fired = sum(1 for e, a in want if a % 4 == 0)
+    assert fired <= R.alert_candidates(facts, index).count() <= fired + 7 * len(seen)
