@@ -24,13 +24,42 @@ def position(df: DataFrame, order):
     if len(order) == 1:
         return F.col(order[0])
     if len(order) == 2 and kinds[0].startswith("timestamp") and kinds[1] in _WHOLE:
-        # microseconds take 17 digits and a whole number 19; the offset keeps negative numbers in order
-        at = micros(F.col(order[0])).cast("decimal(18,0)") * F.lit(Decimal(2 ** 64))
-        key = at + F.col(order[1]).cast("decimal(20,0)")
-        return F.when(F.col(order[0]).isNotNull() & F.col(order[1]).isNotNull(), key.cast("decimal(38,0)"))
+        return place_of(F.col(order[0]), F.col(order[1]))
     return F.struct(*order)
 
 
+def place_of(time, number):
+    """A time and a whole number as one decimal in their order; a null number comes first at its time.
+
+    Without a time there is no place: null.
+    """
+    # microseconds take 18 digits and a step of 2^65 leaves room for all longs of either sign and for null
+    at = micros(time).cast("decimal(18,0)") * F.lit(Decimal(2 ** 65))
+    return (at + F.coalesce(number.cast("decimal(20,0)"), F.lit(Decimal(-2 ** 63 - 1)))).cast("decimal(38,0)")
+
+
+def newest_rows(df: DataFrame, keys, order) -> DataFrame:
+    """Exactly one newest row per key, with all columns.
+
+    With a time and a whole number as order their highest place is found by hashing, and only the rows at it are
+    fetched; of repeated rows one stays. Rows without a time count below all others. Other orders need structs, for
+    which Spark sorts each input partition.
+    """
+    keys, columns = list(keys), df.columns
+    at = position(df, order)
+    if len(order) > 1 and df.select(at.alias("at")).schema["at"].dataType.typeName() == "struct":
+        rest = [c for c in columns if c not in keys]
+        newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), at).alias("_row"))
+        return newest.select(*keys, "_row.*").select(*columns)
+    at = F.coalesce(at, F.lit(Decimal(-10 ** 37)).cast("decimal(38,0)")) if len(order) > 1 else at
+    top = df.groupBy(*keys).agg(F.max(at).alias("_top")).select(*[F.col(c).alias(f"_{c}") for c in keys], "_top")
+    same = at.eqNullSafe(F.col("_top"))
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    one = Window.partitionBy(*keys).orderBy(*keys)
+    return df.join(top, same, "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*columns)
+
+
 def filter_symbol(ticks: DataFrame, symbol: str) -> DataFrame:
     return ticks.where(F.col("symbol") == symbol)
 
@@ -88,11 +117,7 @@ def latest_tick(ticks: DataFrame, symbol=None, order=("timestamp", "id")) -> Dat
     """Exactly one newest row, of one symbol or of each."""
     if symbol is not None:
         return top_k(filter_symbol(ticks, symbol), [F.desc(c) for c in order], 1)
-    rest = [c for c in ticks.columns if c != "symbol"]
-    return (
-        ticks.groupBy("symbol").agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("t"))
-        .select("symbol", "t.*")
-    )
+    return newest_rows(ticks, ["symbol"], order)
 
 
 def stock_statistics(ticks: DataFrame, start, end, symbol=None) -> DataFrame:

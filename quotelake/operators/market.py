@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quotelake.functions import lexicons as lex
 from quotelake.functions.timefn import before, moment
-from quotelake.operators.history import latest_tick, tick_returns, top_k
+from quotelake.operators.history import latest_tick, newest_rows, tick_returns, top_k
 
 PERIODS = {"1D": "1 day", "1W": "7 days", "1M": "1 month", "3M": "3 months", "1Y": "1 year"}
 
@@ -99,12 +99,7 @@ def market_summary(ticks: DataFrame, n=5, indices=lex.INDEX_SYMBOLS) -> DataFram
 
 def latest_indicator(observations: DataFrame) -> DataFrame:
     """Newest observation per economic indicator."""
-    rest = [c for c in observations.columns if c != "indicator"]
-    return (
-        observations.groupBy("indicator")
-        .agg(F.max_by(F.struct(*rest), F.struct("timestamp", *[c for c in ("id",) if c in rest])).alias("o"))
-        .select("indicator", "o.*")
-    )
+    return newest_rows(observations, ["indicator"], ["timestamp", *[c for c in ("id",) if c in observations.columns]])
 
 
 def high_low_52w(ticks: DataFrame) -> DataFrame:

@@ -22,50 +22,52 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quotelake.functions.timefn import micros, time_bucket, width_micros
+from quotelake.session import scratch_path
 
 _BUCKET, _PART = "_bucket", "_part"
 HOT_ROWS = 2_000_000
+SAMPLES = 64  # rows of a part that its cuts are found from, about
 
 
-def split_hot(bucketed: DataFrame, keys, position: Column, tie: Column = None, hot_rows=HOT_ROWS) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A narrow table that several steps read, computed once: written to the shared folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def split_hot(bucketed: DataFrame, keys, order, hot_rows=HOT_ROWS) -> DataFrame:
     """Add ``_part``, which cuts (key, bucket) groups of more than
     ``hot_rows`` rows into consecutive runs of about that size.
 
-    A hot group is cut evenly between its first and last ``position``, or, if
-    all its rows have the same one, between the first and last ``tie``. All
-    other rows get part 0. There can be at most rows / ``hot_rows`` hot
-    groups, which is what bounds the broadcast: with the default, one entry
-    for every two million rows of the table.
+    The cuts are quantiles of the whole order key, of whatever types it has, so a burst within one instant is cut by what
+    follows the time. They come from those rows of hot groups whose hash falls on one of `SAMPLES` marks per part, about.
+    All other rows get part 0. There can be at most rows / ``hot_rows`` hot groups and cuts, which is what
+    bounds the broadcast: with the default, one entry for every two million rows of the table.
     """
-    tie = F.lit(0) if tie is None else tie
+    place = F.struct(*order)
     hot = (
-        bucketed.groupBy(*keys, _BUCKET)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_p0"), F.max(position).alias("_p1"),
-             F.min(tie).alias("_t0"), F.max(tie).alias("_t1"))
-        .where(F.col("_n") > hot_rows)
-        .withColumn("_parts", F.ceil(F.col("_n") / F.lit(hot_rows)))
-        .drop("_n")
+        bucketed.groupBy(*keys, _BUCKET).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+        .withColumn("_parts", F.ceil(F.col("_n") / F.lit(hot_rows))).drop("_n")
     )
-
-    def run(value, first, last):
-        low, high = F.col(first).cast("double"), F.col(last).cast("double")  # as doubles: hashed ids span all longs
-        share = (value.cast("double") - low) / (high - low + 1)
-        return F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1)
-
-    part = F.when(F.col("_p1") > F.col("_p0"), run(position, "_p0", "_p1")).otherwise(run(tie, "_t0", "_t1"))
+    marked = bucketed.where(F.pmod(F.xxhash64(*order), F.lit(max(1, hot_rows // SAMPLES))) == 0)
+    sample = F.sort_array("_sample")
+    at = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda i: F.floor(i * F.size("_sample") / F.col("_parts")))
+    cuts = (
+        marked.join(F.broadcast(hot), [*keys, _BUCKET])
+        .groupBy(*keys, _BUCKET, "_parts").agg(F.collect_list(place).alias("_sample"))
+        .select(*keys, _BUCKET, F.transform(at, lambda i: F.get(sample, i.cast("int"))).alias("_cuts"))
+    )
+    part = F.size(F.filter("_cuts", lambda cut: cut <= place))
     return (
-        bucketed.join(F.broadcast(hot), [*keys, _BUCKET], "left")
-        .withColumn(_PART, F.coalesce(part.cast("int"), F.lit(0)))
-        .drop("_p0", "_p1", "_t0", "_t1", "_parts")
+        bucketed.join(F.broadcast(cuts), [*keys, _BUCKET], "left")
+        .withColumn(_PART, F.when(F.col("_cuts").isNull(), 0).otherwise(part)).drop("_cuts")
     )
 
 
 def _neighbour(df, keys, order, cols, width, backwards, out, hot_rows):
     value, place = F.struct(*cols), F.struct(*order)
-    numeric_tie = len(order) > 1 and df.schema[order[1]].dataType.typeName() in ("byte", "short", "integer", "long")
-    bucketed = split_hot(
-        df.withColumn(_BUCKET, time_bucket(F.col(order[0]), width)), keys, micros(F.col(order[0])),
-        F.col(order[1]) if numeric_tie else None, hot_rows)
+    bucketed = split_hot(df.withColumn(_BUCKET, time_bucket(F.col(order[0]), width)), keys, order, hot_rows)
     group = [*keys, _BUCKET, _PART]
     inside = Window.partitionBy(*group).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(_BUCKET, _PART)
@@ -117,22 +119,16 @@ def with_halo(df: DataFrame, ts: str, seconds: int) -> DataFrame:
         *df.columns, F.col("_copy.bucket").alias(_BUCKET), F.col("_copy.home").alias("_home"))
 
 
-def next_within(df: DataFrame, keys, order, seconds: int, cols, out="following") -> DataFrame:
+def next_within(df: DataFrame, keys, order, seconds: int, cols, out="following", hot_rows=HOT_ROWS) -> DataFrame:
     """Like `next_row`, but only for followers less than ``seconds`` later.
 
-    Buckets are as long as the span and see a copy of the next bucket's rows,
-    so one shuffle is enough and ``df`` is computed once.
+    ``df`` is computed and written once; a key that holds a large share of it is cut like any other.
     """
-    w = Window.partitionBy(*keys, _BUCKET).orderBy(*order)
     at = micros(F.col(order[0]))
-    return (
-        with_halo(df, order[0], seconds)
-        .withColumn("_follower", F.lead(F.struct(at.alias("_at"), *cols)).over(w))
-        .where("_home")
-        .withColumn(out, F.when(F.col("_follower._at") < at + seconds * 1_000_000, F.struct(
-            *[F.col(f"_follower.{c}").alias(c) for c in cols])))
-        .drop("_follower", "_home", _BUCKET)
-    )
+    rows = written(df.withColumn("_at", at), "ordered")
+    near = next_row(rows, keys, order, ["_at", *cols], f"{seconds} seconds", out, hot_rows)
+    close = F.col(f"{out}._at") < F.col("_at") + seconds * 1_000_000
+    return near.withColumn(out, F.when(close, F.struct(*[F.col(f"{out}.{c}").alias(c) for c in cols]))).drop("_at")
 
 
 def rolling_sums(df: DataFrame, keys, ts: str, values: dict[str, Column], spans: dict[str, str],
@@ -163,7 +159,7 @@ def rolling_sums(df: DataFrame, keys, ts: str, values: dict[str, Column], spans:
     tagged = df.select(*keys, payload.alias("_row"), F.explode(F.array(*deltas)).alias("_d")).select(
         *keys, F.when(F.col("_d.leaves") == 0, F.col("_row")).alias("_row"), "_d.*")
     bucket = F.col("at") - F.pmod(F.col("at"), F.lit(width_micros(width)))
-    tagged = split_hot(tagged.withColumn(_BUCKET, bucket), keys, F.col("at"), hot_rows=hot_rows)
+    tagged = split_hot(tagged.withColumn(_BUCKET, bucket), keys, ["at"], hot_rows)
     group = [*keys, _BUCKET, _PART]
     running = Window.partitionBy(*group).orderBy("at", "leaves")  # default frame: ties included
     prior = Window.partitionBy(*keys).orderBy(_BUCKET, _PART).rowsBetween(Window.unboundedPreceding, -1)

@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 
 from quotelake.functions import lexicons as lex
 from quotelake.functions.timefn import time_bucket
-from quotelake.operators.history import page_of, position, ticks_in
-from quotelake.operators.ordered import rolling_sums
+from quotelake.operators.history import page_of, place_of, position, ticks_in
+from quotelake.operators.ordered import HOT_ROWS, rolling_sums, split_hot, written
 
 INTERVALS = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "1h": "1 hour", "1d": "1 day"}
 
@@ -40,20 +40,18 @@ def volume_anomalies(ticks: DataFrame, width="1 hour", factor=lex.VOLUME_FACTOR,
     The mean is an integer division and includes the newest tick. Of several
     ticks at the newest time the first to arrive counts.
     """
-    newest = F.max_by(
-        F.struct("price", "change_percent", "volume", "timestamp"),
-        F.struct(F.col("timestamp").alias("t"), F.bitwise_not(F.col(arrival)).alias("a")),
-    )
+    at = place_of(F.col("timestamp"), F.bitwise_not(F.col(arrival)))  # the first to arrive ranks highest
     no_change = F.lit(0).cast(ticks.schema["change_percent"].dataType)
     return (
         ticks.groupBy(F.window("timestamp", width), "symbol")
-        .agg(newest.alias("n"), F.sum("volume").alias("total"), F.count("volume").alias("ticks"))
-        .where((F.col("ticks") > 1) & (F.col("n.volume") > F.expr("total div ticks") * factor))
+        .agg(*[F.max_by(c, at).alias(f"_{c}") for c in ("price", "change_percent", "volume")],
+             F.max("timestamp").alias("_timestamp"), F.sum("volume").alias("total"), F.count("volume").alias("ticks"))
+        .where((F.col("ticks") > 1) & (F.col("_volume") > F.expr("total div ticks") * factor))
         .select(
             "symbol", F.lit("HIGH_VOLUME").alias("alert_type"),
-            F.col("n.price").alias("current_price"), F.col("n.price").alias("previous_price"),
-            F.coalesce("n.change_percent", no_change).alias("change_percent"),
-            F.col("n.volume").alias("volume"), F.col("n.timestamp").alias("timestamp"),
+            F.col("_price").alias("current_price"), F.col("_price").alias("previous_price"),
+            F.coalesce("_change_percent", no_change).alias("change_percent"),
+            F.col("_volume").alias("volume"), F.col("_timestamp").alias("timestamp"),
         )
     )
 
@@ -62,14 +60,15 @@ def _scores(news):
     return news.where(F.size("symbols") > 0).where(F.col("sentiment_score").isNotNull())
 
 
-def window_sentiment(news: DataFrame, width="1 hour", mode="mean", order=("timestamp", "id")) -> DataFrame:
+def window_sentiment(news: DataFrame, width="1 hour", mode="mean", order=("timestamp", "id"),
+                     hot_rows=HOT_ROWS) -> DataFrame:
     """Sentiment per symbol and window.
 
     ``mean`` is the plain average. ``pairwise`` halves the running value with
     every article, r = (r + s) / 2 in arrival order, starting from the first:
-    an exponential average with weight one half. It is computed per minute
-    and the minutes are put together, so no window has to fit in one task
-    (batch only).
+    an exponential average with weight one half. It is computed per minute, minutes with very many articles in
+    several parts, and these are put together, so no window has to fit in one task (batch; for streams see
+    `quotelake.streaming.sentiment_fold`).
     """
     scored = _scores(news).select(
         F.explode("symbols").alias("symbol"), *[c for c in order if c != "timestamp"], "timestamp",
@@ -82,12 +81,14 @@ def window_sentiment(news: DataFrame, width="1 hour", mode="mean", order=("times
         raise ValueError(f"mode must be 'mean' or 'pairwise', not {mode!r}")
     half = F.lit(0.5)
     # windows need not consist of whole minutes, so ranks are within both
-    newest_first = Window.partitionBy("symbol", "window", "_minute").orderBy(*[F.col(c).desc() for c in order])
+    group = ["symbol", "window", "_bucket", "_part"]
+    newest_first = Window.partitionBy(*group).orderBy(*[F.col(c).desc() for c in order])
+    placed = written(scored.where("timestamp IS NOT NULL").withColumn("window", F.window("timestamp", width)).withColumn(
+        "_bucket", time_bucket(F.col("timestamp"), "1 minute")), "scores")
     minutes = (
-        scored.withColumn("_minute", time_bucket(F.col("timestamp"), "1 minute"))
-        .withColumn("window", F.window("timestamp", width))
+        split_hot(placed, ["symbol", "window"], list(order), hot_rows)
         .withColumn("_rn", F.row_number().over(newest_first))
-        .groupBy("symbol", "_minute", "window")
+        .groupBy(*group)
         .agg(
             F.sum(F.col("score") * F.pow(half, F.col("_rn"))).alias("folded"),
             F.count("score").alias("n"),
@@ -95,7 +96,7 @@ def window_sentiment(news: DataFrame, width="1 hour", mode="mean", order=("times
         )
     )
     later = (
-        Window.partitionBy("symbol", "window").orderBy(F.col("_minute").desc())
+        Window.partitionBy("symbol", "window").orderBy(F.col("_bucket").desc(), F.col("_part").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = minutes.withColumn("_later", F.coalesce(F.sum("n").over(later), F.lit(0)))
@@ -103,7 +104,7 @@ def window_sentiment(news: DataFrame, width="1 hour", mode="mean", order=("times
     whole = placed.groupBy("symbol", "window").agg(
         F.sum(F.col("folded") * F.pow(half, F.col("_later"))).alias("folded"),
         F.sum("n").alias("articles"),
-        F.min_by("first_score", "_minute").alias("first_score"),
+        F.min_by("first_score", F.struct("_bucket", "_part")).alias("first_score"),
     )
     return _bounds(whole.select(
         "window", "symbol",
