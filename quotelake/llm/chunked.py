@@ -20,8 +20,7 @@ from quotelake.llm.tables import per_worker
 # The White_Space characters of Unicode.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
-MEMO = 250_000  # chunks of one generation that a worker remembers
-PIECES = 150_000  # pieces of one generation
+MEMO = 600_000  # chunks a worker remembers
 MEMO_CHARS = 60  # longer chunks are not remembered
 
 
@@ -72,23 +71,18 @@ def latin_word(body: str) -> tuple[str, str] | None:
 
 
 class Memo(dict):
-    """Values of chunks, made when first asked for, in two generations: a full one becomes the old one, whose values
-    come back when they are asked for again. Long chunks are never kept."""
+    """Values of chunks, made when first asked for; forgets everything when full, and never keeps long chunks."""
 
-    def __init__(self, make, size=None):
+    def __init__(self, make, size=MEMO):
         super().__init__()
-        self.make, self.size, self.old = make, size or MEMO, {}
+        self.make, self.size = make, size
 
     def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-            if len(key) > MEMO_CHARS:
-                return value
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        value = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= self.size:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -122,15 +116,12 @@ class ChunkEncoder:
         with open(path, encoding="utf-8") as file:
             self.by_chunk = splits_at_space(json.load(file))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo, self.pieces = Memo(self.chunk), Memo(self.piece, PIECES)
+        self.memo = Memo(self.chunk)
         self.cut, self.merge = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
 
-    def piece(self, piece: str) -> bytes:
-        return _packed([t.id for t in self.merge(piece)])
-
     def chunk(self, text: str) -> bytes:
-        """One chunk: the library's model over its pieces, which chunks of other marks share."""
-        return b"".join(map(self.pieces.__getitem__, pieces(text, self.cut)))
+        """One chunk: the library's model over its pieces."""
+        return _packed([t.id for p in pieces(text, self.cut) for t in self.merge(p)])
 
     def whole(self, texts):
         return [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
