@@ -8,6 +8,7 @@ record itself belongs to a symbol of its own and its window never closes.
 from __future__ import annotations
 
 from contextlib import contextmanager
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -22,10 +23,12 @@ from quotelake.session import scratch_path
 from quotelake.sources import adapters as A
 from quotelake.sources import decode as D
 from quotelake.sources import topics as TP
+from quotelake.streaming import committed as C
 from quotelake.streaming import jobs as J
 from quotelake.streaming import pattern_state as PS
 from quotelake.streaming import sentiment_fold as SF
 from quotelake.streaming import sinks as K
+from quotelake.streaming.counters import StreamCounters
 from quotelake.streaming.lateness import NEWS_LATENESS, with_bounded_lateness
 
 NOW = {"availableNow": True}
@@ -232,6 +235,76 @@ def _(spark, d):
         "symbol", "price", "volume", "timestamp", "avg_price_5min", "avg_price_1h", "volume_ratio", "source")
 
 
+CUTOFF = datetime(2024, 1, 15, 12)
+
+
+@query("shared_day_table", f"""
+SELECT id, symbol, CAST(price AS DOUBLE) AS price, volume, timestamp FROM ticks WHERE timestamp >= '{CUTOFF}'""", ["ticks"])
+def _(spark, d):
+    """One table filled by a stream and a batch, cut by retention, compacted, and filled by the stream's replay."""
+    root, all_ticks = scratch_path(spark, "shared"), A.ticks(spark, d).select("id", "symbol", "price", "volume", "timestamp")
+    streamed = A.ticks_of(stream_of(spark, d, "events"), F.col("event_type")).select(*all_ticks.columns)
+    C.append_stream(streamed.where("id % 3 > 0"), f"{root}/out", f"{root}/checkpoint", trigger=NOW).awaitTermination()
+    C.append(f"{root}/out", {"stock_data": all_ticks.where("id % 3 = 0")})
+    C.delete_before(spark, f"{root}/out", "stock_data", all_ticks.schema, CUTOFF)
+    C.compact(spark, f"{root}/out", "stock_data", all_ticks.schema)
+    return C.read(spark, f"{root}/out", "stock_data", all_ticks.schema)
+
+
+@query("stream_derived_tables", f"""
+WITH signals AS (
+  SELECT symbols[1] AS symbol, abs(sentiment_score) AS confidence FROM scored
+  WHERE len(symbols) > 0 AND abs(sentiment_score) > 0.3)
+SELECT 'news_data' AS name, count(*) AS records, {settled_sql("sum(sentiment_score)")} AS total FROM scored
+UNION ALL SELECT 'news_symbols', count(*), 0 FROM (SELECT DISTINCT id, unnest(symbols) FROM scored)
+UNION ALL SELECT 'trading_signals', count(*), {settled_sql("sum(confidence)")} FROM signals""", ["scored"])
+def _(spark, d):
+    """Articles, their symbols and signals from one stream, each batch one change; the first batch comes twice."""
+    root, schemas = scratch_path(spark, "derived"), {}
+
+    def tables(batch):
+        out = {"news_data": batch.select("id", "title", "url", "timestamp", "sentiment_score"),
+               "news_symbols": K.news_symbol_rows(batch), "trading_signals": G.trading_signals(batch)}
+        schemas.update({name: df.schema for name, df in out.items()})
+        return out
+
+    news = news_stream(spark, d)
+    C.append_stream(news, f"{root}/out", f"{root}/checkpoint", tables, NOW, days=("news_data",)).awaitTermination()
+    owner = f"{K.query_id(spark, f'{root}/checkpoint')}-0"
+    C.append(f"{root}/out", {n: spark.createDataFrame([], s) for n, s in schemas.items()}, owner)  # the replay
+    parts = []
+    for name, value in (("news_data", "sentiment_score"), ("news_symbols", None), ("trading_signals", "confidence")):
+        rows = C.read(spark, f"{root}/out", name, schemas[name])
+        total = F.sum(F.col(value).cast("double")) if value else F.lit(0.0)
+        parts.append(rows.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("records"), total.alias("total")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("total", settled("total"))
+
+
+@query("stream_counts", """
+SELECT count(*) AS rows, CAST(count(*) FILTER (WHERE id % 5 > 0) AS BIGINT) AS good,
+       CAST(count(*) FILTER (WHERE id % 5 = 0) AS BIGINT) AS failed FROM ticks""", ["ticks"])
+def _(spark, d):
+    """Read, decoded and failed messages of a stream over all its batches; every fifth one cannot be decoded."""
+    counters = StreamCounters.watch(spark)
+    try:
+        ticks = A.ticks_of(stream_of(spark, d, "events"), F.col("event_type"))
+        value = F.to_json(F.struct("symbol", "price", "volume", F.unix_timestamp(
+            F.col("timestamp").cast("timestamp")).alias("timestamp"), "source"))
+        raw = ticks.select(F.when(F.col("id") % 5 == 0, F.lit("not json")).otherwise(value).alias("value"))
+        decoded = D.decode_stock(raw).observe("decoding", F.count(F.lit(1)).alias("processed"),
+                                              F.count_if(F.col("decode_error").isNotNull()).alias("failed"))
+        root = scratch_path(spark, "counts")
+        q = (D.quarantine(decoded)[0].writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
+             .trigger(**NOW).start(f"{root}/out"))
+        q.awaitTermination()
+        seen = counters.totals(q)
+    finally:
+        spark.streams.removeListener(counters)
+    return spark.range(1).select(F.lit(seen["rows"]).cast("bigint").alias("rows"),
+                                 F.lit(seen["processed"] - seen["failed"]).cast("bigint").alias("good"),
+                                 F.lit(seen["failed"]).cast("bigint").alias("failed"))
+
+
 @query("read_topics", """
 SELECT topic, count(*) AS messages FROM (
   SELECT 'stock-data' AS topic FROM ticks UNION ALL SELECT 'economic-data' FROM observations) GROUP BY topic

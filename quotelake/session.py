@@ -38,10 +38,14 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in `spark.checkpoint.dir`.
 
-    Where the setting is absent, a folder of the warehouse, which all executors share too.
+    Where the setting is absent, a folder of the warehouse. Its default lies on the driver's disk, so on a cluster one of
+    the two has to be set.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     configured = configured or spark.conf.get("spark.checkpoint.dir", None)
+    warehouse = spark.sparkContext.getConf().get("spark.sql.warehouse.dir", None)
+    if not configured and not warehouse and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
     return configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 

@@ -86,9 +86,10 @@ def _ago(span, as_of):
     return F.when(span.isNotNull(), moment(as_of) - F.make_dt_interval(days, hours, mins))
 
 
-def load_seed(spark: SparkSession, fixtures: str, root: str, as_of, tables=None) -> list[str]:
+def load_seed(spark: SparkSession, fixtures: str, root: str, as_of, tables=None, mode="overwrite") -> list[str]:
     """Write ``<table>.csv`` files of a folder as tables.
 
+    ``mode="append"`` adds the rows to tables that exist, ``mode="error"`` refuses to touch them.
     Timestamps are given as spans before ``as_of``, such as "2 hours"; empty
     cells are null.
     """
@@ -101,6 +102,6 @@ def load_seed(spark: SparkSession, fixtures: str, root: str, as_of, tables=None)
             (_ago(F.col(f.name), as_of) if isinstance(f.dataType, T.TimestampNTZType)
              else F.col(f.name).cast(f.dataType)).alias(f.name)
             for f in schema])
-        write_table(rows, root, name, mode="overwrite")
+        write_table(rows, root, name, mode=mode)
         loaded.append(name)
     return loaded

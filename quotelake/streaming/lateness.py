@@ -26,7 +26,8 @@ def with_bounded_lateness(stream: DataFrame, delay=STOCK_LATENESS, time="record"
 
 
 def late_rows(query) -> int:
-    """Rows the finished batches of a query dropped as too late."""
+    """Rows that the last hundred finished batches of a query dropped as too late, which is all that Spark keeps. For
+    counts over all batches see `quotelake.streaming.counters`."""
     return sum(
         int(op.get("numRowsDroppedByWatermark", 0))
         for progress in query.recentProgress for op in progress["stateOperators"])
