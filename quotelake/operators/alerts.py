@@ -107,22 +107,23 @@ def _facts(kind_values: dict):
     return F.explode(F.array_compact(F.array(*parts)))
 
 
-def route_alerts(events: DataFrame, alerts: DataFrame, users: DataFrame) -> DataFrame:
+def route_alerts(events: DataFrame, alerts: DataFrame, users: DataFrame, carry=()) -> DataFrame:
     """One row per event and enabled alert it meets.
 
     PRICE_ABOVE and PRICE_BELOW include the threshold, VOLUME_SPIKE is an
     absolute volume, NEWS_SENTIMENT the strength of a score. ``events`` may be
     a stream. An event meets only alerts of kinds it has a value for, and through `threshold_index` only those that
-    fire, so the work follows the result. See `route_alerts_per` for busy symbols.
+    fire, so the work follows the result. Columns of the event named in ``carry`` come along behind the others. See
+    `route_alerts_per` for busy symbols.
     """
     e = _with_measures(events)
     kinds = _facts({"PRICE_ABOVE": F.col("price"), "PRICE_BELOW": F.col("price"), "VOLUME_SPIKE": F.col("volume"),
                     "NEWS_SENTIMENT": F.abs(F.col("sentiment_score"))})
-    facts = e.select(F.col("id").alias("event_id"), "symbol", *_MEASURES, "timestamp", kinds.alias("_fact")).select(
-        "event_id", "symbol", *_MEASURES, "timestamp", "_fact.*")
+    facts = e.select(F.col("id").alias("event_id"), "symbol", *_MEASURES, "timestamp", *carry, kinds.alias("_fact")).select(
+        "event_id", "symbol", *_MEASURES, "timestamp", *carry, "_fact.*")
     return _fired(facts, threshold_index(alerts, users)).select(
         "alert.user_id", "alert.email", "alert.alert_id", "symbol", "alert_type", "alert.threshold_value", "event_id",
-        *_MEASURES, "timestamp")
+        *_MEASURES, "timestamp", *carry)
 
 
 def route_alerts_per(events: DataFrame, alerts: DataFrame, users: DataFrame, per="1 day") -> DataFrame:

@@ -35,8 +35,8 @@ def _rows(df, subject, content, template, data, created_at=None, email="email"):
 
 def notify_stock_alert(alerts: DataFrame, created_at=None) -> DataFrame:
     data = template_json(alerts, [
-        "user_id", "email", "symbol", "alert_type", "current_price", "previous_price", "price", "change_percent",
-        "volume"])
+        "user_id", "email", "symbol", "alert_type", "event_type", "current_price", "previous_price", "price",
+        "change_percent", "volume"])
     return _rows(
         alerts, F.concat(F.lit("Stock Alert: "), "symbol", F.lit(" - "), "alert_type"),
         F.concat(F.lit("Alert for "), "symbol", F.lit(": "), "alert_type"), "stock-alert", data, created_at)

@@ -86,11 +86,23 @@ def start_stock_job(messages: DataFrame, out: str, checkpoint: str, servers=None
 
 
 def stock_notifications(stock_alerts: DataFrame, user_alerts: DataFrame, users: DataFrame) -> DataFrame:
-    """Notification rows for the users whose alerts a stock alert meets."""
+    """Notification rows for the users whose alerts a stock alert meets, with what the alert itself says."""
     events = stock_alerts.select(
         F.xxhash64(*stock_alerts.columns).alias("id"), "symbol", F.col("current_price").alias("price"), "volume",
+        F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), F.col("alert_type").alias("event_type"),
+        "current_price", "previous_price", "change_percent")
+    own = ["event_type", "current_price", "previous_price", "change_percent"]
+    return N.notify_stock_alert(route_alerts(events, user_alerts, users, own))
+
+
+def price_notifications(stock_alerts: DataFrame, watchlist: DataFrame, users: DataFrame) -> DataFrame:
+    """Notification rows for everybody who watches a symbol whose price has moved by an alert's measure."""
+    moves = stock_alerts.where(F.col("alert_type").isin("SIGNIFICANT_INCREASE", "SIGNIFICANT_DECREASE")).select(
+        "symbol", F.col("previous_price").alias("old_price"), F.col("current_price").alias("new_price"), "change_percent",
         F.col("timestamp").cast("timestamp_ntz").alias("timestamp"))
-    return N.notify_stock_alert(route_alerts(events, user_alerts, users))
+    audience = watchlist.select("user_id", "symbol").distinct().join(
+        users.select(F.col("id").alias("user_id"), "email"), "user_id")
+    return N.notify_price_alert(moves.join(audience, "symbol"))
 
 
 def news_notifications(news_alerts: DataFrame, watchlist: DataFrame, user_alerts: DataFrame,

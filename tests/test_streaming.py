@@ -272,6 +272,17 @@ def test_alerts_become_notifications(spark, rows, tmp_path):
         return spark.read.parquet(str(tmp_path / f"{name}-out")).collect()
     got = run("s", stock.schema, lambda b: J.stock_notifications(b, mine, users))
     assert [(r["user_id"], r["subject"], r["status"]) for r in got] == [(1, "Stock Alert: A - PRICE_ABOVE", "PENDING")]
+    data = json.loads(got[0]["template_data"])
+    assert (data["eventType"], data["currentPrice"], data["previousPrice"], data["changePercent"]) == ("HIGH_VOLUME", 10, 10, 0)
+    moved = rows("symbol STRING, alert_type STRING, current_price DECIMAL(19,4), previous_price DECIMAL(19,4), "
+                 "change_percent DOUBLE, volume BIGINT, timestamp TIMESTAMP_NTZ",
+                 ("A", "SIGNIFICANT_DECREASE", 9, 10, -10.0, 5, at), ("A", "HIGH_VOLUME", 9, 10, -10.0, 5, at),
+                 ("C", "SIGNIFICANT_INCREASE", 9, 8, 12.5, 5, at))
+    land(str(tmp_path / "p"), moved)
+    priced = run("p", moved.schema, lambda b: J.price_notifications(b, watch, users))
+    assert [(r["user_id"], r["subject"]) for r in priced] == [(1, "Price Alert: A Price Decrease 10.00%")]
+    data = json.loads(priced[0]["template_data"])
+    assert (data["oldPrice"], data["newPrice"], data["changePercent"]) == (10, 9, -10)
     got = run("n", news.schema, lambda b: J.news_notifications(b, watch, mine, users))
     assert sorted((r["user_id"], r["subject"], r["recipient_email"]) for r in got) == [
         (1, "News Alert: h", "a@x"), (2, "News Alert: h", "b@x")]
