@@ -204,12 +204,15 @@ def hourly(spark, d):
     return K.processed_rows(t)
 
 
-@query("upsert_processed", """
+_UPSERT_SQL = """
 WITH rows AS (SELECT *, CASE WHEN price < 50 THEN 0 ELSE 1 END AS gen, date_trunc('hour', timestamp) AS hour FROM ticks)
 SELECT symbol, CAST(arg_max(price, (gen, id)) AS DOUBLE) AS price, arg_max(volume, (gen, id)) AS volume,
        hour AS timestamp, CAST(arg_min(price, (gen, id)) AS DOUBLE) AS change_percent,
        CAST(arg_min(price, (gen, id)) AS DOUBLE) AS avg_price_5min, 'events' AS source
-FROM rows GROUP BY symbol, hour""", ["ticks"])
+FROM rows GROUP BY symbol, hour"""
+
+
+@query("upsert_processed", _UPSERT_SQL, ["ticks"])
 def _(spark, d):
     root, rows = scratch_path(spark, "processed"), hourly(spark, d)
     K.upsert_batch(rows.where("price < 50"), 0, root)
@@ -218,6 +221,18 @@ def _(spark, d):
     return K.read_processed(spark, root)
 
 
+@query("compact_processed_in_place", _UPSERT_SQL, ["ticks"])
+def _(spark, d):
+    """As `upsert_processed`, folded together between the batches; a replay of the first one has no effect."""
+    root, rows = scratch_path(spark, "compacted"), hourly(spark, d)
+    K.upsert_batch(rows.where("price < 50"), 0, root)
+    K.compact_in_place(spark, root)
+    K.upsert_batch(rows.where("price >= 50"), 0, root)
+    K.upsert_batch(rows.where("price >= 50"), 1, root)
+    K.compact_in_place(spark, root)
+    return K.read_processed(spark, root)
+
+
 @query("merge_processed", """
 WITH rows AS (SELECT *, CASE WHEN price < 50 THEN 0 ELSE 1 END AS gen, date_trunc('hour', timestamp) AS hour FROM ticks)
 SELECT symbol, CAST(arg_max(price, (gen, id)) AS DOUBLE) AS price, arg_max(volume, (gen, id)) AS volume,

@@ -173,10 +173,70 @@ _PROCESSED_FILES = (
 )
 
 
+def _names(spark, path, start):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(n for s in (fs.listStatus(path) if fs.exists(path) else []) if (n := s.getPath().getName()).startswith(start))
+
+
+def _finished(spark, root) -> tuple[str | None, list[str] | None]:
+    """(newest finished generation, batches that it doesn't cover); (None, None) where there is no generation."""
+    done = [g for g in _names(spark, root, "_generation-") if _names(spark, f"{root}/{g}", "covers")]
+    if not done:
+        return None, None
+    covered = {r.value for r in spark.read.text(f"{root}/{done[-1]}/covers").collect()}
+    return done[-1], [b for b in _batches(spark, root) if b not in covered]
+
+
+def _batches(spark, root) -> list[str]:
+    """Batches that are completely written, as run/batch."""
+    return [f"{run}/{b}" for run in _names(spark, root, "run=") for b in _names(spark, f"{root}/{run}", "batch=")
+            if _names(spark, f"{root}/{run}/{b}", "_SUCCESS")]
+
+
+def _stored(spark, root, finished):
+    generation, rest = finished
+    if generation is None:
+        return spark.read.schema(_PROCESSED_FILES).parquet(root)
+    old = spark.read.schema(_PROCESSED_FILES).parquet(f"{root}/{generation}/rows").withColumns(
+        {"run": F.lit(""), "batch": F.lit(-1).cast("bigint")})  # before all batches
+    if not rest:
+        return old
+    return old.unionByName(spark.read.schema(_PROCESSED_FILES).option("basePath", root).parquet(*[f"{root}/{b}" for b in rest]))
+
+
+def compact_in_place(spark: SparkSession, root: str) -> None:
+    """Fold all finished batches into a new generation while streams go on writing theirs.
+
+    Readers take the newest generation that is complete and the batches it doesn't name. A covered batch that is
+    replayed is written again and not looked at. Covered folders and older generations may be deleted when no reader
+    is left that began before.
+    """
+    finished, batches = _finished(spark, root), _batches(spark, root)
+    rest = batches if finished[1] is None else finished[1]
+    if not rest:
+        return
+    if finished[0] is None:
+        rows = spark.read.schema(_PROCESSED_FILES).option("basePath", root).parquet(*[f"{root}/{b}" for b in rest])
+    else:
+        rows = _stored(spark, root, (finished[0], rest))
+    last = int(finished[0].rsplit("-", 1)[1]) if finished[0] else 0
+    path = f"{root}/_generation-{last + 1:09d}"
+    with_day(_collapse(rows, ["run", "batch"])).write.mode("overwrite").option(
+        "partitionOverwriteMode", "static").partitionBy(DAY).parquet(f"{path}/rows")
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/covers")
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/.covers")
+    fs = marker.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(draft, True)
+    out.write(bytearray("\n".join(batches).encode()))
+    out.close()
+    fs.rename(draft, marker)
+
+
 def read_processed(spark: SparkSession, root: str, start=None, end=None, windows=False) -> DataFrame:
     """The merged table; bounds on the time prune days before the merge. ``windows`` adds the average of the hour and the
     volume ratio, null where no enriched row has come."""
-    rows = spark.read.schema(_PROCESSED_FILES).parquet(root)
+    rows = _stored(spark, root, _finished(spark, root))
     if start is not None:
         rows = rows.where((F.col("timestamp") >= moment(start)) & (F.col(DAY) >= F.to_date(moment(start))))
     if end is not None:

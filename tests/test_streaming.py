@@ -203,6 +203,36 @@ def test_stock_job(spark, tmp_path):
             q.awaitTermination()
 
 
+def test_compaction_beside_a_running_upsert(spark, rows, tmp_path):
+    """Generations keep what is stored the same while batches of two runs come and are replayed."""
+    root = str(tmp_path / "p")
+
+    def batch(n, run, *ticks):
+        new = rows("symbol STRING, price DECIMAL(19,4), volume BIGINT, timestamp TIMESTAMP_NTZ, change_percent DOUBLE, "
+                   "avg_price_5min DECIMAL(19,4), source STRING, arrival BIGINT",
+                   *[("A", p, 1, f"2024-01-0{day} 00:00:00", float(p), p, "s", k) for k, (day, p) in enumerate(ticks)])
+        K.upsert_batch(new, n, root, run=run)
+
+    def stored():
+        return [(int(r.price), int(r.avg_price_5min)) for r in K.read_processed(spark, root).orderBy("timestamp").collect()]
+    batch(0, "one", (1, 10), (2, 20))
+    batch(1, "one", (1, 11))
+    assert stored() == [(11, 10), (20, 20)]
+    os.makedirs(f"{root}/run=000000001_one/batch=7")  # being written: no sign that it is finished
+    K.compact_in_place(spark, root)
+    assert stored() == [(11, 10), (20, 20)]
+    batch(1, "one", (1, 99))  # covered already
+    batch(2, "one", (2, 21), (3, 30))
+    batch(0, "two", (3, 31))
+    want = [(11, 10), (21, 20), (31, 30)]
+    assert stored() == want
+    for _ in range(2):
+        K.compact_in_place(spark, root)
+        assert stored() == want
+    assert K.read_processed(spark, root, start="2024-01-03 00:00:00").count() == 1
+    assert len([n for n in os.listdir(root) if n.startswith("_generation")]) == 2
+
+
 def test_stored_ticks_get_their_windows(spark, tmp_path):
     def tick(second, price, volume=10, symbol="A"):
         return {"symbol": symbol, "price": price, "volume": volume, "timestamp": 1640995200 + second, "source": "t"}
