@@ -33,7 +33,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _ARTICLE = "title STRING, url STRING, symbols ARRAY<STRING>, sentiment_score DOUBLE, timestamp TIMESTAMP, id BIGINT"
 _STATE = _ARTICLE + ", home BOOLEAN"
 _FIELDS = ["title", "url", "symbols", "sentiment_score", "timestamp", "id"]
-_SCORE, _TIME, _ID, _HOME = 3, 4, 5, 6
+_COLUMNS = [*_FIELDS, "home"]
 
 
 class OpenStart(StatefulProcessor):
@@ -49,10 +49,9 @@ class OpenStart(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         first = None
         for pdf in rows:
-            for row in pdf.itertuples(index=False):
-                article = self._article(row)
-                self.waiting.appendValue(article)
-                first = article[_TIME] if first is None else min(first, article[_TIME])
+            self.waiting.appendList(self._articles(pdf))
+            earliest = pdf["timestamp"].min()
+            first = earliest if first is None else min(first, earliest)
         if first is not None:
             # one timer, at the first article waiting; later ones follow from it
             at, pending = self._just_after(first), list(self.handle.listTimers())
@@ -64,27 +63,31 @@ class OpenStart(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         watermark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        articles = sorted(self.waiting.get(), key=lambda a: (a[_TIME], a[_ID]))
-        later = [tuple(a) for a in articles if a[_TIME] >= watermark]
-        newest = self.newest.get() if self.newest.exists() else None
-        alerts = []
-        for article in articles[:len(articles) - len(later)]:
-            if newest is not None and newest[_HOME] and abs(newest[_SCORE]) > self.start \
-                    and article[_TIME] - newest[_TIME] < self.within:
-                alerts.append(tuple(newest)[:_HOME])
-            newest = article
+        held = pd.DataFrame(list(self.waiting.get()), columns=_COLUMNS).sort_values(["timestamp", "id"], kind="stable")
+        passed = (held["timestamp"] < watermark).to_numpy(bool)
+        later, line = held[~passed], held[passed]
+        if self.newest.exists():  # the newest article of before stands in front of those that have passed now
+            line = pd.concat([pd.DataFrame([tuple(self.newest.get())], columns=_COLUMNS), line])
         self.waiting.clear()
-        if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(self._just_after(later[0][_TIME]))
-        if newest is None or newest[_TIME] + self.within < watermark:
-            self.newest.clear()
-        else:
-            self.newest.update(tuple(newest))
-            if not later:  # come back to forget it
-                self.handle.registerTimer(self._just_after(newest[_TIME] + self.within))
-        if alerts:
-            yield pd.DataFrame(alerts, columns=_FIELDS)
+        if len(later):
+            self.waiting.put(self._articles(later))
+            self.handle.registerTimer(self._just_after(later["timestamp"].iloc[0]))
+        if len(line):
+            newest = line.iloc[-1:]
+            forget = newest["timestamp"].iloc[0] + self.within
+            if forget < watermark:
+                self.newest.clear()
+            else:
+                self.newest.update(self._articles(newest)[0])
+                if not len(later):  # come back to forget it
+                    self.handle.registerTimer(self._just_after(forget))
+        # every article but the last is followed by the one behind it
+        starts = line.iloc[:-1]
+        gap = line["timestamp"].iloc[1:].reset_index(drop=True) - starts["timestamp"].reset_index(drop=True)
+        hit = starts["home"].to_numpy(bool) & (starts["sentiment_score"].abs() > self.start).to_numpy(bool) & (
+            gap < self.within).to_numpy(bool)
+        if hit.any():
+            yield starts[hit][_FIELDS].reset_index(drop=True)
 
     def close(self):
         pass
@@ -94,10 +97,11 @@ class OpenStart(StatefulProcessor):
         return int(pd.Timestamp(time).timestamp() * 1000) + 1
 
     @staticmethod
-    def _article(row):
-        symbols = [] if row.symbols is None else list(row.symbols)
-        return (row.title, row.url, symbols, float(row.sentiment_score), row.timestamp.to_pydatetime(), int(row.id),
-                bool(row.home))
+    def _articles(pdf):
+        symbols = [[] if x is None else list(x) for x in pdf["symbols"]]
+        return list(zip(pdf["title"].tolist(), pdf["url"].tolist(), symbols, pdf["sentiment_score"].astype(float).tolist(),
+                        [t.to_pydatetime() for t in pdf["timestamp"]], pdf["id"].astype(int).tolist(),
+                        pdf["home"].astype(bool).tolist()))
 
 
 def breaking_news_stream(news: DataFrame, start=lex.BREAKING_START_SCORE, follow=lex.BREAKING_FOLLOW_SCORE,
