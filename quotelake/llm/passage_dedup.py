@@ -12,6 +12,8 @@ reach the width, the interval of suffixes holds every occurrence, and its smalle
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,7 +36,7 @@ def _hashes(texts: list) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """(words of each text, 64-bit hashes of all words, number of words of each text)."""
     words = [(t or "").encode().split() for t in texts]  # bytes: white space of ASCII only
     n = np.array([len(w) for w in words], np.int64)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for own in words for w in own), np.uint64, int(n.sum()))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, int(n.sum()))
     return words, hashes, n
 
 
@@ -137,8 +139,12 @@ def _cut(texts: DataFrame, width: int) -> DataFrame:
                 base = np.cumsum(n) - n
                 mine = np.searchsorted(np.cumsum(n), first, "right")
                 inner = first - base[mine]
-                content = [b" ".join(words[d][i:i + k]) for d, i, k in zip(
-                    mine.tolist(), inner.tolist(), (count + width - 1).tolist())]
+                # all words joined once; a stretch is a slice of that
+                joined = b" ".join(chain.from_iterable(words))
+                edge = np.concatenate([[0], np.cumsum(np.fromiter(
+                    map(len, chain.from_iterable(words)), np.int64, int(n.sum())) + 1)])
+                content = [joined[x:y] for x, y in zip(
+                    edge[first].tolist(), (edge[first + count + width - 1] - 1).tolist())]
                 part = np.fromiter(map(xxhash.xxh3_64_intdigest, content), np.uint64, len(content)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(docs[a:b][mine]), pa.array(keys[a:b][mine]), pa.array(route), pa.array(part),
@@ -164,10 +170,10 @@ def first_documents(words: list[bytes], docs: np.ndarray, width: int) -> list[np
 
     One FM-index over all stretches, which then stream past it.
     """
-    split = [w.split(b" ") for w in words]
-    alphabet = {w: i for i, w in enumerate(dict.fromkeys(x for own in split for x in own), 1)}
-    lengths = np.array([len(own) for own in split], np.int64)
-    symbols = np.fromiter((alphabet[x] for own in split for x in own), np.int32, int(lengths.sum()))
+    lengths = np.array([w.count(b" ") + 1 for w in words], np.int64)
+    flat = b" ".join(words).split(b" ")
+    alphabet = {w: i for i, w in enumerate(dict.fromkeys(flat), 1)}
+    symbols = np.fromiter(map(alphabet.__getitem__, flat), np.int32, len(flat))
     index = FmIndex(symbols, lengths, width)
     matched, low, _ = index.matches(symbols, lengths)
     number, starts = index.classes(width)
