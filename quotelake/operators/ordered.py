@@ -54,7 +54,7 @@ def split_hot(bucketed: DataFrame, keys, order, hot_rows=HOT_ROWS) -> DataFrame:
     sample = F.sort_array("_sample")
     at = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda i: F.floor(i * F.size("_sample") / F.col("_parts")))
     cuts = (
-        marked.join(F.broadcast(hot), [*keys, _BUCKET])
+        marked.join(hot, [*keys, _BUCKET])
         .groupBy(*keys, _BUCKET, "_parts").agg(F.collect_list(place).alias("_sample"))
         .select(*keys, _BUCKET, F.transform(at, lambda i: F.get(sample, i.cast("int"))).alias("_cuts"))
     )
