@@ -111,22 +111,15 @@ def drop_exact_duplicates(docs: DataFrame, size: int = BLOCK_BYTES, id_col: str
     """The rows that stay, with all their columns: of equal texts that of the largest id (null below all); of repeated rows one.
 
     A null text counts as empty, so of all null and empty texts one row stays; an empty table gives no rows. Further
-    columns may have any name; of rows that share id and text but differ in them an arbitrary one stays. Only rows whose id and
-    text occur more than once among the staying ones are numbered, the others pass as they are.
+    columns may have any name; of rows that share id and text but differ in them an arbitrary one stays.
     """
     def key(doc_id, sha):
         return F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), sha)
 
     sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
-    found = exact_duplicates(docs, size, id_col, text_col)
-    found = found.select("kept", key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
-    keys = keep(found.groupBy("key").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("kept"), "kept-keys")
-    row = docs.select(F.struct(*docs.columns).alias("row"), key(F.col(id_col).cast("bigint"), sha).alias("key"),
-                      F.spark_partition_id().alias("part"))
-    once = row.join(keys.where("n = 1"), "key", "left_semi").select("row.*")
-    # repeats of one row are numbered within their task first, so one of each task is left to choose from
-    inner = Window.partitionBy("key", "part").orderBy("key")
-    many = row.join(keys.where("n > 1"), "key", "left_semi")
-    many = many.withColumn("nth", F.row_number().over(inner)).where("nth = 1")
-    many = many.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("part"))).where("nth = 1")
-    return once.unionByName(many.select("row.*"))
+    stays = exact_duplicates(docs, size, id_col, text_col).where("kept").select(
+        key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
+    row = docs.select(F.struct(*docs.columns).alias("row"), key(F.col(id_col).cast("bigint"), sha).alias("key"))
+    first = Window.partitionBy("key").orderBy("key")  # as the join has dealt and sorted the rows
+    kept = row.join(stays, "key", "left_semi").withColumn("nth", F.row_number().over(first))
+    return kept.where("nth = 1").select("row.*")

@@ -274,7 +274,9 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
         close.join(of_a, "gid_a").select("gid_a", "gid_b", "more_a"))
     wide = wide_a.select("a", F.col("gid_b").alias("b")).union(
         wide_a.join(of_b, "gid_b").select("a", F.col("more_b").alias("b")))
-    return links.union(verify(wide, texts, classes, size, percent))
+    links = links.union(verify(wide, texts, classes, size, percent))
+    drop(index, lists, members)
+    return links
 
 
 def labelled(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -290,6 +292,7 @@ def labelled(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
         labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "rooted")
     smallest = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = keep(rooted.join(smallest, "root").select("s1", "s2", "root", "component_id"), "named")
+    drop(rooted, classes, labels)
     plain = rows.drop("prefix", *BITS)
     linked = plain.where("n > 0").join(named, ["s1", "s2"]).drop("s1", "s2")
     alone = plain.where("n = 0").select(
