@@ -1,12 +1,11 @@
 """Packing token pieces into sequences by a configuration linear program over the histogram of lengths.
 
-A configuration is a multiset of lengths that fits one sequence. The program asks
-for the fewest configurations that hold every length as often as it occurs.
-Multiplicative weights solve it: each length has a weight that falls as it gets
-covered, a knapsack dynamic program prices the best configuration under these
-weights, and configurations are taken in whole numbers; what that leaves is packed
-best-fit. All of this sees only the histogram, at most one number per length.
-Pieces then find their sequence by their rank among equal lengths.
+A configuration is a multiset of lengths that fits one sequence. The program asks for the fewest configurations, in
+fractions, that cover every length as often as it occurs. Multiplicative weights solve it: a length's weight falls as its
+demand gets covered, a knapsack dynamic program prices configurations under these weights, steps take configurations
+whose price is close to the best, and the steps of the second half are averaged. The averaged solution is rounded to
+whole sequences, and what rounding leaves is packed best-fit. Every pricing also bounds the program from below. All of this
+sees only the histogram, at most one number per length. Pieces then find their sequence by their rank among equal lengths.
 """
 
 from __future__ import annotations
@@ -24,10 +23,10 @@ from quotelake.llm.chunked import encoder, slices
 from quotelake.llm.tables import keep
 
 CAPACITY = 1024
-STEPS = 450  # configurations priced
-RATE = 0.1  # how fast weights fall
-POWER = 1.2  # of a length in its first price
-CHECK = 25  # steps between two roundings
+STEPS = 300  # pricings of the program
+RATE = 0.1  # how fast a weight falls with the covered share of its length's demand
+SLACK = 0.005  # share of the best price that a configuration may lack
+BATCH = 32  # configurations taken at the prices of one pricing
 PIECES = ("doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT, block INT, nth BIGINT")
 
 
@@ -62,52 +61,110 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int
     return texts.mapInArrow(cut, PIECES)
 
 
-def best_configuration(prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of the highest total price that fits. `prices` by length, 0 for lengths not wanted."""
-    sizes = np.flatnonzero(prices > 0)
-    worth, total, pick = prices[sizes], np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """By room, the highest total price of lengths that fit, and one length of such a choice (0: the room stays short)."""
+    total, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for room in range(1, capacity + 1):
-        k = np.searchsorted(sizes, room, "right")
-        total[room] = total[room - 1]
-        if k:
-            values = total[room - sizes[:k]] + worth[:k]
-            best = int(values.argmax())
-            if values[best] > total[room]:
-                total[room], pick[room] = values[best], sizes[best]
-    found, room = Counter(), capacity
+        values = prices[1:room + 1] + total[room - 1::-1]
+        best = int(values.argmax())
+        if prices[best + 1] > 0 and values[best] > total[room - 1]:
+            total[room], pick[room] = values[best], best + 1
+        else:
+            total[room] = total[room - 1]
+    return total, pick
+
+
+def read_off(total: np.ndarray, pick: np.ndarray, prices: np.ndarray, room: int, free: np.ndarray,
+             found: Counter | None = None) -> Counter:
+    """A choice of the table that adds to `found` and takes no length more often than `free` says; where the table's own
+    length is used up, the best of the others."""
+    found = Counter() if found is None else found
     while room > 0:
-        if pick[room]:
-            found[int(pick[room])] += 1
-            room -= int(pick[room])
+        size = int(pick[room])
+        if size and found[size] >= free[size]:
+            spent = np.array([s for s, t in found.items() if t >= free[s]], np.int64)
+            values = np.where((prices[1:room + 1] > 0) & (free[1:room + 1] > 0),
+                              prices[1:room + 1] + total[room - 1::-1], -1.0)
+            values[spent[spent <= room] - 1] = -1.0
+            size = int(values.argmax()) + 1
+            size = size if values[size - 1] > total[room - 1] * (1 - SLACK) else 0
+        if size:
+            found[size] += 1
+            room -= size
         else:
             room -= 1
     return found
 
 
-def price_and_place(need: np.ndarray, capacity: int, steps: int = STEPS, rate: float = RATE, power: float = POWER):
-    """Multiplicative weights over the program; yields (configuration, how often, what is left) step by step.
+def best_configuration(prices: np.ndarray, capacity: int) -> dict[int, int]:
+    """The multiset of lengths of the highest total price that fits. `prices` by length, 0 for lengths not wanted."""
+    return read_off(*knapsack(prices, capacity), prices, capacity, np.full(capacity + 1, capacity + 1))
+
 
-    A length's dual price starts at its size to a power a little over 1, so that long pieces, which
-    fit few others, go first; its weight falls with the share of it that a step covers. A step
-    takes the best-priced configuration as often as its scarcest length allows, rounded down to whole sequences.
+def fractional(need: np.ndarray, capacity: int, steps: int = STEPS, rate: float = RATE,
+               first: np.ndarray | None = None) -> tuple[dict[tuple, float], float]:
+    """The program by multiplicative weights: configurations with their amounts, and a lower bound of the optimum.
+
+    Prices are duals: a length's share of a sequence (or `first`) times its weight, exp(-rate * covered share of its
+    demand). Each step prices by one dynamic program and takes up to `BATCH` configurations, those of the least covered
+    lengths first, whose price lacks at most `SLACK` of the best; a step moves no length by more than its demand. Any
+    prices divided by the best configuration's price are feasible duals, which gives the bound. Amounts are the average over the
+    second half of the steps, scaled to the whole demand in tokens.
     """
-    rest, sizes = need.copy(), np.arange(len(need)) / capacity
-    weights = np.ones(len(need))
-    for _ in range(steps):
-        if not rest.any():
-            break
-        found = best_configuration(np.where(rest > 0, sizes ** power * weights, 0), capacity)
-        # the price takes lengths as often as it likes; room left by those that run short is filled
-        config = Counter({size: min(times, int(rest[size])) for size, times in found.items()})
-        left = rest.copy()
-        for s, t in config.items():
-            left[s] -= t
-        config = fill(config, left, capacity - sum(s * t for s, t in config.items()))
-        copies = min(int(rest[s]) // t for s, t in config.items())
+    sizes, span = np.flatnonzero(need), np.arange(capacity + 1)
+    start = span / capacity if first is None else first
+    cover, amounts, bound, since = np.zeros(capacity + 1), Counter(), 0.0, None
+
+    def take(config, moved):
+        amount = min(need[s] * (1 - moved[s]) / t for s, t in config.items())
         for s, t in config.items():
-            rest[s] -= t * copies
-            weights[s] *= np.exp(-rate * t * copies / need[s])
-        yield dict(config), copies, rest
+            share = moved[s] + amount * t / need[s]
+            moved[s] = 1 if share > 1 - 1e-9 else share
+        if since is not None:
+            amounts[tuple(sorted(config.items(), reverse=True))] += amount
+
+    for step in range(steps):
+        if step == steps // 2:
+            since = cover.copy()
+        prices = np.where(need > 0, start * np.exp(-rate * (cover - cover[sizes].min())), 0)
+        total, pick = knapsack(prices, capacity)
+        bound = max(bound, float(need @ prices) / total[capacity])
+        own = prices[sizes] + total[capacity - sizes]
+        near = sizes[own >= total[capacity] * (1 - SLACK)]
+        moved, taken, best = np.zeros(capacity + 1), 0, (0.0, None)
+        for size in near[np.argsort(cover[near], kind="stable")][:2 * BATCH].tolist():
+            if moved[size] == 1:
+                continue
+            config = read_off(total, pick, prices, capacity - size, np.where(moved < 1, need, 0), Counter({size: 1}))
+            price = sum(prices[s] * t for s, t in config.items())
+            best = max(best, (price, config), key=lambda b: b[0])
+            if price >= total[capacity] * (1 - SLACK):
+                take(config, moved)
+                taken += 1
+            if taken == BATCH:
+                break
+        if not taken:  # the table takes lengths more often than they occur; of those that don't, the best one seen
+            take(best[1], moved)
+        cover += moved
+    tokens = need * span
+    scale = float(tokens.sum()) / max(float(tokens @ (cover - since)), 1e-12)
+    return {config: amount * scale for config, amount in amounts.items()}, bound
+
+
+def rounded(amounts: dict[tuple, float], need: np.ndarray) -> tuple[list[tuple[dict, int]], np.ndarray]:
+    """Whole sequences along the running total of the amounts, largest first, never more than is left of a length;
+    and what they leave."""
+    rest, plan, running = need.copy(), [], 0.0
+    for config, amount in sorted(amounts.items(), key=lambda c: (-c[1], c[0])):
+        running += amount
+        copies = min(int(running), *(int(rest[s]) // t for s, t in config))
+        if copies:
+            running -= copies
+            for s, t in config:
+                rest[s] -= t * copies
+            plan.append((dict(config), copies))
+        running = min(running, 1.0)
+    return plan, rest
 
 
 def fill(config: Counter, left: np.ndarray, room: int) -> Counter:
@@ -148,17 +205,10 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dic
     if need[capacity]:
         plan.append(({capacity: 1}, int(need[capacity])))  # full pieces fill a sequence each
         need[capacity] = 0
-    placed, used, best = [], 0, None
-    for config, copies, rest in price_and_place(need, capacity):
-        placed.append((config, copies))
-        used += copies
-        if len(placed) % CHECK == 0 or not rest.any():
-            # round here: the rest is packed best-fit; the cheapest point on the way counts
-            tail = best_fit(rest, capacity)
-            total = used + sum(n for _, n in tail)
-            if best is None or total < best[0]:
-                best = total, plan + placed + tail
-    return best[1] if best else plan + placed
+    if need.any():
+        whole, rest = rounded(fractional(need, capacity)[0], need)
+        plan += whole + best_fit(rest, capacity)
+    return plan
 
 
 def places(plan: list[tuple[dict, int]]) -> dict[int, np.ndarray]:

@@ -49,6 +49,54 @@ def test_work_depends_on_lengths_not_on_counts():
     assert packing.solve({}) == []
 
 
+def demand(**counts):
+    need = np.zeros(1025, np.int64)
+    for size, times in counts.items():
+        need[int(size[1:])] = times
+    return need
+
+
+@pytest.mark.parametrize("counts, optimum", [
+    ({"n600": 1000}, 1000), ({"n512": 1000}, 500), ({"n400": 1000, "n600": 1000}, 1000), ({"n341": 3000, "n700": 10}, 1010)])
+def test_the_program_nears_its_optimum_and_its_bound_is_below(counts, optimum):
+    need = demand(**counts)
+    amounts, bound = packing.fractional(need, 1024)
+    assert bound <= optimum + 1e-6
+    covered = np.zeros(1025)
+    for config, amount in amounts.items():
+        assert sum(s * t for s, t in config) <= 1024 and amount > 0
+        for s, t in config:
+            covered[s] += amount * t
+    sizes = np.arange(1025)
+    assert (covered @ sizes) == pytest.approx(need @ sizes)
+    assert sum(amounts.values()) <= optimum * 1.05
+
+
+def test_the_bound_is_feasible_and_the_average_is_close_to_it():
+    rng = np.random.default_rng(5)
+    need = np.bincount(np.minimum(rng.geometric(0.006, 200000), 1023), minlength=1025)
+    amounts, bound = packing.fractional(need, 1024)
+    assert int(need @ np.arange(1025)) / 1024 <= bound + 1e-6 <= sum(amounts.values()) * 1.001
+    assert sum(amounts.values()) <= bound * 1.005
+
+
+def test_weights_decide_the_plan():
+    rng = np.random.default_rng(6)
+    need = np.bincount(np.minimum(rng.geometric(0.006, 5000), 1023), minlength=1025)
+    right = packing.fractional(need, 1024, steps=60)[0]
+    frozen = packing.fractional(need, 1024, steps=60, rate=0.0)[0]
+    wrong = packing.fractional(need, 1024, steps=60, first=np.ones(1025))[0]  # every length worth the same
+    left = [int(packing.rounded(a, need)[1] @ np.arange(1025)) for a in (right, frozen, wrong)]
+    assert set(right) != set(frozen) and set(right) != set(wrong)
+    assert left[0] < left[1] and left[0] < left[2]  # what rounding leaves: right weights cover the demand most evenly
+
+
+def test_rounding_takes_whole_sequences_and_no_more_than_there_is():
+    need = demand(n400=10, n600=10)
+    plan, rest = packing.rounded({((600, 1), (400, 1)): 8.4, ((400, 2),): 2.2, ((600, 1),): 1.6}, need)
+    assert plan == [({600: 1, 400: 1}, 8), ({400: 2}, 1), ({600: 1}, 2)] and not rest.any()
+
+
 def test_packed_rows(spark):
     rows = [(i, "word " * (i * 37 % 700)) for i in range(60)] + [(3, "again"), (None, None), (70, ""), (71, "z" * 9000)]
     docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id LONG, text STRING, length INT").repartition(5)
