@@ -1,7 +1,7 @@
 """Line-first cleaning: rules fail single lines, and documents that lose too much text with them are rejected.
 
-Lines fail for navigation (link bars and menus), symbol noise, shouting,
-boilerplate, a missing sentence end, and repetition of an earlier line or within the line.
+Lines fail for navigation (link bars and runs of short lines without a mark), symbol noise, shouting (marks or
+capitals), boilerplate, a missing sentence end, and repetition of an earlier line or within the line.
 """
 
 from __future__ import annotations
@@ -24,12 +24,29 @@ MAX_REPEATED = 30  # percent of words in repeated windows
 MAX_BARS = 20  # percent of a line's words that are bars
 MAX_SYMBOLS = 10  # percent of a line's word characters that are symbols
 MAX_SHOUTS = 30  # percent of a line's words that end in !!
+CAPITALS = 10, 60  # A-Z and a-z of a line from which their share of capitals counts, and its limit in percent
 MAX_REPEAT_LINE = 50  # percent of a line's words that repeat the word before
 LONG_LINE = 100  # words without any sentence mark
+PROSE_LINE = 10  # words from which a line has to end with a sentence mark,
+SPARSE = 40  # if it has fewer than one mark for so many words and the next line doesn't go on in lower case
+MENU_WORDS, MENU_LINES = 4, 3  # words of an unmarked line, and such lines in a row, that make a menu
 MAX_LOST = 50  # percent of word characters in failed lines
 BOILERPLATE = [b"lorem ipsum", b"all rights reserved", b"cookie policy", b"privacy policy", b"terms of use",
                b"enable javascript"]
-_MARKS = re.compile(r"[.!?:;\u2026\u3002\uff01\uff1f]")
+STOPS, COMMAS, CLOSING, SEPARATORS = ".!?:;…。！？；：", ",、，", "\"')]”’»", ">»›•·"
+
+
+def _any(characters: str) -> bytes:
+    """A pattern for one of some characters in UTF-8."""
+    return b"(?:" + b"|".join(re.escape(c.encode()) for c in characters) + b")"
+
+
+_STOP, _MARK = re.compile(_any(STOPS)), re.compile(_any(STOPS + COMMAS))
+_END = re.compile(_any(STOPS) + _any(CLOSING) + rb"*\Z")
+_GOES_ON = re.compile(r"[ \t\v\f\r]*[a-zß-öø-ÿ]")
+_BETWEEN = {c.encode() for c in SEPARATORS}
+_NOT_CAPITAL, _NOT_LETTER = (bytes(i for i in range(256) if not chr(i).isascii() or not test(chr(i)))
+                             for test in (str.isupper, str.isalpha))
 
 
 def _code_points(raw: bytes) -> int:
@@ -37,24 +54,50 @@ def _code_points(raw: bytes) -> int:
     return len(b"".join(raw.split()).decode())
 
 
-def line_fails(words: list[bytes], line: bytes) -> bool:
-    """Whether a line with words fails one of the rules that look at the line alone."""
+def line_fails(words: list[bytes], line: bytes, after: bytes = b"") -> bool:
+    """Whether a line with words fails one of the rules that look at it and, for a sentence that goes on, at the line after."""
     n = len(words)
-    if b"|" in line and 100 * words.count(b"|") > MAX_BARS * n:
+    bars = words.count(b"|") if b"|" in line else 0
+    if not _BETWEEN.isdisjoint(words):
+        bars += sum(w in _BETWEEN for w in words[1:])  # the first may open an item of a list
+    if 100 * bars > MAX_BARS * n:
         return True
     symbols = len(line) - len(line.translate(None, _SYMBOLS))
     if symbols and 100 * symbols > MAX_SYMBOLS * _code_points(line):
         return True
     if b"!!" in line and 100 * sum(w.endswith(b"!!") for w in words) > MAX_SHOUTS * n:
         return True
+    letters = len(line.translate(None, _NOT_LETTER))
+    if letters >= CAPITALS[0] and 100 * len(line.translate(None, _NOT_CAPITAL)) > CAPITALS[1] * letters:
+        return True
     if n > 1 and 100 * sum(map(eq, words, words[1:])) > MAX_REPEAT_LINE * (n - 1):
         return True
-    if n > LONG_LINE and not _MARKS.search(line.decode()):
+    if n > LONG_LINE and not _STOP.search(line):
+        return True
+    if (n >= PROSE_LINE and not _END.search(words[-1]) and SPARSE * len(_STOP.findall(line)) < n
+            and not _GOES_ON.match(after.decode())):
         return True
     low = line.lower()
     return any(phrase in low for phrase in BOILERPLATE)
 
 
+def menu_lines(lines: list[bytes], words: list[list[bytes]]) -> set[int]:
+    """Places of lines in runs of short lines without a mark; lines without words don't part a run."""
+    found, run = set(), []
+    for i, own in enumerate(words):
+        if not own:
+            continue
+        if len(own) <= MENU_WORDS and not _MARK.search(lines[i]):
+            run.append(i)
+            if len(run) == MENU_LINES:
+                found.update(run)
+            elif len(run) > MENU_LINES:
+                found.add(i)
+        else:
+            run = []
+    return found
+
+
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     """Words inside a window that occurs twice or more. Windows get exact integer names by pairing names of halves."""
     if len(words) <= window:
@@ -78,12 +121,14 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
 
 def _line_verdicts(raw: bytes):
     """(line, words, whether it equals an earlier line, whether it fails) in order."""
-    seen = set()
-    for line in raw.split(b"\n"):
-        words = line.split()
+    seen, lines = set(), raw.split(b"\n")
+    split = [line.split() for line in lines]
+    menus = menu_lines(lines, split)
+    for i, (line, words) in enumerate(zip(lines, split)):
         again = bool(words) and line in seen
         seen.add(line)
-        yield line, words, again, bool(words) and (again or line_fails(words, line))
+        after = lines[i + 1] if i + 1 < len(lines) else b""
+        yield line, words, again, bool(words) and (again or i in menus or line_fails(words, line, after))
 
 
 def measure(text: str) -> tuple:

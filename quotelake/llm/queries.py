@@ -86,12 +86,18 @@ def op13_sequence_trie(spark, sf_dir):
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
-_LINE_FAILS = f"""
-    100 * len(list_filter(own, lambda x: x = '|')) > 20 * len(own)
+_STOPS = ".!?:;…。！？；："
+_LINE_FAILS = rf"""
+    100 * (len(list_filter(own, lambda x: x = '|')) + len(list_filter(own[2:], lambda x: x IN ('>', '»', '›', '•', '·')))) > 20 * len(own)
     OR 100 * (length(line) - length(translate(line, '#*$%&|<>', ''))) > 10 * chars
     OR 100 * len(list_filter(own, lambda x: ends_with(x, '!!'))) > 30 * len(own)
+    OR (letters >= 10 AND 100 * length(regexp_replace(line, '[^A-Z]', '', 'g')) > 60 * letters)
     OR (len(own) > 1 AND 100 * len(list_filter(own, lambda x, i: i > 1 AND x = own[i - 1])) > 50 * (len(own) - 1))
-    OR (len(own) > 100 AND NOT regexp_matches(line, '[.!?:;…。！？]'))
+    OR (len(own) > 100 AND stops = 0)
+    OR (len(own) >= 10 AND NOT regexp_matches(own[-1], '[{_STOPS}]["'')\]”’»]*$') AND 40 * stops < len(own)
+        AND NOT regexp_matches(coalesce(after, ''), '^[\x20\x09-\x0D]*[a-zß-öø-ÿ]'))
+    OR greatest(sum(short) OVER (o ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), sum(short) OVER (o ROWS BETWEEN 1 PRECEDING
+        AND 1 FOLLOWING), sum(short) OVER (o ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) = 3
     OR regexp_matches({_FOLD.format('line')},
         'lorem ipsum|all rights reserved|cookie policy|privacy policy|terms of use|enable javascript')"""
 
@@ -108,11 +114,17 @@ c AS (SELECT doc_id, max(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETW
 n AS (SELECT doc_id, CAST(sum(hit) AS BIGINT) AS n_repeat_words FROM c GROUP BY doc_id),
 s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
     generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM w),
-l AS (SELECT doc_id, line, {_WORDS.format('line')} AS own, length(array_to_string(own, '')) AS chars,
-    row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS again FROM s),
+l AS (SELECT doc_id, line, pos, {_WORDS.format('line')} AS own, length(array_to_string(own, '')) AS chars,
+    row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS again,
+    lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS after,
+    length(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS letters,
+    length(line) - length(translate(line, '{_STOPS}', '')) AS stops,
+    CAST(len(own) <= 4 AND NOT regexp_matches(line, '[{_STOPS},、，]') AS INTEGER) AS short FROM s),
+v AS (SELECT doc_id, chars, again, {_LINE_FAILS} AS fails FROM l WHERE len(own) > 0
+    WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 j AS (SELECT doc_id, CAST(count(*) FILTER (WHERE again) AS BIGINT) AS n_dup_lines,
-    CAST(coalesce(sum(chars) FILTER (WHERE again OR {_LINE_FAILS}), 0) AS BIGINT) AS lost_chars
-    FROM l WHERE len(own) > 0 GROUP BY doc_id),
+    CAST(coalesce(sum(chars) FILTER (WHERE again OR fails), 0) AS BIGINT) AS lost_chars
+    FROM v GROUP BY doc_id),
 m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
     CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,

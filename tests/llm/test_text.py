@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +63,38 @@ def test_rules_keep_clean_documents_and_take_failed_lines_out(spark):
     assert keep_clean(docs.limit(0)).collect() == []
 
 
+WRAPPED = ("In the spring of that year the river rose higher than anyone could\nremember and carried off the bridge, two barns and\n"
+           "most of the lower orchard. Nobody was hurt, since the miller had seen\nthe water coming and rung the bell for an hour.")
+MENU = "\n".join(f"Home{i} About{i} Products{i}" for i in range(60))
+
+
+@pytest.mark.parametrize("text, kept", [
+    (MENU, False), ("\n\n".join(MENU.split("\n")), False),
+    ("\n".join(f"THIS IS LINE {i} OF A VERY LOUD TEXT." for i in range(30)), False),
+    ("\n".join(f"News {i} > Sport {i} > Football {i}" for i in range(20)), False),
+    ("\n".join(f"Tea {i} · Milk {i} · Bread {i} · Eggs {i}" for i in range(20)), False),
+    ("\n".join(f"Great phone {i} best offer of this week with free delivery everywhere" for i in range(30)), False),
+    (WRAPPED, True), (PROSE + " On clear days one can see as far as the second ridge behind it", True),
+    ("A Day at the Mill\nJohn Smith\n\n" + WRAPPED, True),
+    ("• The table is made of oak.\n• Two chairs came from the old school.\n• Nobody knows who built the cupboard.\n"
+     "• A lamp was left behind by the tenants.", True)])
+def test_menus_capitals_and_fragments_fail_and_prose_does_not(text, kept):
+    assert measure(text)[-1] is kept
+
+
+def test_lines_of_every_mark_match_sql():
+    rng = random.Random(1)
+    bits = ["Home", "ABOUT", "US", "a", "the", "river.", "old,", "·", "•", "|", ">", "!!", "x!!", "end.”", "(so.)", "…", "これは。",
+            " ", "ÜBER", "über", "\r", "\t", "Cat", "DOG", "#", "word", "word", "and", "NASA", "one;", ":", "\x00", "\u2028"]
+    texts = ["\n".join(" ".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 9, 10, 12, 45, 110])))
+                       for _ in range(rng.randint(0, 9))) for _ in range(1500)]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}))
+    found = con.execute(LINE_QUALITY)
+    order = [[c[0] for c in found.description].index(f) for f in ["doc_id", *line_rules.FIELDS]]
+    assert sorted(tuple(r[k] for k in order) for r in found.fetchall()) == [(i, *measure(t)) for i, t in enumerate(texts)]
+
+
 def test_good_labels_are_kept_and_bad_ones_go(sf_dir):
     docs = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pandas()
     both = docs.merge(pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pandas(), on="doc_id")
