@@ -305,6 +305,54 @@ def _(spark, d):
                                  F.lit(seen["failed"]).cast("bigint").alias("failed"))
 
 
+# The job's messages are one second apart, by id, so that every table of the job has one right content.
+_SPACED = "spaced AS (SELECT * REPLACE (TIMESTAMP '2024-01-01' + to_seconds(id) AS timestamp) FROM ticks)"
+
+
+@query("stock_job", f"""
+WITH {_SPACED}, {_FED.replace("FROM ticks", "FROM spaced")}, {_FED_PRICE}, hours AS (
+  SELECT symbol, time_bucket(INTERVAL 1 HOUR, timestamp) AS h, arg_max(price, id) AS price, arg_max(volume, id) AS volume,
+         sum(volume) // count(*) AS mean, count(*) AS ticks
+  FROM fed GROUP BY ALL)
+SELECT 'price_averages' AS output, symbol, time_bucket(INTERVAL 5 MINUTE, timestamp) + INTERVAL 5 MINUTE AS at,
+       ((2 * CAST(sum(price) * 10000 AS HUGEINT) + count(*)) // (2 * count(*))) / 10000.0::DOUBLE AS price,
+       count(*) AS amount FROM fed GROUP BY ALL
+UNION ALL SELECT 'stock_data_processed', symbol, timestamp, CAST(price AS DOUBLE), volume FROM fed
+UNION ALL SELECT alert_type, symbol, NULL, CAST(previous_price AS DOUBLE), volume FROM price_alerts
+UNION ALL SELECT 'HIGH_VOLUME', symbol, NULL, CAST(price AS DOUBLE), volume FROM hours WHERE ticks > 1 AND volume > mean * 3
+""", ["ticks"])
+def _(spark, d):
+    """The whole stock job from its topic to its three outputs, stopped after half of the messages and started again."""
+    root = scratch_path(spark, "stock-job")
+    ticks = fed_ticks(A.ticks(spark, d))
+    half = (ticks.agg(F.max("id")).first()[0] or 0) // 2
+    start = F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    fields = ["symbol", "price", "volume", "timestamp", "change", "change_percent", "source"]
+    spaced = ticks.withColumn("timestamp", start + F.col("id"))
+    end = spark.range(1).select(
+        F.lit("end").alias("symbol"), F.lit(1).cast("decimal(19,4)").alias("price"), F.lit(1).cast("bigint").alias("volume"),
+        F.unix_timestamp(F.lit(END).cast("timestamp")).alias("timestamp"), F.lit(0).cast("decimal(19,4)").alias("change"),
+        F.lit(0.0).alias("change_percent"), F.lit("end").alias("source"))
+    later = spaced.where(F.col("id") > half).select(*fields).unionByName(end)
+    for part in (spaced.where(F.col("id") <= half).select(*fields), later):
+        K.publish(part.select(F.to_json(F.struct(*fields)).alias("value"), F.lit(TP.STOCK).alias("topic")),
+                  folder=f"{root}/topics")
+        lines = TP.read_topic(spark, TP.STOCK, folder=f"{root}/topics")
+        for q in J.start_stock_job(lines, f"{root}/out", f"{root}/checkpoint", trigger=NOW):
+            q.awaitTermination()
+
+    def rows(df, output, at, price, amount):
+        return df.select(F.expr(output).alias("output"), "symbol", F.expr(at).cast("timestamp_ntz").alias("at"),
+                         F.expr(price).cast("double").alias("price"), F.expr(amount).cast("bigint").alias("amount"))
+
+    averages = spark.read.schema(W.window_price_stats(tick_stream(spark, d)).schema).parquet(f"{root}/out/price_averages")
+    alerts = spark.read.text(f"{root}/out/stock_alerts").select(F.from_json(
+        "value", "symbol STRING, alertType STRING, previousPrice DOUBLE, volume BIGINT").alias("a")).select("a.*")
+    return rows(averages, "'price_averages'", "window_end", "avg_price", "tick_count").unionByName(
+        rows(K.read_processed(spark, f"{root}/out/stock_data_processed").where("symbol <> 'end'"), "'stock_data_processed'",
+             "timestamp", "price", "volume")).unionByName(rows(alerts, "alertType", "NULL", "previousPrice", "volume"))
+
+
 @query("read_topics", """
 SELECT topic, count(*) AS messages FROM (
   SELECT 'stock-data' AS topic FROM ticks UNION ALL SELECT 'economic-data' FROM observations) GROUP BY topic
