@@ -7,8 +7,9 @@ index of prefixes. Group pairs are filtered by size and position, expanded to
 members, and verified on whole sets. Links are followed to components.
 
 A list of the index never becomes all its pairs at once: while the lists still hold many
-pairs of different components, each list is compared with one pivot group and the
-components grow. What is left after that is compared in full, so nothing is lost.
+pairs of different components, each group is compared with the most promising pivot of its lists
+and the components grow; lists of one component leave. What is left is compared in full, so nothing is lost,
+but first by a few pairs for each pair of components, since one link makes all others of it needless.
 """
 
 from __future__ import annotations
@@ -19,12 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quotelake.llm.chunked import slices
 from quotelake.llm.tables import drop, keep
 
 BUCKETS = 1 << 17  # of shingle counts that make the order; any order gives the same result
 SLOTS = 1 << 23  # bits of the filter for documents whose sets are needed
 PAIRS_PER_ROW = 2  # pairs of different components that a row of the index may still stand for
-PIVOTS = 4  # groups that each list is compared with in a round
+PIVOTS = 4  # groups of each list that may be compared with in a round
+SLICE_CHARS = 2_000_000  # characters of a batch whose sets are in a worker's memory at once
+TRIES = 4  # pairs that are compared first for two components
 SHRINK = 0.95  # a round has to bring the components in all lists below this share, or the rest is compared in full
 _MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93,
         0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3]  # odd multipliers, one for each place
@@ -54,13 +58,14 @@ def similar(both, size_a, size_b, percent: int):
     return (100 + percent) * both >= percent * (size_a + size_b)
 
 
-BITS = [f"bits{i}" for i in range(4)]
+BITS = [f"bits{i}" for i in range(8)]
+MARKED = 256  # first members of a set that have bits
 
 
 def bit_words(members: np.ndarray) -> list[int]:
-    """256 bits: one for each member, by parts of its number that decide nothing else."""
+    """512 bits: one for each member, by parts of its number that decide nothing else."""
     words = np.zeros(len(BITS), np.uint64)
-    np.bitwise_or.at(words, ((members >> np.uint64(46)) & np.uint64(3)).astype(np.int64),
+    np.bitwise_or.at(words, ((members >> np.uint64(46)) & np.uint64(7)).astype(np.int64),
                      np.uint64(1) << ((members >> np.uint64(40)) & np.uint64(63)))
     return words.view(np.int64).tolist()
 
@@ -95,17 +100,20 @@ def set_rows(texts: DataFrame, size: int, percent: int, counts: np.ndarray) -> D
 
     def describe(batches):
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                found = shingle_set(text, size)
-                order = np.lexsort((found, counts[(found & np.uint64(BUCKETS - 1)).astype(np.int64)]))
-                first = found[order[:prefix_length(len(found), percent)]]
-                rows.append((len(found), *_signature(found), *bit_words(first), first.view(np.int64)))
-            columns = list(zip(*rows)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(columns[0], pa.int32()),
-                 *(pa.array(c, pa.int64()) for c in columns[1:7]), pa.array(columns[7], pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "n", "s1", "s2", *BITS, "prefix"])
+            texts_of = batch.column(1).to_pylist()
+            for a, b in slices(texts_of, SLICE_CHARS):
+                rows = []
+                for text in texts_of[a:b]:
+                    found = shingle_set(text, size)
+                    order = np.lexsort((found, counts[(found & np.uint64(BUCKETS - 1)).astype(np.int64)]))
+                    first = found[order[:prefix_length(len(found), percent)]]
+                    marks = bit_words(found[order[:MARKED]])
+                    rows.append((len(found), *_signature(found), *marks, first.view(np.int64)))
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(columns[0], pa.int32()),
+                     *(pa.array(c, pa.int64()) for c in columns[1:-1]), pa.array(columns[-1], pa.list_(pa.int64()))],
+                    ["doc_id", "text_key", "n", "s1", "s2", *BITS, "prefix"])
 
     return texts.mapInArrow(
         describe, "doc_id BIGINT, text_key BIGINT, n INT, s1 BIGINT, s2 BIGINT, "
@@ -132,16 +140,15 @@ def _sets_of(wanted: DataFrame, texts: DataFrame, classes: DataFrame, size: int)
     def cut(batches):
         for batch in batches:
             slots = batch.column(2).to_numpy()
-            hit = np.flatnonzero(bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1)
-            rows = []
-            for doc, text in zip(batch.column(0).take(pa.array(hit)).to_pylist(),
-                                 batch.column(1).take(pa.array(hit)).to_pylist()):
-                found = shingle_set(text, size)
-                rows.append((doc, *_signature(found), found.view(np.int64)))
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(columns[i], pa.int64()) for i in range(3)), pa.array(columns[3], pa.list_(pa.int64()))],
-                ["doc_id", "s1", "s2", "members"])
+            hit = pa.array(np.flatnonzero(bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1))
+            docs, texts_of = batch.column(0).take(hit), batch.column(1).take(hit).to_pylist()
+            for a, b in slices(texts_of, SLICE_CHARS):
+                found = [shingle_set(text, size) for text in texts_of[a:b]]
+                names = list(zip(*map(_signature, found)))
+                yield pa.RecordBatch.from_arrays(
+                    [docs.slice(a, b - a), *(pa.array(n, pa.int64()) for n in names),
+                     pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))],
+                    ["doc_id", "s1", "s2", "members"])
 
     cut_sets = texts.select("doc_id", "text", _slot(F.col("doc_id")).alias("slot")).mapInArrow(
         cut, "doc_id BIGINT, s1 BIGINT, s2 BIGINT, members ARRAY<BIGINT>")
@@ -151,20 +158,56 @@ def _sets_of(wanted: DataFrame, texts: DataFrame, classes: DataFrame, size: int)
     return sets
 
 
-def verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets are similar enough."""
-    pairs = keep(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    sets = _sets_of(wanted, texts, classes, size)
+def _sets_for(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    return _sets_of(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), texts, classes, size)
+
+
+def _similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("cid").alias("a"), F.col("members").alias("of_a"))
     right = sets.select(F.col("cid").alias("b"), F.col("members").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     found = pairs.join(left, "a").join(right, "b").where(similar(both, F.size("of_a"), F.size("of_b"), percent))
-    links = keep(found.select("a", "b").distinct(), "links")
+    return keep(found.select(*pairs.columns).distinct(), "links")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets are similar enough."""
+    pairs = keep(pairs, "pairs")
+    sets = _sets_for(pairs, texts, classes, size)
+    links = _similar_pairs(pairs, sets, percent)
     drop(pairs, sets)
     return links
 
 
+def _rooted(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b, root_a, root_b) of different components, after their roots have been joined by `labels`."""
+    for side in ("root_a", "root_b"):
+        up = labels.select(F.col("node").alias(side), F.col("root").alias("up"))
+        pairs = pairs.join(up, side, "left").withColumn(side, F.coalesce("up", side)).drop("up")
+    return pairs.where("root_a <> root_b").select(
+        "a", "b", F.least("root_a", "root_b").alias("root_a"), F.greatest("root_a", "root_b").alias("root_b"))
+
+
+def _links_between(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Verified links among pairs (a, b, root_a, root_b, share): enough of them for all components.
+
+    Two components are first tried with a few pairs, likely ones first. Those that a link has joined need no other pair; the
+    pairs of all others are compared in full.
+    """
+    pairs = keep(pairs, "pairs")
+    sets = _sets_for(pairs, texts, classes, size)
+    part = F.pmod(F.xxhash64("a", "b"), F.lit(TRIES))
+    chosen = [F.max_by(F.struct("a", "b"), F.struct(part == i, "share", "a", "b")) for i in range(TRIES)]
+    tried = keep(pairs.groupBy("root_a", "root_b").agg(F.array_distinct(F.array(*chosen)).alias("p")).select(
+        "root_a", "root_b", F.explode("p").alias("p")).select("p.*", "root_a", "root_b"), "tried")
+    first = _similar_pairs(tried, sets, percent)
+    labels = components(first.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    rest = keep(_rooted(pairs.join(tried, ["a", "b"], "left_anti"), labels).select("a", "b"), "rest")
+    links = first.select("a", "b").union(_similar_pairs(rest, sets, percent))
+    drop(pairs, sets, tried, labels, rest)
+    return links
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): every node of the links (a, b) with the smallest node it is connected to.
 
@@ -200,37 +243,51 @@ def components(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _fits(percent: int):
-    """Whether rows a and b of one list can belong to a similar pair. Never false for a pair that is similar.
+def _shared():
+    """The most members that rows a and b of one list can have in common, by the bits of their first `MARKED` members.
 
-    By sizes; by place, since the first common member has all others behind it; and by the bits of the prefixes: members
-    whose bit the other side lacks are not common, and behind the prefix that ends first in the order only the
-    rest of its own set can be.
+    Members whose bit the other side lacks are not common, and behind the marked part that ends first in the order only
+    the rest of its own set can be.
     """
     n_a, n_b = F.col("n_a"), F.col("n_b")
-    behind = F.least(n_a - F.col("pos_a"), n_b - F.col("pos_b"))
+    marked = {"a": F.least(n_a, F.lit(MARKED)), "b": F.least(n_b, F.lit(MARKED))}
 
     def common(one, other):
         lacking = [F.bit_count(F.col(f"{b}_{one}").bitwiseAND(F.bitwise_not(F.col(f"{b}_{other}")))) for b in BITS]
-        return F.col(f"p_{one}") - sum(lacking)
+        return marked[one] - sum(lacking)
 
-    shared = F.least(common("a", "b"), common("b", "a")) + F.greatest(n_a - F.col("p_a"), n_b - F.col("p_b"))
+    return F.least(common("a", "b"), common("b", "a")) + F.greatest(n_a - marked["a"], n_b - marked["b"])
+
+
+def _fits(percent: int):
+    """Whether rows a and b of one list can belong to a similar pair. Never false for a pair that is similar.
+
+    By sizes; by place, since the first common member has all others behind it; and by what can be `shared`.
+    """
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    behind = F.least(n_a - F.col("pos_a"), n_b - F.col("pos_b"))
     return ((100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & similar(behind, n_a, n_b, percent)
-            & (F.col("root_a") != F.col("root_b")) & similar(shared, n_a, n_b, percent))
+            & (F.col("root_a") != F.col("root_b")) & similar(F.col("shared"), n_a, n_b, percent))
 
 
-_ROW = ["gid", "n", "p", "pos", *BITS, "root"]
+_ROW = ["gid", "n", "pos", *BITS, "root"]
 
 
 def _side(lists: DataFrame, name: str) -> DataFrame:
     return lists.select("token", *(F.col(c).alias(f"{c}_{name}") for c in _ROW))
 
 
+def _close(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """(gid_a, gid_b, root_a, root_b, share) of rows that may be similar; the higher the share, the likelier."""
+    met = _side(left, "a").join(_side(right, "b"), "token").withColumn("shared", _shared()).where(_fits(percent))
+    return met.select("gid_a", "gid_b", "root_a", "root_b", (F.col("shared") / (F.col("n_a") + F.col("n_b"))).alias("share"))
+
+
 def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Verified links (a, b) between classes: enough of them for all components."""
     keyed = classes.where("n > 0").select(
-        "cid", "n", F.xxhash64(F.lit(1), "prefix").alias("g1"), F.xxhash64(F.lit(2), "prefix").alias("g2"))
-    by_prefix = ["n", "g1", "g2"]
+        "cid", "n", F.xxhash64(F.lit(1), "prefix").alias("g1"), F.xxhash64(F.lit(2), "prefix").alias("g2"), *BITS)
+    by_prefix = ["n", "g1", "g2", *BITS]  # what the index and its filters go by
     many = keyed.groupBy(*by_prefix).agg(F.min("cid").alias("gid"), F.count("*").alias("size")).where("size > 1")
     members = keep(keyed.join(many, by_prefix).select("gid", "cid").where("gid <> cid"), "members")
     links = verify(members.select(F.col("gid").alias("a"), F.col("cid").alias("b")), texts, classes, size, percent)
@@ -239,20 +296,14 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
         links.select(F.col("b").alias("gid")), "gid", "left_anti")
     index = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     common = index.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    index = keep(index.join(common, "token").join(
-        groups.select("gid", F.size("prefix").alias("p"), *BITS), "gid"), "index")
+    index = keep(index.join(common, "token").join(groups.select("gid", *BITS), "gid"), "index")
     inside = links.select(F.col("a").alias("gid"), F.col("b").alias("cid"))
-    before, old = None, ()
+    lists, before = index.withColumn("root", F.col("gid")), None  # members are not in the index, so each group is a root
     for turn in range(64):
-        labels = components(links)
-        lists = keep(index.join(labels.withColumnRenamed("node", "gid"), "gid", "left").withColumn(
-            "root", F.coalesce("root", "gid")), "lists")
-        drop(labels, *old)
-        old = (lists,)
         parts = lists.groupBy("token", "root").count().groupBy("token").agg(
             F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("own"),
             F.count("*").alias("roots"))
-        rows, pairs, roots = parts.where("all * all > own").agg(
+        rows, pairs, roots = parts.where("roots > 1").agg(
             F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2),
                                                            F.lit(0.0)), F.coalesce(F.sum("roots"), F.lit(0))).first()
         if pairs <= PAIRS_PER_ROW * rows or before is not None and roots > SHRINK * before:
@@ -261,21 +312,31 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
         chosen = [F.min_by(F.struct(*_ROW), F.xxhash64(F.lit(PIVOTS * turn + i), "gid")) for i in range(PIVOTS)]
         pivots = lists.groupBy("token").agg(F.array_distinct(F.array(*chosen)).alias("p")).select(
             "token", F.explode("p").alias("p")).select("token", "p.*")
-        close = _side(pivots, "a").join(_side(lists, "b"), "token").where(_fits(percent))
-        links = keep(links.union(verify(close.select(
+        best = _close(pivots, lists, percent).groupBy("gid_b").agg(
+            F.max_by("gid_a", F.struct("share", "gid_a")).alias("gid_a"))
+        links = keep(links.union(verify(best.select(
             F.least("gid_a", "gid_b").alias("a"), F.greatest("gid_a", "gid_b").alias("b")).distinct(),
             texts, classes, size, percent)), "links")
-    close = _side(lists, "a").join(_side(lists, "b"), "token").where(_fits(percent) & (F.col("gid_a") < F.col("gid_b")))
-    close = close.select("gid_a", "gid_b").distinct()
+        labels = components(links)
+        joined = keep(lists.drop("root").join(labels.withColumnRenamed("node", "gid"), "gid", "left").withColumn(
+            "root", F.coalesce("root", "gid")), "joined")
+        still = joined.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        lists = keep(joined.join(still.select("token"), "token", "left_semi"), "lists")
+        drop(labels, joined, index)
+        index = lists
+    close = _close(lists, lists, percent).where("gid_a < gid_b").select(
+        "gid_a", "gid_b", F.least("root_a", "root_b").alias("root_a"), F.greatest("root_a", "root_b").alias("root_b"),
+        "share").distinct()
     # groups to members: a group without further members stands for its first alone
     of_a = inside.select(F.col("gid").alias("gid_a"), F.col("cid").alias("more_a"))
     of_b = inside.select(F.col("gid").alias("gid_b"), F.col("cid").alias("more_b"))
-    wide_a = close.select("gid_a", "gid_b", F.col("gid_a").alias("a")).union(
-        close.join(of_a, "gid_a").select("gid_a", "gid_b", "more_a"))
-    wide = wide_a.select("a", F.col("gid_b").alias("b")).union(
-        wide_a.join(of_b, "gid_b").select("a", F.col("more_b").alias("b")))
-    links = links.union(verify(wide, texts, classes, size, percent))
-    drop(index, lists, members)
+    roots = ["root_a", "root_b", "share"]
+    wide_a = close.select("gid_b", F.col("gid_a").alias("a"), *roots).union(
+        close.join(of_a, "gid_a").select("gid_b", "more_a", *roots))
+    wide = wide_a.select("a", F.col("gid_b").alias("b"), *roots).union(
+        wide_a.join(of_b, "gid_b").select("a", "more_b", *roots))
+    links = links.union(_links_between(wide, texts, classes, size, percent))
+    drop(index, members)
     return links
 
 

@@ -146,3 +146,25 @@ def test_sets_ignore_case_of_ascii_only():
     assert (shingle_set("The END of É", 4) == shingle_set("the end of É", 4)).all()
     assert (shingle_set("a b", 4) != shingle_set("b a", 4)).all()
     assert len(shingle_set(" \n", 4)) == len(shingle_set(None, 4)) == 0
+
+
+def test_near_misses_are_seldom_compared_in_full(spark, monkeypatch):
+    rng = random.Random(4)
+    words, counted, write = [f"v{i}" for i in range(60)], [], group_join.keep
+    rows = []
+    for i in range(300):
+        own = list(words)
+        own[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+
+    def keep(df, name, *more):
+        kept = write(df, name, *more)
+        if name == "pairs":
+            counted.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(group_join, "keep", keep)
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs, 4, 85).collect())
+    assert got == near_by_hand(rows, 4, 85)
+    assert sum(counted) < 10 * len(rows)  # of 44,850
