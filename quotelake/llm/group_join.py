@@ -3,10 +3,10 @@
 Two sets that are similar enough share a member of their prefixes, the first
 members in one order of all shingles, rare ones first. Documents with equal sets
 become one class; classes of equal prefix and size become one group, and only groups enter the
-index of prefixes. Group pairs are filtered by size and position, expanded to
-members, and verified on whole sets. Links are followed to components.
+index of prefixes. A row stays in the index only if its list holds a partner for it by size and place. Group pairs are
+filtered by size, position and bits, expanded to members, and verified on whole sets. Links are followed to components.
 
-A list of the index never becomes all its pairs at once: while the lists still hold many
+Short lists are compared in full. A long one never becomes all its pairs at once: while these lists still hold many
 pairs of different components, each group is compared with the most promising pivot of its lists
 and the components grow; lists of one component leave. What is left is compared in full, so nothing is lost,
 but first by a few pairs for each pair of components, since one link makes all others of it needless.
@@ -14,6 +14,8 @@ but first by a few pairs for each pair of components, since one link makes all o
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,7 +27,8 @@ from quotelake.llm.tables import drop, keep
 
 BUCKETS = 1 << 17  # of shingle counts that make the order; any order gives the same result
 SLOTS = 1 << 23  # bits of the filter for documents whose sets are needed
-PAIRS_PER_ROW = 2  # pairs of different components that a row of the index may still stand for
+SHORT = 8  # rows of a list that is compared in full at once
+PAIRS_PER_ROW = 2  # pairs of different components that a row of a long list may still stand for
 PIVOTS = 4  # groups of each list that may be compared with in a round
 SLICE_CHARS = 2_000_000  # characters of a batch whose sets are in a worker's memory at once
 TRIES = 4  # pairs that are compared first for two components
@@ -173,6 +176,8 @@ def _similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 def verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are similar enough."""
     pairs = keep(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     sets = _sets_for(pairs, texts, classes, size)
     links = _similar_pairs(pairs, sets, percent)
     drop(pairs, sets)
@@ -195,6 +200,8 @@ def _links_between(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size:
     pairs of all others are compared in full.
     """
     pairs = keep(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     sets = _sets_for(pairs, texts, classes, size)
     part = F.pmod(F.xxhash64("a", "b"), F.lit(TRIES))
     chosen = [F.max_by(F.struct("a", "b"), F.struct(part == i, "share", "a", "b")) for i in range(TRIES)]
@@ -259,15 +266,20 @@ def _shared():
     return F.least(common("a", "b"), common("b", "a")) + F.greatest(n_a - marked["a"], n_b - marked["b"])
 
 
+def _placed(percent: int):
+    """By sizes, and by place, since the first common member has all others behind it."""
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    behind = F.least(n_a - F.col("pos_a"), n_b - F.col("pos_b"))
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & similar(behind, n_a, n_b, percent)
+
+
 def _fits(percent: int):
     """Whether rows a and b of one list can belong to a similar pair. Never false for a pair that is similar.
 
-    By sizes; by place, since the first common member has all others behind it; and by what can be `shared`.
+    By what `_placed` says, and by what can be `shared`.
     """
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    behind = F.least(n_a - F.col("pos_a"), n_b - F.col("pos_b"))
-    return ((100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & similar(behind, n_a, n_b, percent)
-            & (F.col("root_a") != F.col("root_b")) & similar(F.col("shared"), n_a, n_b, percent))
+    return (_placed(percent) & (F.col("root_a") != F.col("root_b"))
+            & similar(F.col("shared"), F.col("n_a"), F.col("n_b"), percent))
 
 
 _ROW = ["gid", "n", "pos", *BITS, "root"]
@@ -283,6 +295,54 @@ def _close(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     return met.select("gid_a", "gid_b", "root_a", "root_b", (F.col("shared") / (F.col("n_a") + F.col("n_b"))).alias("share"))
 
 
+def _met(index: DataFrame, percent: int) -> DataFrame:
+    """The rows (token, gid, n, pos) that have a possible partner in their list by size and place.
+
+    Sizes fall in bands such that similar sets lie in one band or in neighbouring ones. The smaller set of a similar pair meets the
+    other in the first part of its prefix, which is `early`. A list is told by three masks of bands, so that a frequent
+    token is summed up before the shuffle; bands that share a bit only let more rows stay.
+    """
+    step = max(math.log(100 / percent) * 1.001, 0.001)  # wider than the ratio, against rounding
+    n, band = F.col("n").cast("bigint"), F.floor(F.log("n") / F.lit(step))
+    rows = index.withColumns({"early": similar(n - F.col("pos"), n, n, percent), "band": band}).withColumns({
+        "own": F.expr("shiftleft(1L, int(band % 64))"), "above": F.expr("shiftleft(1L, int((band + 1) % 64))"),
+        "below": F.expr("shiftleft(1L, int((band + 63) % 64))")})
+    lists = rows.groupBy("token").agg(
+        F.count("*").alias("df"), F.bit_or("own").alias("some"), F.bit_xor("own").alias("odd"),
+        F.bit_or(F.when(F.col("early"), F.col("own")).otherwise(0)).alias("first")).where("df > 1 AND first <> 0")
+    even = F.col("some").bitwiseAND(F.bitwise_not(F.col("odd")))
+
+    def has(mask, band):
+        return mask.bitwiseAND(F.col(band)) != 0
+
+    some, first = F.col("some"), F.col("first")
+    twice = has(even, "own") | (F.col("df") > F.bit_count(some) + F.bit_count(even))  # or unknown
+    larger = F.col("early") & (twice | has(some, "above"))
+    smaller = has(first, "below") | has(first, "own") & twice
+    return rows.join(lists, "token").where(larger | smaller).select("token", "gid", "n", "pos")
+
+
+def _near(lists: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(gid_a, gid_b, share): all pairs of short lists that may be similar, gid_a < gid_b. Bits travel with pairs, not with rows."""
+    def side(name):
+        return lists.select("token", *(F.col(c).alias(f"{c}_{name}") for c in ("gid", "n", "pos")))
+
+    def bits(name):
+        return groups.select(F.col("gid").alias(f"gid_{name}"), F.col("n").alias(f"n_{name}"),
+                             *(F.col(c).alias(f"{c}_{name}") for c in BITS))
+
+    pairs = side("a").join(side("b"), "token").where("gid_a < gid_b").where(_placed(percent)).select(
+        "gid_a", "gid_b").distinct()
+    marked = pairs.join(bits("a"), "gid_a").join(bits("b"), "gid_b").withColumn("shared", _shared())
+    return marked.where(similar(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select(
+        "gid_a", "gid_b", (F.col("shared") / (F.col("n_a") + F.col("n_b"))).alias("share"))
+
+
+def _with_root(rows: DataFrame, labels: DataFrame, gid: str = "gid", root: str = "root") -> DataFrame:
+    return rows.join(labels.select(F.col("node").alias(gid), F.col("root").alias(root)), gid, "left").withColumn(
+        root, F.coalesce(root, gid))
+
+
 def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Verified links (a, b) between classes: enough of them for all components."""
     keyed = classes.where("n > 0").select(
@@ -294,11 +354,16 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
     # members not linked to the first of their group stand for themselves
     groups = classes.where("n > 0").select(F.col("cid").alias("gid"), "n", "prefix", *BITS).join(
         links.select(F.col("b").alias("gid")), "gid", "left_anti")
-    index = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
-    common = index.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    index = keep(index.join(common, "token").join(groups.select("gid", *BITS), "gid"), "index")
+    marks = groups.drop("prefix")
+    index = keep(_met(groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token")), percent), "index")
+    sizes = index.groupBy("token").agg(F.count("*").alias("df"))
+    near = keep(_near(index.join(sizes.where(F.col("df").between(2, SHORT)).select("token"), "token"), marks, percent), "near")
     inside = links.select(F.col("a").alias("gid"), F.col("b").alias("cid"))
-    lists, before = index.withColumn("root", F.col("gid")), None  # members are not in the index, so each group is a root
+    # members are not in the index, so each group is a root
+    lists = keep(index.join(sizes.where(F.col("df") > SHORT).select("token"), "token").join(
+        marks.select("gid", *BITS), "gid").withColumn("root", F.col("gid")), "lists")
+    drop(index)
+    labels, before = None, None
     for turn in range(64):
         parts = lists.groupBy("token", "root").count().groupBy("token").agg(
             F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("own"),
@@ -306,25 +371,26 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
         rows, pairs, roots = parts.where("roots > 1").agg(
             F.coalesce(F.sum("all"), F.lit(0)), F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2),
                                                            F.lit(0.0)), F.coalesce(F.sum("roots"), F.lit(0))).first()
-        if pairs <= PAIRS_PER_ROW * rows or before is not None and roots > SHRINK * before:
+        if turn and (pairs <= PAIRS_PER_ROW * rows or roots > SHRINK * before):
             break  # few pairs, or pivots bring no more: compare what is left in full
         before = roots
-        chosen = [F.min_by(F.struct(*_ROW), F.xxhash64(F.lit(PIVOTS * turn + i), "gid")) for i in range(PIVOTS)]
+        chosen = [F.min_by("gid", F.xxhash64(F.lit(PIVOTS * turn + i), "gid")) for i in range(PIVOTS)]
         pivots = lists.groupBy("token").agg(F.array_distinct(F.array(*chosen)).alias("p")).select(
-            "token", F.explode("p").alias("p")).select("token", "p.*")
-        best = _close(pivots, lists, percent).groupBy("gid_b").agg(
+            "token", F.explode("p").alias("gid")).join(lists, ["token", "gid"])
+        close = _close(pivots, lists, percent).select("gid_a", "gid_b", "share")
+        best = (close if turn else close.union(near)).groupBy("gid_b").agg(
             F.max_by("gid_a", F.struct("share", "gid_a")).alias("gid_a"))
         links = keep(links.union(verify(best.select(
             F.least("gid_a", "gid_b").alias("a"), F.greatest("gid_a", "gid_b").alias("b")).distinct(),
             texts, classes, size, percent)), "links")
+        old = (lists,) if labels is None else (lists, labels)
         labels = components(links)
-        joined = keep(lists.drop("root").join(labels.withColumnRenamed("node", "gid"), "gid", "left").withColumn(
-            "root", F.coalesce("root", "gid")), "joined")
+        joined = keep(_with_root(lists.drop("root"), labels), "joined")
         still = joined.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         lists = keep(joined.join(still.select("token"), "token", "left_semi"), "lists")
-        drop(labels, joined, index)
-        index = lists
-    close = _close(lists, lists, percent).where("gid_a < gid_b").select(
+        drop(joined, *old)
+    apart = _with_root(_with_root(near, labels, "gid_a", "root_a"), labels, "gid_b", "root_b").where("root_a <> root_b")
+    close = _close(lists, lists, percent).where("gid_a < gid_b").unionByName(apart).select(
         "gid_a", "gid_b", F.least("root_a", "root_b").alias("root_a"), F.greatest("root_a", "root_b").alias("root_b"),
         "share").distinct()
     # groups to members: a group without further members stands for its first alone
@@ -336,7 +402,7 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
     wide = wide_a.select("a", F.col("gid_b").alias("b"), *roots).union(
         wide_a.join(of_b, "gid_b").select("a", "more_b", *roots))
     links = links.union(_links_between(wide, texts, classes, size, percent))
-    drop(index, members)
+    drop(lists, near, labels, members)
     return links
 
 

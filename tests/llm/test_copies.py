@@ -168,3 +168,46 @@ def test_near_misses_are_seldom_compared_in_full(spark, monkeypatch):
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs, 4, 85).collect())
     assert got == near_by_hand(rows, 4, 85)
     assert sum(counted) < 10 * len(rows)  # of 44,850
+
+
+@pytest.mark.parametrize("seed, size, percent, short", [(5, 4, 85, 0), (6, 4, 85, 2), (7, 5, 80, 100), (8, 1, 50, 2), (9, 2, 100, 8)])
+def test_short_and_long_lists_give_the_same(spark, monkeypatch, seed, size, percent, short):
+    monkeypatch.setattr(group_join, "SHORT", short)
+    rows = near_rows(seed, bases=6)
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING").repartition(3)
+    got = near_duplicates(docs, size, percent).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == near_by_hand(rows, size, percent)
+
+
+def test_rows_without_a_partner_leave_the_index(spark, monkeypatch):
+    counted, write = [], group_join.keep
+
+    def keep(df, name, *rest):
+        kept = write(df, name, *rest)
+        if name == "index":
+            counted.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(group_join, "keep", keep)
+    passage = " ".join(f"p{i}" for i in range(30))  # in all texts, whose lengths are too different for a link
+    rows = [(k, passage + " " + " ".join(f"d{k}w{i}" for i in range(30 * (3 ** k - 1)))) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    assert sorted(r.component_id for r in near_duplicates(docs, 4, 85).collect()) == [0, 1, 2, 3, 4]
+    assert counted == [0]
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_no_similar_pair_leaves_the_index(spark, percent):
+    rng = random.Random(percent)
+    rows = []
+    for token in range(150):
+        for gid in range(rng.choice([1, 2, 2, 3, 5])):
+            n = rng.choice([1, 2, 4, 17, 20, 100, 117, 118, 200, 400]) + rng.randint(0, 1)
+            rows.append((token, 10 * token + gid, n, rng.randint(0, group_join.prefix_length(n, percent) - 1)))
+    index = spark.createDataFrame(rows, "token LONG, gid LONG, n INT, pos INT")
+    stays = {(r.token, r.gid) for r in group_join._met(index, percent).collect()}
+    for t, g, n, pos in rows:
+        partners = [(m, at) for u, h, m, at in rows if u == t and h != g and 100 * min(n, m) >= percent * max(n, m)
+                    and group_join.similar(min(n - pos, m - at), n, m, percent)]
+        assert not partners or (t, g) in stays
+    assert len(stays) < len(rows)
