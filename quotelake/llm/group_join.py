@@ -363,7 +363,7 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
     lists = keep(index.join(sizes.where(F.col("df") > SHORT).select("token"), "token").join(
         marks.select("gid", *BITS), "gid").withColumn("root", F.col("gid")), "lists")
     drop(index)
-    labels, before = None, None
+    labels, before, tried = None, None, []
     for turn in range(64):
         parts = lists.groupBy("token", "root").count().groupBy("token").agg(
             F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("own"),
@@ -380,9 +380,9 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
         close = _close(pivots, lists, percent).select("gid_a", "gid_b", "share")
         best = (close if turn else close.union(near)).groupBy("gid_b").agg(
             F.max_by("gid_a", F.struct("share", "gid_a")).alias("gid_a"))
-        links = keep(links.union(verify(best.select(
-            F.least("gid_a", "gid_b").alias("a"), F.greatest("gid_a", "gid_b").alias("b")).distinct(),
-            texts, classes, size, percent)), "links")
+        tried.append(keep(best.select(
+            F.least("gid_a", "gid_b").alias("a"), F.greatest("gid_a", "gid_b").alias("b")).distinct(), "tried"))
+        links = keep(links.union(verify(tried[-1], texts, classes, size, percent)), "links")
         old = (lists,) if labels is None else (lists, labels)
         labels = components(links)
         joined = keep(_with_root(lists.drop("root"), labels), "joined")
@@ -401,8 +401,10 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
         close.join(of_a, "gid_a").select("gid_b", "more_a", *roots))
     wide = wide_a.select("a", F.col("gid_b").alias("b"), *roots).union(
         wide_a.join(of_b, "gid_b").select("a", "more_b", *roots))
+    for pairs in tried:  # found dissimilar before
+        wide = wide.join(pairs, ["a", "b"], "left_anti")
     links = links.union(_links_between(wide, texts, classes, size, percent))
-    drop(lists, near, labels, members)
+    drop(lists, near, labels, members, *tried)
     return links
 
 

@@ -196,6 +196,26 @@ def test_rows_without_a_partner_leave_the_index(spark, monkeypatch):
     assert counted == [0]
 
 
+def test_no_pair_is_compared_twice(spark, monkeypatch):
+    compared, right = [], group_join._similar_pairs
+
+    def similar_pairs(pairs, sets, percent):
+        compared.extend((min(p.a, p.b), max(p.a, p.b)) for p in pairs.select("a", "b").collect())
+        return right(pairs, sets, percent)
+
+    monkeypatch.setattr(group_join, "_similar_pairs", similar_pairs)
+    rows = []
+    for k in range(5):  # two texts just below the threshold, and a third one above it
+        words = [f"d{k}w{i}" for i in range(200)]
+        near = words[:]
+        near[50], near[100], near[150], near[199] = (f"d{k}x{i}" for i in range(4))
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(near)), (3 * k + 2, " ".join([*words, "end"]))]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    got = near_duplicates(docs, 4, 88).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == near_by_hand(rows, 4, 88)
+    assert compared and len(compared) == len(set(compared))
+
+
 @pytest.mark.parametrize("percent", [50, 80, 85, 100])
 def test_no_similar_pair_leaves_the_index(spark, percent):
     rng = random.Random(percent)
