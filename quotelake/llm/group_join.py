@@ -15,6 +15,8 @@ but first by a few pairs for each pair of components, since one link makes all o
 from __future__ import annotations
 
 import math
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,11 @@ BITS = [f"bits{i}" for i in range(8)]
 MARKED = 256  # first members of a set that have bits
 
 
+def rare_first(members: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The members of a set in the one order of all shingles."""
+    return members[np.lexsort((members, counts[(members & np.uint64(BUCKETS - 1)).astype(np.int64)]))]
+
+
 def bit_words(members: np.ndarray) -> list[int]:
     """512 bits: one for each member, by parts of its number that decide nothing else."""
     words = np.zeros(len(BITS), np.uint64)
@@ -108,9 +115,9 @@ def set_rows(texts: DataFrame, size: int, percent: int, counts: np.ndarray) -> D
                 rows = []
                 for text in texts_of[a:b]:
                     found = shingle_set(text, size)
-                    order = np.lexsort((found, counts[(found & np.uint64(BUCKETS - 1)).astype(np.int64)]))
-                    first = found[order[:prefix_length(len(found), percent)]]
-                    marks = bit_words(found[order[:MARKED]])
+                    ordered = rare_first(found, counts)
+                    first = ordered[:prefix_length(len(found), percent)]
+                    marks = bit_words(ordered[:MARKED])
                     rows.append((len(found), *_signature(found), *marks, first.view(np.int64)))
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
@@ -127,60 +134,127 @@ def _slot(column):
     return F.pmod(F.xxhash64(column), F.lit(SLOTS))
 
 
-def _sets_of(wanted: DataFrame, texts: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(cid, members): whole sets of the wanted classes, from the text of one document each.
+def front_length(n: int) -> int:
+    """How many of a set's first members are compared before whole sets are."""
+    return min(n, n // 4 + 64)
 
-    A bit filter of fixed size keeps other documents from being cut into shingles; the join decides.
-    """
-    ids = keep(wanted.join(classes.select("cid", "doc", "s1", "s2"), "cid"), "wanted")
+
+def front(ordered: np.ndarray) -> np.ndarray:
+    """Half of each of a set's first members, distinct and sorted."""
+    return np.unique((ordered[:front_length(len(ordered))] >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+
+
+class _Sets(NamedTuple):
+    """Names (cid, doc, s1, s2) of classes, and sets (doc_id, slot, s1, s2, n, front, members) of those and a few more."""
+
+    ids: DataFrame
+    cut: DataFrame
+
+
+def _slots(docs: DataFrame) -> np.ndarray:
+    """A bit filter of fixed size for the ids in `doc`."""
     slot = _slot(F.col("doc")) + 1
-    maps = ids.groupBy(F.bitmap_bucket_number(slot).alias("at")).agg(
+    maps = docs.groupBy(F.bitmap_bucket_number(slot).alias("at")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()  # SLOTS / 32768 rows at most
     bits = np.zeros(SLOTS // 8, np.uint8)
     for row in maps:
         bits[(row["at"] - 1) * 4096:row["at"] * 4096] = np.frombuffer(row["bits"], np.uint8)
+    return bits
+
+
+def _hits(slots, bits: np.ndarray) -> pa.Array:
+    slots = slots.to_numpy()
+    return pa.array(np.flatnonzero(bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1))
+
+
+def _sets_for(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, counts: np.ndarray) -> _Sets:
+    """Whole sets of the classes in pairs (a, b), each from the text of one document, where they were cut.
+
+    A bit filter keeps other documents from being cut into shingles. The sets stay in their files until it is known which
+    have a likely partner.
+    """
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    ids = keep(wanted.join(classes.select("cid", "doc", "s1", "s2"), "cid"), "wanted")
+    bits = _slots(ids)
 
     def cut(batches):
+        seen = set()
         for batch in batches:
-            slots = batch.column(2).to_numpy()
-            hit = pa.array(np.flatnonzero(bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1))
-            docs, texts_of = batch.column(0).take(hit), batch.column(1).take(hit).to_pylist()
+            hit = _hits(batch.column(2), bits)
+            docs, slots, texts_of = batch.column(0).take(hit), batch.column(2).take(hit), batch.column(1).take(hit).to_pylist()
             for a, b in slices(texts_of, SLICE_CHARS):
-                found = [shingle_set(text, size) for text in texts_of[a:b]]
-                names = list(zip(*map(_signature, found)))
+                rows, at = [], []
+                for i in range(a, b):
+                    found = shingle_set(texts_of[i], size)
+                    name = _signature(found)
+                    if (docs[i].as_py(), name) not in seen:  # a repeated row is cut once by a task
+                        seen.add((docs[i].as_py(), name))
+                        at.append(i)
+                        rows.append((*name, len(found), front(rare_first(found, counts)), found.view(np.int64)))
+                columns, at = list(zip(*rows)) or [()] * 5, pa.array(at, pa.int64())
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays(
-                    [docs.slice(a, b - a), *(pa.array(n, pa.int64()) for n in names),
-                     pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))],
-                    ["doc_id", "s1", "s2", "members"])
+                    [docs.take(at), slots.take(at), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                    ["doc_id", "slot", "s1", "s2", "n", "front", "members"])
+
+    return _Sets(ids, keep(texts.select("doc_id", "text", _slot(F.col("doc_id")).alias("slot")).mapInArrow(
+        cut, "doc_id BIGINT, slot BIGINT, s1 BIGINT, s2 BIGINT, n INT, front ARRAY<INT>, members ARRAY<BIGINT>"), "sets"))
 
-    cut_sets = texts.select("doc_id", "text", _slot(F.col("doc_id")).alias("slot")).mapInArrow(
-        cut, "doc_id BIGINT, s1 BIGINT, s2 BIGINT, members ARRAY<BIGINT>")
-    sets = keep(cut_sets.join(ids, (cut_sets.s1 == ids.s1) & (cut_sets.s2 == ids.s2)
-                              & cut_sets.doc_id.eqNullSafe(ids.doc)).select("cid", "members"), "sets")
-    drop(ids)
-    return sets
 
+def _meet(named: DataFrame, cut: DataFrame, what: str) -> DataFrame:
+    """Pairs with the size and with `what` of both sides."""
+    for side in ("a", "b"):
+        one = cut.select(F.col("doc_id").alias("at"), F.col("s1").alias(f"s1_{side}"), F.col("s2").alias(f"s2_{side}"),
+                         F.col("n").alias(f"n_{side}"), F.col(what).alias(f"of_{side}"))
+        named = named.join(one, [f"s1_{side}", f"s2_{side}"]).where(F.col("at").eqNullSafe(F.col(f"doc_{side}"))).drop("at")
+    return named
 
-def _sets_for(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    return _sets_of(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), texts, classes, size)
 
+def _likely(percent: int):
+    """Whether pairs can be similar by the fronts of both sides. Never false for a pair that is.
 
-def _similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("cid").alias("a"), F.col("members").alias("of_a"))
-    right = sets.select(F.col("cid").alias("b"), F.col("members").alias("of_b"))
+    The front that ends first in the order has its common members in the other front; behind it only the rest of its set can
+    be common. Values that the other front lacks stand for a member each, at least.
+    """
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    f_a, f_b = (F.least(n, F.floor(n / 4) + 64) for n in (n_a, n_b))
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    inside = F.least(f_a - F.size("of_a"), f_b - F.size("of_b")) + common
+    return similar(inside + F.greatest(n_a - f_a, n_b - f_b), n_a, n_b, percent)
+
+
+def _similar_pairs(pairs: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """The pairs (a, b, ...) whose whole sets are similar enough. Fronts travel first, and whole sets for likely pairs alone."""
+    named = pairs
+    for side in ("a", "b"):
+        named = named.join(sets.ids.select(
+            F.col("cid").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("doc", "s1", "s2"))), side)
+    named = named.select(*pairs.columns, *(f"{c}_{side}" for side in "ab" for c in ("doc", "s1", "s2")))
+    likely = keep(_meet(named, sets.cut, "front").where(_likely(percent)).select(*named.columns).distinct(), "likely")
+    bits = _slots(likely.select(F.col("doc_a").alias("doc")).union(likely.select("doc_b")))
+
+    def only(batches):
+        for batch in batches:
+            yield batch.take(_hits(batch.column(1), bits))
+
+    columns = ["doc_id", "slot", "s1", "s2", "n", "members"]
+    cut = sets.cut.select(*columns).mapInArrow(only, sets.cut.select(*columns).schema)
     both = F.size(F.array_intersect("of_a", "of_b"))
-    found = pairs.join(left, "a").join(right, "b").where(similar(both, F.size("of_a"), F.size("of_b"), percent))
-    return keep(found.select(*pairs.columns).distinct(), "links")
+    found = _meet(likely, cut, "members").where(similar(both, F.col("n_a"), F.col("n_b"), percent))
+    links = keep(found.select(*pairs.columns).distinct(), "links")
+    drop(likely)
+    return links
 
 
-def verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int,
+           counts: np.ndarray) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets are similar enough."""
     pairs = keep(pairs, "pairs")
     if pairs.isEmpty():
         return pairs
-    sets = _sets_for(pairs, texts, classes, size)
+    sets = _sets_for(pairs, texts, classes, size, counts)
     links = _similar_pairs(pairs, sets, percent)
-    drop(pairs, sets)
+    drop(pairs, *sets)
     return links
 
 
@@ -193,7 +267,8 @@ def _rooted(pairs: DataFrame, labels: DataFrame) -> DataFrame:
         "a", "b", F.least("root_a", "root_b").alias("root_a"), F.greatest("root_a", "root_b").alias("root_b"))
 
 
-def _links_between(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+def _links_between(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int,
+                   counts: np.ndarray) -> DataFrame:
     """Verified links among pairs (a, b, root_a, root_b, share): enough of them for all components.
 
     Two components are first tried with a few pairs, likely ones first. Those that a link has joined need no other pair; the
@@ -202,7 +277,7 @@ def _links_between(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size:
     pairs = keep(pairs, "pairs")
     if pairs.isEmpty():
         return pairs.select("a", "b")
-    sets = _sets_for(pairs, texts, classes, size)
+    sets = _sets_for(pairs, texts, classes, size, counts)
     part = F.pmod(F.xxhash64("a", "b"), F.lit(TRIES))
     chosen = [F.max_by(F.struct("a", "b"), F.struct(part == i, "share", "a", "b")) for i in range(TRIES)]
     tried = keep(pairs.groupBy("root_a", "root_b").agg(F.array_distinct(F.array(*chosen)).alias("p")).select(
@@ -211,7 +286,7 @@ def _links_between(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size:
     labels = components(first.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
     rest = keep(_rooted(pairs.join(tried, ["a", "b"], "left_anti"), labels).select("a", "b"), "rest")
     links = first.select("a", "b").union(_similar_pairs(rest, sets, percent))
-    drop(pairs, sets, tried, labels, rest)
+    drop(pairs, *sets, tried, labels, rest)
     return links
 
 
@@ -343,14 +418,14 @@ def _with_root(rows: DataFrame, labels: DataFrame, gid: str = "gid", root: str =
         root, F.coalesce(root, gid))
 
 
-def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFrame:
     """Verified links (a, b) between classes: enough of them for all components."""
     keyed = classes.where("n > 0").select(
         "cid", "n", F.xxhash64(F.lit(1), "prefix").alias("g1"), F.xxhash64(F.lit(2), "prefix").alias("g2"), *BITS)
     by_prefix = ["n", "g1", "g2", *BITS]  # what the index and its filters go by
     many = keyed.groupBy(*by_prefix).agg(F.min("cid").alias("gid"), F.count("*").alias("size")).where("size > 1")
     members = keep(keyed.join(many, by_prefix).select("gid", "cid").where("gid <> cid"), "members")
-    links = verify(members.select(F.col("gid").alias("a"), F.col("cid").alias("b")), texts, classes, size, percent)
+    links = verify(members.select(F.col("gid").alias("a"), F.col("cid").alias("b")), texts, classes, size, percent, counts)
     # members not linked to the first of their group stand for themselves
     groups = classes.where("n > 0").select(F.col("cid").alias("gid"), "n", "prefix", *BITS).join(
         links.select(F.col("b").alias("gid")), "gid", "left_anti")
@@ -382,7 +457,7 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
             F.max_by("gid_a", F.struct("share", "gid_a")).alias("gid_a"))
         tried.append(keep(best.select(
             F.least("gid_a", "gid_b").alias("a"), F.greatest("gid_a", "gid_b").alias("b")).distinct(), "tried"))
-        links = keep(links.union(verify(tried[-1], texts, classes, size, percent)), "links")
+        links = keep(links.union(verify(tried[-1], texts, classes, size, percent, counts)), "links")
         old = (lists,) if labels is None else (lists, labels)
         labels = components(links)
         joined = keep(_with_root(lists.drop("root"), labels), "joined")
@@ -397,13 +472,14 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> Dat
     of_a = inside.select(F.col("gid").alias("gid_a"), F.col("cid").alias("more_a"))
     of_b = inside.select(F.col("gid").alias("gid_b"), F.col("cid").alias("more_b"))
     roots = ["root_a", "root_b", "share"]
-    wide_a = close.select("gid_b", F.col("gid_a").alias("a"), *roots).union(
-        close.join(of_a, "gid_a").select("gid_b", "more_a", *roots))
-    wide = wide_a.select("a", F.col("gid_b").alias("b"), *roots).union(
-        wide_a.join(of_b, "gid_b").select("a", "more_b", *roots))
-    for pairs in tried:  # found dissimilar before
-        wide = wide.join(pairs, ["a", "b"], "left_anti")
-    links = links.union(_links_between(wide, texts, classes, size, percent))
+    more = close.join(of_a, "gid_a").select("gid_b", F.col("more_a").alias("a"), *roots)
+    wide = close.select("gid_b", F.col("gid_a").alias("a"), *roots).union(more).join(of_b, "gid_b").select(
+        "a", F.col("more_b").alias("b"), *roots).union(more.select("a", F.col("gid_b").alias("b"), *roots))
+    # only the first of groups have been compared before; what is left of those was found dissimilar
+    before = reduce(DataFrame.union, tried).withColumnsRenamed({"a": "gid_a", "b": "gid_b"}).distinct()
+    new = close.join(before, ["gid_a", "gid_b"], "left_anti").select(
+        F.col("gid_a").alias("a"), F.col("gid_b").alias("b"), *roots)
+    links = links.union(_links_between(new.union(wide), texts, classes, size, percent, counts))
     drop(lists, near, labels, members, *tried)
     return links
 
@@ -412,11 +488,12 @@ def labelled(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
     """(doc_id, text_key, n, root, component_id) by row. `root` names the component; rows without words have none."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"),
                         F.xxhash64(text_col).alias("text_key"))
-    rows = keep(set_rows(texts, size, percent, bucket_counts(texts, size)), "rows")
+    counts = bucket_counts(texts, size)
+    rows = keep(set_rows(texts, size, percent, counts), "rows")
     classes = keep(rows.where("n > 0").groupBy("s1", "s2").agg(
         F.min("doc_id").alias("doc"), *(F.first(c).alias(c) for c in ("n", *BITS, "prefix"))).withColumn(
         "cid", F.monotonically_increasing_id()), "classes")
-    labels = components(_links(texts, classes, size, percent))
+    labels = components(_links(texts, classes, size, percent, counts))
     rooted = keep(classes.select("s1", "s2", "cid", "doc").join(
         labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")), "rooted")
     smallest = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))

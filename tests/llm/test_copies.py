@@ -231,3 +231,71 @@ def test_no_similar_pair_leaves_the_index(spark, percent):
                     and group_join.similar(min(n - pos, m - at), n, m, percent)]
         assert not partners or (t, g) in stays
     assert len(stays) < len(rows)
+
+
+def near_misses(groups=6):
+    """Pairs with a passage of all texts, some words of their own, and ends that other texts have too: the first rare
+    shingles are common ones, and bits miss part of the rest. Only the first pair is similar."""
+    passage, rows = [f"p{i}" for i in range(340)], []
+    for k in range(groups):
+        both = [f"g{k}w{i}" for i in range(24)]
+        ends = [[f"e{k}x{i}" for i in range(36)], [f"e{k}{'y' if k else 'x'}{i}" for i in range(36)]]
+        ends[1][-1] += "z"
+        rows += [" ".join(passage + both + end) for end in ends]
+        rows += [" ".join(both[-3:] + end + [f"f{k}{s}{i}" for i in range(700)]) for s, end in enumerate(ends)]
+    return list(enumerate(rows))
+
+
+def test_whole_sets_travel_for_likely_pairs_alone(spark, monkeypatch):
+    counted, write = [], group_join.keep
+
+    def keep(df, name, *rest):
+        kept = write(df, name, *rest)
+        if name in ("pairs", "likely"):
+            counted.append((name, kept.count()))
+        return kept
+
+    monkeypatch.setattr(group_join, "keep", keep)
+    rows = near_misses()
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id LONG, text STRING"), 4, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == near_by_hand(rows, 4, 85)
+    pairs, likely = (sum(n for name, n in counted if name == kind) for kind in ("pairs", "likely"))
+    assert 1 <= likely < pairs
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 100])
+def test_fronts_miss_no_similar_pair(spark, percent):
+    rng, rows = random.Random(percent), []
+    counts = group_join.np.array([rng.randrange(5) for _ in range(group_join.BUCKETS)])
+    for _ in range(150):
+        low = 1 << rng.choice([8, 34, 63])  # small numbers share their upper halves
+        both = {rng.randrange(low) for _ in range(rng.choice([3, 100, 900]))}
+        n = rng.choice([0, len(both) // 12, len(both) // 6, len(both) // 3])
+        sets = [group_join.np.array(sorted(both | {rng.randrange(low) for _ in range(n)}), "u8") for _ in range(2)]
+        fronts = [group_join.front(group_join.rare_first(s, counts)).tolist() for s in sets]
+        rows.append((len(sets[0]), len(sets[1]), len(set(sets[0].tolist()) & set(sets[1].tolist())), *fronts))
+    pairs = spark.createDataFrame(rows, "n_a INT, n_b INT, both INT, of_a ARRAY<INT>, of_b ARRAY<INT>")
+    found = pairs.select("n_a", "n_b", "both", group_join._likely(percent).alias("likely")).collect()
+    alike = [group_join.similar(r.both, r.n_a, r.n_b, percent) for r in found]
+    assert any(alike) and all(r.likely for r, same in zip(found, alike) if same)
+    assert percent < 80 or not all(r.likely for r in found)
+
+
+def test_what_rounds_compared_is_joined_once(spark, monkeypatch):
+    """A crowd of near misses takes several rounds; their pairs leave by one join, before groups are expanded."""
+    joined, rng = [], random.Random(11)
+    words = [f"v{i}" for i in range(90)]
+    rows = []
+    for i in range(60):
+        own = words[:]
+        for at in rng.sample(range(90), rng.randint(1, 3)):
+            own[at] = f"x{i}a{at}"
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    monkeypatch.setattr(group_join, "PAIRS_PER_ROW", 0)
+    kind = type(docs)
+    monkeypatch.setattr(kind, "join", lambda self, other, on=None, how=None, f=kind.join: joined.append((on, how)) or f(
+        self, other, on, how))
+    got = near_duplicates(docs, 4, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == near_by_hand(rows, 4, 85)
+    assert sum(how == "left_anti" and on in (["a", "b"], ["gid_a", "gid_b"]) for on, how in joined) <= 2
